@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from quillspark.llm import quality
+from quillspark.llm import exact_dedup, line_dedup, mixing, quality
 
 
 def queries():
-    return {"op10_quality_rules": quality.query}
+    return {
+        "op1_line_dedup": line_dedup.query,
+        "op4_exact_dedup": exact_dedup.query,
+        "op9_mixing": mixing.query,
+        "op10_quality_rules": quality.query,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
