@@ -28,7 +28,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Rows that a group needs for a sketch of its own; reach beyond the quartiles in interquartile ranges.
 MIN_GROUP, REACH = 100, 3
 #: measure -> (slack, also a lower limit)
-MEASURES = {"symbols": (60, False), "dup_lines": (300, False), "repeats": (200, False), "word_len": (150, True)}
+MEASURES = {"symbols": (60, False), "dup_lines": (400, False), "repeats": (300, False), "word_len": (150, True)}
 
 
 def repeated_words(words: Column) -> Column:
