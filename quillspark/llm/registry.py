@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, line_dedup, mixing, quality
+from quillspark.llm import exact_dedup, line_dedup, mixing, quality, token_records
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.query,
+        "op2_token_records": token_records.query,
         "op4_exact_dedup": exact_dedup.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,
