@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, line_dedup, mixing, quality, token_records
+from quillspark.llm import exact_dedup, line_dedup, minhash, mixing, quality, token_records
 
 
 def queries():
@@ -10,10 +10,11 @@ def queries():
         "op1_line_dedup": line_dedup.query,
         "op2_token_records": token_records.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_minhash": minhash.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE}
