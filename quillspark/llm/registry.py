@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, line_dedup, minhash, mixing, quality, token_records
+from quillspark.llm import exact_dedup, line_dedup, minhash, mixing, quality, substring_dedup, token_records
 
 
 def queries():
@@ -11,10 +11,11 @@ def queries():
         "op2_token_records": token_records.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_minhash": minhash.query,
+        "op8_substring_dedup": substring_dedup.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
