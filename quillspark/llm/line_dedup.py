@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import LOWER, RID, TAG, TXT, UPPER, WS, heavy_keys, let, row_id, rows_of, text_of
+from quillspark.llm.common import LOWER, RID, TAG, TXT, UPPER, WS, heavy_keys, let, row_id, rows_of, stash, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -37,7 +37,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(document, row's text hash, position) of each line that goes."""
-    lines = hashed_lines(docs, min_chars)
+    lines = stash(hashed_lines(docs, min_chars), "lines")  # texts are read once here; what follows reads hashes
     hot = heavy_keys(lines, ["h1", "h2"])
     cold = lines if hot is None else lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti")
     ranged = cold.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", RID, "pos")
