@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, line_dedup, minhash, mixing, quality, substring_dedup, token_records
+from quillspark.llm import edit_counts, exact_dedup, line_dedup, minhash, mixing, pieces, quality, substring_dedup, token_records, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.query,
         "op2_token_records": token_records.query,
+        "op3_pieces": pieces.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_minhash": minhash.query,
+        "op6_toxicity": toxicity.query,
+        "op7_edit_counts": edit_counts.query,
         "op8_substring_dedup": substring_dedup.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,

@@ -82,8 +82,7 @@ class Encoder:
             self.used += len(ids)
             self.codes[p] = code
 
-    def _chunk(self, text: str) -> np.ndarray:
-        pieces = _PIECES.findall(text)
+    def _codes(self, pieces: list[str]) -> np.ndarray:
         if len(self.codes) > self.most:
             self.clear()
         try:
@@ -91,7 +90,13 @@ class Encoder:
         except KeyError:
             self._learn(pieces)
             codes = [self.codes[p] for p in pieces]
-        codes = np.array(codes, dtype=np.int64)
+        return np.array(codes, dtype=np.int64)
+
+    def counts(self, pieces: list[str]) -> np.ndarray:
+        return self.n[self._codes(pieces)]
+
+    def _chunk(self, text: str) -> np.ndarray:
+        codes = self._codes(_PIECES.findall(text))
         n = self.n[codes]
         ends = np.cumsum(n)
         take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[codes] - ends + n, n)

@@ -68,10 +68,10 @@ def _spans(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words_of(texts: pa.Array, lower: bool = False, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def words_of(texts: pa.Array, lower: bool = False, most: int = 1 << 20, breaks: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, bytes, word starts, word ends, hashes, and where each row's words begin).
 
-    ``texts`` has no nulls.
+    ``texts`` has no nulls. ``breaks``: which bytes end a word, where it is not white space alone.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -87,7 +87,7 @@ def words_of(texts: pa.Array, lower: bool = False, most: int = 1 << 20) -> Itera
         if not len(b):
             yield i, b, rows[:0], rows[:0], np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64)
             continue
-        word = ~_IS_WS[b]
+        word = ~(_IS_WS if breaks is None else breaks)[b]
         cut = np.zeros(len(b) + 1, dtype=bool)
         cut[rows] = True
         first = word.copy()
