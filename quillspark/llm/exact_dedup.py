@@ -43,11 +43,17 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.unionByName(rows.join(F.broadcast(table), keys).select(*rest, "name"))
 
 
-def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(RID, TAG, level, name): one collision-free identity for each row's normalised text."""
-    text = F.translate(TXT, WS, "")
+def block_table(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, ids, length, hash for output, and the normalised text's blocks of each row; written once."""
+    text = F.col("text")
     blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0)))
-    rows = rows_of(docs).select(RID, TAG, blocks.alias("blocks")).select(RID, TAG, F.size("blocks").alias("n"), F.posexplode("blocks").alias("idx", "block"))
+    rows = rows_of(docs).select("doc_id", RID, TAG, F.char_length(TXT).alias("len"), F.translate(TXT, WS, "").alias("text"))
+    return stash(rows.select("doc_id", RID, TAG, "len", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"), blocks.alias("blocks")), "texts")
+
+
+def identities(table: DataFrame) -> DataFrame:
+    """(RID, TAG, level, name): one collision-free identity for each row of a block table."""
+    rows = table.select(RID, TAG, F.size("blocks").alias("n"), F.posexplode("blocks").alias("idx", "block"))
     level, done = stash(named(rows, ["block"]), "blocks"), []
     longest = level.agg(F.max("n")).first()[0] or 1
     for k in range(longest.bit_length() + 1):
@@ -66,8 +72,8 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row."""
-    facts = rows_of(docs).select("doc_id", RID, TAG, F.char_length(TXT).alias("len"), F.sha2(F.encode(F.translate(TXT, WS, ""), "UTF-8"), 256).alias("text_sha256"))
-    rows = stash(facts.join(identities(docs, block), [RID, TAG]), "identities")
+    table = block_table(docs, block)
+    rows = stash(table.drop("blocks").join(identities(table), [RID, TAG]), "identities")
     best = rows.groupBy("level", "name").agg(F.min(F.struct((-F.col("len")).alias("len"), RID)).alias("best"), F.count(F.lit(1)).alias("group_size"))
     keep = F.col(f"best.{RID}")
     return rows.join(best, ["level", "name"]).select(
