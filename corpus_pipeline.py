@@ -1,4 +1,60 @@
-"""Corpus pipeline (stages follow)."""
+"""A corpus from raw documents: filter, dedup lines, dedup documents, mix, encode.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
+written as Parquet and read again. SQL can express neither the sketches' effect on later stages' hashes,
+the golden-ratio schedule, nor the piece lattice, so ORACLE_SQL is None; tests hold each stage against
+SQL or brute force on its own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import line_dedup, minhash, mixing, pieces, quality
+from quillspark.llm.common import stash
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.filter_documents(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them share, but in the last."""
+    return line_dedup.filter_documents(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return minhash.filter_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.filter_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document's best segmentation and the scores of the n best."""
+    return pieces.tokens(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
 
-STAGES = []
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs, f"stage-{i}")
+    return docs

@@ -51,6 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def kept_by_worker(key: tuple, make: Callable):
+    """What ``make`` gives, kept by this Python worker from task to task (one of a kind: another key takes its place)."""
+    import sys
+
+    held = vars(sys).setdefault("_quillspark_kept", {})
+    if key not in held:
+        for old in [k for k in held if k[0] == key[0]]:
+            del held[old]
+        held[key] = make()
+    return held[key]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, which goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import text_of
-from quillspark.llm.token_records import _PIECES, Encoder, tokenizer_path
+from quillspark.llm.token_records import _PIECES, Encoder, encoder, tokenizer_path
 
 LEAF = 512
 _WS = frozenset("\t\n\x0b\x0c\r \x85\xa0     　") | frozenset(map(chr, range(0x2000, 0x200B)))
@@ -139,7 +139,7 @@ def count(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF) -> Da
     """doc_id, tokens before and after the row's ``edits``, characters after, and characters encoded for the edits."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(Encoder(tokenizer or tokenizer_path()), leaf)
+        counter = Counter(encoder(tokenizer or tokenizer_path()), leaf)
         for batch in batches:
             out = []
             for text, edits in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):

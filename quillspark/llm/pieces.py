@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import text_of
+from quillspark.llm.common import kept_by_worker, text_of
 
 SPACE = "▁"
 N_BEST, LONG, BATCH = 4, 48, 4096
@@ -58,7 +58,7 @@ def _hash(points: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, and segmentations of texts by them; ``most`` parts are kept at a time."""
 
-    def __init__(self, path: str, n: int = N_BEST, most: int = 300_000):
+    def __init__(self, path: str, n: int = N_BEST, most: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,8 +91,9 @@ class Pieces:
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
-        self.at, self.len, self.loss, self.best = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14), np.zeros(1 << 14)
-        self.others: list[list[tuple[float, list[int]]]] = []
+        # of each part: its n best segmentations' place and length in flat, and scores
+        room = 1 << 14
+        self.at, self.len, self.scores = np.zeros((room, self.n), np.int64), np.zeros((room, self.n), np.int32), np.full((room, self.n), -np.inf)
 
     def normalize(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
@@ -212,46 +213,64 @@ class Pieces:
                 self._keep(p, [(s, [i for x in pieces for i in self._ids_of(x)]) for s, pieces in self.search(p)])
 
     def _keep(self, part: str, found: list[tuple[float, list[int]]]) -> None:
-        code, (score, ids) = len(self.codes), found[0]
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        code = len(self.codes)
         if code >= len(self.at):
-            self.at, self.len, self.loss, self.best = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len, self.loss, self.best))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[code], self.len[code], self.best[code] = self.used, len(ids), score
-        self.loss[code] = score - found[1][0] if len(found) > 1 else np.inf
-        self.others.append([(score - s, i) for s, i in found[1:]])
-        self.used += len(ids)
+            self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len))
+            self.scores = np.concatenate([self.scores, np.full_like(self.scores, -np.inf)])
+        for k, (score, ids) in enumerate(found):
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.at[code, k], self.len[code, k], self.scores[code, k] = self.used, len(ids), score
+            self.used += len(ids)
         self.codes[part] = code
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]], np.ndarray]:
-        """(ids of the best segmentation, the n best scores, for each the parts that differ from the best, where parts begin in the ids)."""
-        parts = _PARTS.findall(self.normalize(text))
-        if not parts:
-            return self.flat[:0], [0.0], [[]], np.zeros(1, dtype=np.int64)
+    def coded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The codes of each text's parts. New parts of all of them are searched together."""
+        parts = [_PARTS.findall(self.normalize(t)) for t in texts]
         if len(self.codes) > self.most:
             self.clear()
-        try:
-            codes = [self.codes[p] for p in parts]
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(parts) if p not in self.codes])
-            codes = [self.codes[p] for p in parts]
-        codes = np.array(codes)
-        n = self.len[codes]
-        ends = np.cumsum(n)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[codes] - ends + n, n)]
-        loss = self.loss[codes]
-        few = np.argpartition(loss, self.n - 1)[: self.n - 1] if len(loss) >= self.n else np.arange(len(loss))
-        sums: list[tuple[float, list[tuple[int, list[int]]]]] = [(0.0, [])]
-        for i in sorted(few.tolist()):
-            more = [(x + y, how + [(i, other)]) for x, how in sums for y, other in self.others[codes[i]]]
-            sums = sorted(sums + more, key=lambda x: x[0])[: self.n]
-        total = float(self.best[codes].sum())
-        return ids, [total - x for x, _ in sums], [how for _, how in sums], np.append(0, ends)
+        new = dict.fromkeys(p for t in parts for p in t)
+        if new := [p for p in new if p not in self.codes]:
+            self._learn(new)
+        for t in parts:
+            yield np.array([self.codes[p] for p in t], dtype=np.int64)
 
-    def nbest(self, text: str) -> list[tuple[float, list[int]]]:
+    def encode(self, text: str, codes: np.ndarray | None = None) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]], np.ndarray]:
+        """(ids of the best segmentation, the n best scores, for each the parts that differ from the best, where parts begin in the ids)."""
+        codes = next(self.coded([text])) if codes is None else codes
+        if not len(codes):
+            return self.flat[:0], [0.0], [[]], np.zeros(1, dtype=np.int64)
+        n = self.len[codes, 0]
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[codes, 0] - ends + n, n)]
+        best = self.scores[codes, 0]
+        sums: list[tuple[float, list[tuple[int, list[int]]]]] = [(0.0, [])]
+        if self.n > 1:
+            loss = best - self.scores[codes, 1]
+            few = np.argpartition(loss, self.n - 1)[: self.n - 1] if len(loss) >= self.n else np.arange(len(loss))
+            for i in sorted(few.tolist()):
+                others = [(float(best[i] - self.scores[codes[i], k]), k) for k in range(1, self.n) if self.scores[codes[i], k] > -np.inf]
+                more = [(x + y, [*how, (i, k)]) for x, how in sums for y, k in others]
+                sums = sorted(sums + more, key=lambda x: x[0])[: self.n]
+        total = float(best.sum())
+        changes = [[(i, self.flat[self.at[codes[i], k] : self.at[codes[i], k] + self.len[codes[i], k]].tolist()) for i, k in how] for _, how in sums]
+        return ids, [total - x for x, _ in sums], changes, np.append(0, ends)
+
+    def encode_all(self, texts: Iterator[str], most: int = 2_000_000) -> Iterator[tuple]:
+        """``encode`` of each text, by groups of about ``most`` characters."""
+        group, size = [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= most:
+                yield from (self.encode(t, c) for t, c in zip(group, self.coded(group), strict=True))
+                group, size = [], 0
+        yield from (self.encode(t, c) for t, c in zip(group, self.coded(group), strict=True))
+
+    def nbest(self, text: str, found: tuple | None = None) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text as ids."""
-        ids, scores, changes, at = self.encode(text)
+        ids, scores, changes, at = found or self.encode(text)
         out = []
         for score, how in zip(scores, changes, strict=True):
             whole, last = [], 0
@@ -270,14 +289,19 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def segmenter(path: str, n: int = N_BEST) -> Pieces:
+    """The worker's segmenter: its parts stay from task to task."""
+    return kept_by_worker(("pieces", path, n), lambda: Pieces(path, n))
+
+
 def encode(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
     """doc_id, ids of the best segmentation, the n best as (score, ids)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model or model_path(), n)
+        pieces = segmenter(model or model_path(), n)
         best = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for batch in batches:
-            found = [pieces.nbest(t.as_py()) for t in batch.column(1)]
+            found = [pieces.nbest("", x) for x in pieces.encode_all(t.as_py() for t in batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0][1] for x in found], pa.list_(pa.int32())), pa.array([[{"score": s, "ids": i} for s, i in x] for x in found], best)], names=["doc_id", "ids", "nbest"]
             )
@@ -285,11 +309,26 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, "doc_id long, ids array<int>, nbest array<struct<score: double, ids: array<int>>>")
 
 
+def tokens(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
+    """doc_id, number of pieces, ids of the best segmentation, and the n best scores."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = segmenter(model or model_path(), n)
+        for batch in batches:
+            found = [x[:2] for x in pieces.encode_all(t.as_py() for t in batch.column(1))]
+            sizes = np.array([len(ids) for ids, _ in found], dtype=np.int64)
+            flat = np.concatenate([ids for ids, _ in found]) if found else np.zeros(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["doc_id", "n_pieces", "ids", "scores"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, "doc_id long, n_pieces long, ids array<int>, scores array<double>")
+
+
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of (doc_id, ids)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model or model_path())
+        pieces = segmenter(model or model_path())
         for batch in batches:
             texts = [pieces.decode(np.asarray(i.values)) if i.is_valid else "" for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -301,13 +340,11 @@ def digest(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFr
     """``encode`` and ``decode`` of whole documents in one pass, as counts, scores and checksums."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model or model_path(), n)
+        pieces = segmenter(model or model_path(), n)
         for batch in batches:
             count, crc, scores, same, sha = [], [], [], [], []
-            for t in batch.column(1):
-                text = t.as_py()
-                ids, s, _, _ = pieces.encode(text)
-                back = pieces.decode(ids)
+            for t, (ids, s, _, _) in zip(batch.column(1), pieces.encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                text, back = t.as_py(), pieces.decode(ids)
                 count.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 scores.append(s)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillspark.llm import edit_counts, exact_dedup, line_dedup, minhash, mixing, pieces, quality, substring_dedup, token_records, toxicity
 
 
@@ -17,8 +18,9 @@ def queries():
         "op8_substring_dedup": substring_dedup.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.oracle(), "op8_substring_dedup": substring_dedup.ORACLE}
