@@ -27,6 +27,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fixed(value: Column) -> Column:
+    """``value`` as a column that the optimizer does not take apart: without this, each use of a struct's field would repeat the field's expression."""
+    return let(value, lambda x: x)
+
+
 def normalize_value(text: str | None) -> str:
     """NFKC, without zero-width characters and carriage returns, trimmed."""
     text = text or ""

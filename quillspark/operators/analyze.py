@@ -21,7 +21,7 @@ def analyze(df: DataFrame, row: str, bundle: dict | None = None, sensitivity: st
     kind = F.when(F.col("kind") == "comment", "comment").otherwise("post")
     base = features.extract(df.select(row, "text", F.coalesce("platform", F.lit("unknown")).alias("platform"), kind.alias("kind")))
     out = scoring.score(scoring.with_model(base, bundle))
-    out = out.withColumns({"thresholds": scoring.cutoffs(sensitivity), "evidence": scoring.evidence(), "cue_measures": cues.measures()}).withColumn("cues", cues.assess())
+    out = out.withColumns({"thresholds": tx.fixed(scoring.cutoffs(sensitivity)), "evidence": tx.fixed(scoring.evidence()), "cue_measures": tx.fixed(cues.measures())}).withColumn("cues", tx.fixed(cues.assess()))
     if with_segments:
         parts = segments.analyze(base.select(row, "text", "raw", "platform", "kind"), row, bundle)
         out = out.join(parts, row, "left")

@@ -114,10 +114,10 @@ def extract(df: DataFrame, text: str = "text", kind: str | None = "kind", vector
     df = df.withColumn("trigram_counts", vx.char_trigrams(F.col("cleaned")))
     if vectors:
         df = df.withColumn("char_ngrams", vx.char_profile(F.col("cleaned")))
-    df = df.withColumn(COUNTS, count_struct(kind_col))
+    df = df.withColumn(COUNTS, tx.fixed(count_struct(kind_col)))
     features = F.struct(*(clamp(v).alias(k) for k, v in feature_columns().items()))
     metrics = F.struct(*(v.cast("double").alias(k) for k, v in _values().items()))
-    df = df.withColumns({"features": features, "metrics": metrics})
+    df = df.withColumns({"features": tx.fixed(features), "metrics": tx.fixed(metrics)})
     m = lambda k: F.col(f"metrics.{k}")
     language = tx.language_support(m("latinRatio"), F.col(f"{COUNTS}.has_letters"), m("wordCount"), m("stopwordRatio"))
-    return df.withColumn("language_support", language).drop("trigram_counts")
+    return df.withColumn("language_support", tx.fixed(language)).drop("trigram_counts")
