@@ -12,12 +12,15 @@ with probability 3e-7; those are the only two ways to lose a link.
 No group is ever expanded into all its pairs:
 
 * documents with the same set are one class from the start, found by aggregation;
-* round 1 links each member of a bucket to the first leader that it resembles, in one pass over the
-  sorted bucket that holds nothing but leaders; a bucket that holds more than 1/256 of all rows is
-  dealt to SALTS tasks first, and their leaders meet under the same key;
-* after the components of the confirmed links are known, round 2 takes only buckets that still hold
-  several components, and only pairs between different components, with none left out. A pair inside
-  a component needs no test, as its link could join nothing.
+* round 1 takes from each bucket a spanning forest of its likely pairs, fewer pairs than members, and
+  confirms these; a bucket that holds more than 1/256 of all rows is dealt to SALTS tasks first, and
+  the roots of their forests meet under the same key;
+* the components of all forests (and of each dealt bucket as a whole) are clusters outside of which no
+  link can lie. Round 2 takes only clusters that still hold several components of confirmed links. A
+  task holds the sets of all but the largest component and streams the largest past them, comparing
+  exactly what may be alike and is not yet joined. It reports a link only where it joins two
+  components, so again fewer than members. A large component is dealt to several tasks, each with the
+  cluster's other members.
 
 Components are found by alternating large-star and small-star steps on written tables. Nothing but
 counts comes to the driver.
@@ -138,68 +141,90 @@ def _alike(sig, n, sigs: np.ndarray, ns: np.ndarray, percent: int, least: float)
     return (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n)) & (estimates(sig, sigs) >= least)
 
 
-def _leader_pairs(percent: int):
-    """Round 1 over sorted buckets: (a, b) for a member and the first leader it resembles; leaders of dealt buckets as rows of their own."""
+def _forest(percent: int):
+    """Over sorted buckets, held one at a time as packed signatures: (a, b) edges of a spanning forest of the likely pairs; roots of dealt buckets as rows of their own."""
     least = least_estimate(percent)
 
+    def edges(at: tuple, held: list, out: list) -> None:
+        ids, sigs, ns, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+        left, queue = np.arange(len(ids)), []
+        while len(left):
+            if not queue:
+                if at[1]:
+                    out.append((ids[left[:1]], ids[left[:1]], at[0], True))
+                queue, left = [left[0]], left[1:]
+            x = queue.pop()
+            hit = _alike(sigs[x], ns[x], sigs[left], ns[left], percent, least)
+            found, left = left[hit], left[~hit]
+            queue += found[::-1].tolist()
+            if len(found):
+                out.append((np.minimum(ids[x], ids[found]), np.maximum(ids[x], ids[found]), 0, False))
+
+    def rows(out: list) -> pa.RecordBatch:
+        n = [len(x[0]) for x in out]
+        a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), n)), pa.array(np.repeat(np.array([x[3] for x in out], bool), n))], names=["a", "b", "key", "root"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, leaders = None, []
+        before, held, out = None, [], []
         for batch in batches:
-            a, b, key, leader = [], [], [], []
-            for at, ids, sigs, ns, _ in _groups(batch):
-                if at != before:
-                    before, leaders = at, []
-                left, met = np.arange(len(ids)), 0
-                while len(left):
-                    if met == len(leaders):  # none of the leaders so far resembles the first of those left
-                        leaders.append((ids[left[0]], sigs[left[0]], ns[left[0]]))
-                        if at[1]:
-                            a, b, key, leader = [*a, ids[left[0]]], [*b, ids[left[0]]], [*key, at[0]], [*leader, True]
-                        left = left[1:]
-                    one, sig, n = leaders[met]
-                    met += 1
-                    hit = _alike(sig, n, sigs[left], ns[left], percent, least)
-                    found = ids[left[hit]]
-                    left = left[~hit]
-                    found = found[found != one]
-                    a += np.minimum(found, one).tolist()
-                    b += np.maximum(found, one).tolist()
-                    key += [0] * len(found)
-                    leader += [False] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(leader, pa.bool_())], names=["a", "b", "key", "leader"])
+            for at, *group in _groups(batch):
+                if at != before and held:
+                    if before[1] or len(held) > 1 or len(held[0][0]) > 1:
+                        edges(before, held, out)
+                    held = []
+                before = at
+                held.append(group)
+            yield rows(out)
+            out = []
+        if held:
+            edges(before, held, out)
+            yield rows(out)
 
     return task
 
 
-def _cross_pairs(percent: int):
-    """Round 2 over sorted buckets, held one at a time as packed signatures: all likely pairs between components."""
+def _joins(k: int, percent: int):
+    """Round 2 over sorted clusters (those of the largest component last): links that join components."""
     least = least_estimate(percent)
 
-    def pairs(held: list) -> Iterator[pa.RecordBatch]:
-        ids, sigs, ns, comps = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, comps, counts = np.unique(comps, return_inverse=True, return_counts=True)
-        if len(counts) == 1:
-            return
-        order = np.lexsort((comps, counts[comps]))  # the largest comes last: its members are only met, never in turn
-        ids, sigs, ns, comps = ids[order], sigs[order], ns[order], comps[order]
-        ends = np.append(np.flatnonzero(comps[1:] != comps[:-1]) + 1, len(ids))
-        for end, begin in zip(ends[:-1], np.append(0, ends[:-1]), strict=False):
-            for i in range(begin, end):
-                hit = np.flatnonzero(_alike(sigs[i], ns[i], sigs[end:], ns[end:], percent, least)) + end
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[hit])), pa.array(np.maximum(ids[i], ids[hit]))], names=["a", "b"])
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, held = None, []
+        at, parent = None, {}
+        sets, ids, ns, comps, sigs, table = [], [], [], [], [], None
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def compare(i: int, comp: int, n: int, sig: np.ndarray, s: np.ndarray, among) -> Iterator[tuple[int, int]]:
+            others = np.flatnonzero(_alike(sig, n, among[0], among[1], percent, least))
+            for j in others.tolist():
+                if root(comps[j]) != root(comp):
+                    both = len(np.intersect1d(sets[j], s, assume_unique=True))
+                    if 100 * both >= percent * (len(sets[j]) + len(s) - both):
+                        parent[root(comps[j])] = root(comp)
+                        yield min(ids[j], i), max(ids[j], i)
+
         for batch in batches:
-            for at, *group in _groups(batch):
-                if at != before and held:
-                    yield from pairs(held)
-                    held = []
-                before = at
-                held.append(group)
-        if held:
-            yield from pairs(held)
+            found = []
+            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            last, comp, one, n = (batch.column(c).to_pylist() for c in range(2, 6))
+            sig = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(-1, SIG)
+            for r, s in enumerate(shingle_sets(batch.column(7), k)):
+                if where[r] != at:
+                    at, parent, sets, ids, ns, comps, sigs, table = where[r], {}, [], [], [], [], [], None
+                if last[r]:
+                    if table is None or len(table[1]) != len(ids):
+                        table = np.array(sigs).reshape(-1, SIG), np.array(ns)
+                    if any(root(c) != root(comp[r]) for c in set(comps)):
+                        found += compare(one[r], comp[r], n[r], sig[r], s, table)
+                else:
+                    if at[1] == 0 and ids:  # the first task of a cluster also compares the held ones with each other
+                        found += compare(one[r], comp[r], n[r], sig[r], s, (np.array(sigs).reshape(-1, SIG), np.array(ns)))
+                    sets, ids, ns, comps, sigs = [*sets, s], [*ids, one[r]], [*ns, n[r]], [*comps, comp[r]], [*sigs, sig[r]]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return task
 
@@ -211,22 +236,39 @@ def _buckets(reps: DataFrame) -> DataFrame:
 _PAIR = "a long, b long"
 
 
-def _round1(reps: DataFrame, percent: int) -> DataFrame:
-    rows = _buckets(reps.withColumn("comp", F.col("id")))
-    hot = heavy_keys(reps.select(F.explode("bands").alias("key")), ["key"])
+def _round1(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs to confirm, pairs that bind clusters besides), both fewer than the rows in buckets."""
+    rows = _buckets(reps)
+    hot = heavy_keys(rows.select("key"), ["key"])
     salt = F.lit(0)
     if hot is not None:
         rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
         salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    sorted_rows = lambda x: x.repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
-    rows = sorted_rows(rows.select("key", salt.alias("salt"), "id", "n", "sig", "comp"))
-    first = rows.mapInArrow(_leader_pairs(percent), f"{_PAIR}, key long, leader boolean")
+    in_order = lambda x: x.repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
+    first = in_order(rows.select("key", salt.alias("salt"), "id", "n", "sig", "comp")).mapInArrow(_forest(percent), f"{_PAIR}, key long, root boolean")
     if hot is None:
-        return first.select("a", "b").distinct()
-    first = stash(first, "leaders")
-    heads = first.where("leader").select("key", F.col("a").alias("id")).join(reps.select("id", "n", "sig"), "id").select("key", F.lit(0).alias("salt"), "id", "n", "sig", F.col("id").alias("comp"))
-    second = sorted_rows(heads).mapInArrow(_leader_pairs(percent), f"{_PAIR}, key long, leader boolean")
-    return first.where("not leader").select("a", "b").unionByName(second.select("a", "b")).distinct()
+        first = stash(first.select("a", "b").distinct(), "pairs")
+        return first, first.limit(0)
+    first = stash(first, "pairs")
+    roots = first.where("root").select("key", F.col("a").alias("id")).join(reps.select("id", "n", "sig", "comp"), "id").select("key", F.lit(0).alias("salt"), "id", "n", "sig", "comp")
+    second = in_order(roots).mapInArrow(_forest(percent), f"{_PAIR}, key long, root boolean")
+    pairs = stash(first.where("not root").select("a", "b").unionByName(second.select("a", "b")).distinct(), "pairs")
+    dealt = rows.where("hot").select("key", "id")
+    heads = dealt.groupBy("key").agg(F.min("id").alias("a"))
+    return pairs, stash(dealt.join(F.broadcast(heads), "key").select("a", F.col("id").alias("b")).where("a < b").distinct(), "bound")
+
+
+def _round2(reps: DataFrame, comps: DataFrame, clusters: DataFrame, texts: DataFrame, k: int, percent: int, deal: int = 20_000) -> DataFrame:
+    """Links that join components within clusters; written."""
+    rows = reps.select("id", "n", "sig").join(clusters.withColumnRenamed("comp", "cluster"), "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    sizes = rows.groupBy("cluster", "comp").count()
+    several = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "comp")).alias("big")).where("parts > 1")
+    several = several.select("cluster", F.col("big.comp").alias("big"), F.expr(f"cast(1 + big.count div {deal} as int)").alias("tasks"))
+    rows = rows.join(several, "cluster").withColumn("last", F.col("comp") == F.col("big"))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int"))
+    rows = rows.withColumn("task", F.explode(F.when(F.col("last"), own).otherwise(F.sequence(F.lit(0), F.col("tasks") - 1))))
+    rows = rows.join(texts, "id").select("cluster", "task", "last", "comp", "id", "n", "sig", "text")
+    return stash(rows.repartition("cluster", "task").sortWithinPartitions("cluster", "task", "last", "id").mapInArrow(_joins(k, percent), _PAIR).distinct(), "joins")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -287,17 +329,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = members.where("own").select("id", "n", "sig", "bands").dropDuplicates(["id", "bands"])
     texts = docs.select(row_id().alias("id"), text_of().alias("text"))
 
-    links = confirmed(_round1(reps, percent), texts, k, percent)
+    pairs, bound = _round1(reps.withColumn("comp", F.col("id")), percent)
+    links = confirmed(pairs, texts, k, percent).where("ok").select("a", "b")
     # a document with several texts joins their classes
     several = members.groupBy(RID).agg(F.min("id").alias("a"), F.max("id").alias("m")).where("a <> m").select(RID, "a")
     same = members.join(several, RID).select("a", F.col("id").alias("b")).where("a <> b").distinct()
-    good = lambda x: x.where("ok").select("a", "b")
-    comps = stash(components(good(links).unionByName(same)), "components")
-    rows = _buckets(_labelled(reps, comps)).select("key", F.lit(0).alias("salt"), "id", "n", "sig", "comp")
-    rest = rows.repartition("key").sortWithinPartitions("key", "comp", "id").mapInArrow(_cross_pairs(percent), _PAIR).distinct()
-    more = stash(rest.join(links.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not more.isEmpty():
-        comps = stash(components(good(links).unionByName(good(confirmed(more, texts, k, percent))).unionByName(same)), "components")
+    links = stash(links.unionByName(same), "links")
+    comps = stash(components(links), "components")
+    clusters = stash(components(pairs.unionByName(bound)), "clusters")
+    comps = stash(components(links.unionByName(_round2(reps, comps, clusters, texts, k, percent))), "components")
     ids = docs.select("doc_id", row_id().alias(RID), F.xxhash64(text_of()).alias(TAG))
     out = _labelled(members.select(RID, TAG, "n", "id").distinct(), comps)
     return ids.join(out, [RID, TAG]).select("doc_id", F.col("n").alias("n_shingles"), "comp", RID, TAG)
@@ -316,9 +356,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.nullif(F.col("comp"), F.lit(NO_ID).cast("long")).alias("component_id"), (F.col("comp") == F.col(RID)).alias("kept"))
 
 
-ORACLE = """
+def oracle(k: int = 4) -> str:
+    return _SQL.replace("{k}", str(k)).replace("{k-1}", str(k - 1)).replace("{k-2}", str(k - 2))
+
+
+_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {k-2}), lambda i: array_to_string(ws[i:i+{k-1}], ' ')) END) AS sh FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT sh FROM s GROUP BY sh HAVING count(*) > 1),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN common USING (sh) JOIN s y USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
