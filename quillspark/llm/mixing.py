@@ -30,6 +30,14 @@ CHUNK, CELLS, PLACES = 8192, 4096, 4096
 GOLDEN = 0.6180339887498949
 
 
+#: Source tables of up to so many rows are broadcast; larger ones are joined by shuffle, where AQE splits skew.
+BROADCAST_SOURCES = 20_000
+
+
+def per_source(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -99,7 +107,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_times: int = MAX_TIMES, slots: int
     block = max(LEAST_BLOCK, -(-total // slots))
     plan = stash(schedule(spark, goals, -(-total // block)), "schedule")
     dealt = plan.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_slots"))
-    streams = placed(sizes, seed).join(goals.select("source_key", "source_size").join(dealt, "source_key"), "source_key")
+    streams = placed(sizes, seed).join(per_source(goals.select("source_key", "source_size").join(dealt, "source_key")), "source_key")
     passes = streams.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_times - 1)), lambda j: F.col("at") + j * F.col("source_size"))))
     first, last = F.expr(f"start div {block}"), F.least(F.expr(f"(start + size - 1) div {block}"), F.col("n_slots") - 1)
     pieces = passes.where(first < F.col("n_slots")).withColumn("rank", F.explode(F.sequence(first, last)))
@@ -112,7 +120,7 @@ def takings(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and internal ids of each row."""
     sizes, goals, parts = mix(docs, **options)
     taken = parts.groupBy("uid").agg(F.sum("words").alias("taken"))
-    return sizes.join(goals, "source_key").join(taken, "uid", "left").select(
+    return sizes.join(per_source(goals), "source_key").join(taken, "uid", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), RID, TAG, "source_key", "uid")
 
 
