@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.llm.common import RID, TAG, TXT, row_id, rows_of, stash, text_of
+from quillspark.llm.common import NO_ID, RID, TAG, TXT, row_id, text_of
 from quillspark.llm.words import windows, words_of
 
 WINDOW, SPAN, DEPTH, SHARD = 13, 5, 16, 1_000_000
@@ -180,10 +181,13 @@ def _anchor_rows(window: int, span: int):
             begins = np.append(True, key[1:] != key[:-1])[: len(key)]
             starts = np.flatnonzero(begins)
             shared = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
-            # shared here: all are settled, and the first stands for them in the exchange
-            for pick, settled in ((shared, True), (~shared | begins, False)):
-                if pick.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(ids[pick]), pa.array(np.full(pick.sum(), settled))], names=["anchor", RID, "settled"])
+            # shared here: all are settled, go by their id, and the first stands for them among the others
+            keep = ~shared | begins
+            route = np.concatenate([key[keep], ids[shared]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route), pa.array(np.concatenate([key[keep], key[shared]])), pa.array(np.concatenate([ids[keep], ids[shared]])), pa.array(np.arange(len(route)) >= keep.sum())],
+                names=["route", "anchor", RID, "settled"],
+            )
 
     return task
 
@@ -282,18 +286,23 @@ def _shard_rows(window: int, shard: int):
     return task
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The same columns, joined on the same key, wherever texts are moved: Spark then moves them once."""
+    return docs.select(row_id().alias(RID), text_of().alias(TXT)).withColumn(TAG, F.xxhash64(TXT))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, shard: int = SHARD) -> DataFrame:
-    """(RID, TAG, spans) of each row that has repeated windows: spans of word numbers [begin, end)."""
+    """(RID, spans) of each id that has repeated windows: spans of word numbers (text hash, begin, end)."""
     texts = docs.select(row_id().alias(RID), text_of().alias(TXT))
-    anchors = stash(texts.mapInArrow(_anchor_rows(window, span), f"anchor long, {RID} long, settled boolean"), "anchors")
-    pairs = anchors.where("not settled").groupBy("anchor").agg(F.min(RID).alias("lo"), F.max(RID).alias("hi"), F.collect_list(RID).alias("ids"))
-    shared = pairs.where("lo < hi").select("anchor", F.explode("ids").alias(RID)).unionByName(anchors.where("settled").select("anchor", RID))
+    anchors = texts.mapInArrow(_anchor_rows(window, span), f"route long, anchor long, {RID} long, settled boolean").repartition("route")
+    same = Window.partitionBy("route", "anchor", "settled")
+    met = anchors.select("anchor", RID, "settled", F.min(RID).over(same).alias("lo"), F.max(RID).over(same).alias("hi"))
+    shared = met.where("settled or lo < hi").select("anchor", RID)
     per_doc = shared.groupBy(RID).agg(F.collect_set("anchor").alias("shared"))
-    rows = rows_of(docs).select(RID, TAG, TXT)
-    segments = rows.join(per_doc, RID).select(RID, TAG, TXT, "shared").mapInArrow(_segment_rows(window, span), _SEGMENT)
+    segments = _rows(docs).join(per_doc, RID).select(RID, TAG, TXT, "shared").mapInArrow(_segment_rows(window, span), _SEGMENT)
     dealt = segments.repartition("route").sortWithinPartitions("route", "seg", RID)
     spans = dealt.mapInArrow(_shard_rows(window, shard), f"{RID} long, {TAG} long, begin long, end long")
-    return stash(spans, "spans").groupBy(RID, TAG).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return spans.groupBy(RID).agg(F.collect_list(F.struct(TAG, "begin", "end")).alias("spans"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -301,7 +310,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(1), batch.column(2)
+            texts, tags, spans = batch.column(1), batch.column(2).to_numpy(), batch.column(3)
             n_words, n_removed, kept = [], [], []
             for i, data, starts, ends, _, at in words_of(texts):
                 for k in range(len(at) - 1):
@@ -309,18 +318,19 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
                     n_words.append(len(a))
                     stay = np.ones(len(a), dtype=bool)
                     if (cut := spans[i + k]).is_valid and len(a):
-                        cut = cut.values.flatten()
+                        tag, begin, end = (x.to_numpy() for x in cut.values.flatten())
+                        mine = tag == tags[i + k]
                         depth = np.zeros(len(a) + 1, dtype=np.int64)
-                        np.add.at(depth, cut[0].to_numpy(), 1)
-                        np.add.at(depth, cut[1].to_numpy(), -1)
+                        np.add.at(depth, begin[mine], 1)
+                        np.add.at(depth, end[mine], -1)
                         stay = np.cumsum(depth)[:-1] == 0
                     n_removed.append(int(len(a) - stay.sum()))
                     raw = data.tobytes() if not k else raw
                     kept.append(b" ".join([raw[x:y] for x, y in zip(a[stay].tolist(), b[stay].tolist(), strict=True)]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    found = repeats(docs, **options)
-    rows = rows_of(docs).join(found, [RID, TAG], "left").select(F.col("doc_id").cast("long"), TXT, "spans")
+    rows = _rows(docs).join(repeats(docs, **options), RID, "left")
+    rows = rows.select(F.nullif(F.col(RID), F.lit(NO_ID).cast("long")).alias("doc_id"), TXT, TAG, "spans")
     return rows.mapInArrow(task, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
