@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode has it, and the four separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -40,7 +41,7 @@ def normalize_value(text: str | None) -> str:
     return text.replace("\r", "").strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type object: a string would need a session at import
 def normalize(text: pd.Series) -> pd.Series:
     return text.map(normalize_value, na_action=None) if len(text) else text
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSION = 128
 _SPACES = re.compile(r"\s+")
@@ -49,12 +50,12 @@ def trigrams(text: str) -> tuple[int, int]:
     return len(key), len(np.unique(key))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def char_profile(text: pd.Series) -> pd.Series:
     return text.map(lambda t: profile(t or ""))
 
 
-@F.pandas_udf("struct<total: long, different: long>")
+@F.pandas_udf(T.StructType([T.StructField("total", T.LongType()), T.StructField("different", T.LongType())]))
 def char_trigrams(text: pd.Series) -> pd.DataFrame:
     pairs = [trigrams(t or "") for t in text]
     return pd.DataFrame({"total": [a for a, _ in pairs], "different": [b for _, b in pairs]}, dtype="int64")
