@@ -29,7 +29,7 @@ from quillspark.llm.common import text_of
 from quillspark.llm.token_records import _PIECES, Encoder, encoder, tokenizer_path
 
 LEAF = 512
-_WS = frozenset("\t\n\x0b\x0c\r \x85\xa0     　") | frozenset(map(chr, range(0x2000, 0x200B)))
+_WS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | frozenset(map(chr, range(0x2000, 0x200B)))
 
 
 class Node:

@@ -58,7 +58,7 @@ def _hash(points: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, and segmentations of texts by them; ``most`` parts are kept at a time."""
 
-    def __init__(self, path: str, n: int = N_BEST, most: int = 1_000_000):
+    def __init__(self, path: str, n: int = N_BEST, most: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)

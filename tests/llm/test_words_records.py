@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from quillspark.llm import token_records, words
 
-ODD = ["", " ", "a", "Hello  world", "foo\n bar\n\n  baz\t", "x<|endoftext|> y <|endoftext|>", "!\x1c! a\x1cb", "don't we'll  'RE", "naïve ﬁ ½² 你好 🙂　z\xa0q \x85", "  lead", "trail  \n"]
+ODD = ["", " ", "a", "Hello  world", "foo\n bar\n\n  baz\t", "x<|endoftext|> y <|endoftext|>", "!\x1c! a\x1cb", "don't we'll  'RE", "naïve ﬁ ½² 你好 🙂　z\xa0q \x85", "  lead", "trail  \n", "aя a² aª e\u0301x a_b a’s x3y3"]
 
 
 def test_words_match_plain_split():
