@@ -16,8 +16,10 @@ under a name of the attempt that is moved into place at the end. A task that run
 same bytes again. What the tasks return is one manifest row per shard. Files are opened through
 pyarrow's file systems, so the shared folder may be any store they know.
 
-Encoding. Byte-level pre-tokens never cross the start of a run of white space, so texts are cut there
-and each piece's ids are kept in a bounded cache; the result is that of encoding the whole text.
+Encoding. Byte-level pre-tokens never cross the start of a run of white space or the end of a run of
+letters, so texts are cut there
+and each piece's ids are kept in a bounded cache, which a Python worker keeps from task to task; the
+result is that of encoding the whole text.
 
 Defined cases: null or empty text has only the end id; null doc_ids come first; rows that repeat a
 doc_id follow each other in the order of their text's hash; an empty table gives no rows.
@@ -38,11 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import NO_ID, RID, TAG, TXT, new_path, rows_of, stash
+from quillspark.llm.common import NO_ID, RID, TAG, TXT, kept_by_worker, new_path, rows_of, stash
 
 #: White space of the pre-tokenizer's pattern (Unicode White_Space).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Finer: a pre-token also ends where a run of letters does (letters that are known as such without a table).
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_FINE = re.compile(f"[{_SPACE}]*+[{_LETTERS}]++(?![^\\W\\d_])|[{_SPACE}]*+[^{_SPACE}]+|[{_SPACE}]+")
 _CHUNK = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 END_ID = 0
 
@@ -56,7 +61,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer; ``most`` pieces are kept at a time."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 1_800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,8 +75,8 @@ class Encoder:
         self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.codes]
-        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
+        new = list(set(pieces).difference(self.codes))
+        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
             ids, code = e.ids, len(self.codes)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -86,17 +91,17 @@ class Encoder:
         if len(self.codes) > self.most:
             self.clear()
         try:
-            codes = [self.codes[p] for p in pieces]
+            return np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
         except KeyError:
             self._learn(pieces)
-            codes = [self.codes[p] for p in pieces]
-        return np.array(codes, dtype=np.int64)
+            return np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
 
     def counts(self, pieces: list[str]) -> np.ndarray:
-        return self.n[self._codes(pieces)]
+        codes = self._codes(pieces)  # may replace the arrays
+        return self.n[codes]
 
     def _chunk(self, text: str) -> np.ndarray:
-        codes = self._codes(_PIECES.findall(text))
+        codes = self._codes(_FINE.findall(text))
         n = self.n[codes]
         ends = np.cumsum(n)
         take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[codes] - ends + n, n)
@@ -114,6 +119,11 @@ class Encoder:
         return np.concatenate(out)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: its pieces stay from task to task."""
+    return kept_by_worker(("encoder", path), lambda: Encoder(path))
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
@@ -159,7 +169,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         records = index = None
         for batch in batches:
             if records is None:
-                encode = Encoder(tokenizer or tokenizer_path())
+                encode = encoder(tokenizer or tokenizer_path())
                 store.create_dir(root, recursive=True)
                 records, index = store.open_output_stream(f"{part}.{attempt}"), store.open_output_stream(f"{idx}.{attempt}")
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
