@@ -30,13 +30,18 @@ NONE = -(2**62)
 
 
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (identified by RID, TAG, idx) with an integer ``name`` in place of ``keys``: equal keys, equal names."""
+    """``rows`` (identified by RID, TAG, idx) with an integer ``name`` in place of ``keys``: equal keys, equal names.
+
+    Rows are ranged by the hash of their keys and sorted by hash and keys. The hash only spreads them, and
+    keeps block contents out of the samples that the driver sees; equality of the keys decides.
+    """
     rest = [c for c in rows.columns if c not in keys]
+    rows = rows.withColumn("h", F.xxhash64(*keys))
     hot = heavy_keys(rows, keys)
     cold = rows if hot is None else rows.join(F.broadcast(hot), keys, "left_anti")
     # sorted before it is numbered: a task that runs again gives the same numbers
-    ordered = cold.repartitionByRange(*keys).sortWithinPartitions(*keys, RID, TAG, "idx").withColumn("nr", F.monotonically_increasing_id())
-    out = ordered.select(*rest, F.min("nr").over(Window.partitionBy(*keys)).alias("name"))
+    ordered = cold.repartitionByRange("h").sortWithinPartitions("h", *keys, RID, TAG, "idx").withColumn("nr", F.monotonically_increasing_id())
+    out = ordered.select(*rest, F.min("nr").over(Window.partitionBy("h", *keys)).alias("name"))
     if hot is None:
         return out
     table = hot.withColumn("name", -F.row_number().over(Window.orderBy(*keys)).cast("long"))
