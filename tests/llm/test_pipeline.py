@@ -68,9 +68,20 @@ def test_last_stage(stages):
     assert all(r.n_pieces == len(r.ids) and r.scores == sorted(r.scores, reverse=True) for r in stages[5].collect())
 
 
-def test_run_is_its_stages(spark, stages):
-    got = corpus_pipeline.run(spark, DIR).select("doc_id", "n_pieces").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, stages[5].select("doc_id", "n_pieces").collect()))
+def test_run_chains_its_stages(spark, monkeypatch):
+    """Each stage gets what the one before it wrote, and the folder of the tables."""
+    seen = []
+
+    def stage(name, keep):
+        def f(session, docs, sf_dir):
+            seen.append((name, docs.count(), sf_dir))
+            return docs.where(keep)
+
+        return name, f
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a", "doc_id >= 10"), stage("b", "doc_id >= 50"), stage("c", "doc_id < 60")])
+    assert corpus_pipeline.run(spark, DIR).count() == 10
+    assert seen == [("a", 200, DIR), ("b", 190, DIR), ("c", 150, DIR)]
 
 
 def test_registered():
