@@ -44,6 +44,15 @@ def test_lockstep_equals_single_search(model):
         assert found == [(s, [i for x in how for i in model._ids_of(x)]) for s, how in model.search(p)]
 
 
+def test_parts_give_the_whole_lattices_paths(model):
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["the", "x", "1", "23", ".", ",", "-", "\n", " ", "  ", "é", "²", "()", "'s", "🙂", "я", "_", "utf8"]) for _ in range(30))
+        got = model.nbest(text)
+        assert [s for s, _ in got] == [s for s, _ in model.search(model.normalize(text))]
+        assert model.decode(np.array(got[0][1])) == text
+
+
 @pytest.mark.parametrize("text", ["", " ", "Hello  world\n\ttabs ", "naïve ﬁ ½ 你好 🙂", "a" * 200, "x\x00y", "  lead"])
 def test_round_trip(model, text):
     for _, ids in model.nbest(text):
