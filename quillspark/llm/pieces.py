@@ -7,8 +7,9 @@ The search then goes backward from the end: a hypothesis of score g at position
 viterbi[p] + g, which is what its best completion scores exactly, so complete hypotheses are popped in
 order of score and each pop lies on one of the n best paths. Ties go to the hypothesis pushed first.
 
-Pieces never hold a U+2581 after another character, so a lattice falls apart before each run of them;
-the parts are searched once per distinct part and cached (bounded). For a document, the n least sums of
+Pieces never hold a U+2581 after another character, so a lattice falls apart before each run of them, and
+between a letter and a mark where the model has no piece across (both are checked as it is loaded); the
+parts are searched once per distinct part and cached (bounded). For a document, the n least sums of
 losses are combined from its parts: only the n - 1 parts with the least first losses can take part.
 Parts of up to LONG characters are searched many at a time in arrays, longer ones one by one; both
 follow the same order of pushes and give the same paths.
@@ -38,6 +39,9 @@ from quillspark.llm.common import kept_by_worker, text_of
 SPACE = "▁"
 N_BEST, LONG, BATCH = 4, 48, 4096
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Finer, for models without pieces that go on from a letter to one of these marks.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r".,;:!?|\"$%&*#()\n-"
+_FINE = re.compile(f"{SPACE}*+[{_LETTERS}]++(?=[{SPACE}{_MARKS}]|\\Z)|{SPACE}*+[^{SPACE}]+?(?:(?<=[{_LETTERS}])(?=[{_MARKS}])|(?={SPACE})|\\Z)|{SPACE}+".replace(r'\"', '"'))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -58,7 +62,7 @@ def _hash(points: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, and segmentations of texts by them; ``most`` parts are kept at a time."""
 
-    def __init__(self, path: str, n: int = N_BEST, most: int = 600_000):
+    def __init__(self, path: str, n: int = N_BEST, most: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,6 +74,8 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("the model has pieces that go on after a space; its lattices do not fall apart")
+        crossing = re.compile(f"[{_LETTERS}][{_MARKS}]")
+        self.parts = _PARTS if any(crossing.search(p) for p in self.ids) else _FINE
         self.fallback = float(min((s for s in self.score if s > -1e8), default=0.0)) - 10
         self.prefix = sp.normalize("a") == f"{SPACE}a"
         by_hash = {}
@@ -126,8 +132,11 @@ class Pieces:
                 heapq.heappush(agenda, (-(best[p - size] + (score + g)), pushed, p - size, score + g, (part[p - size : p], path)))
         return out
 
-    def _search_many(self, parts: list[str]) -> list[list[tuple[float, list[int]]]]:
-        """``search`` for parts of up to LONG characters, in lockstep."""
+    def _search_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``search`` for parts of up to LONG characters, in lockstep: (part, nth, ids, score) of each path.
+
+        Ids are padded with -2; -3 less a place stands for the character there, which falls back to bytes.
+        """
         m, width = len(parts), max(map(len, parts))
         size = np.array([len(p) for p in parts])
         points = np.zeros((m, width), dtype=np.uint64)
@@ -183,58 +192,61 @@ class Pieces:
                 parent[row, slot], step[row, slot] = t[i], s + 1
                 used += np.bincount(row, minlength=m)
             rows = rows[found[rows] < self.n]
-        out: list[list[tuple[float, list[int]]]] = [[] for _ in range(m)]
-        for k in range(self.n):
-            row = np.flatnonzero(found > k)
-            slot, columns = ends[row, k], []
-            while (slot > 0).any():
-                s, at = step[row, slot], pos[row, slot]
-                i = np.where(slot > 0, piece[row, np.minimum(at + s, width), np.maximum(s, 1) - 1], -2)
-                columns.append(np.where(i == -1, -3 - at, i))
-                slot = parent[row, slot]
-            ids = np.stack(columns, axis=1).tolist() if columns else [[]] * len(row)
-            for x, path in zip(row.tolist(), ids, strict=True):
-                if min(path) > -3:
-                    whole = [i for i in path if i != -2]
-                else:
-                    whole = [j for i in path if i != -2 for j in ([i] if i >= 0 else self._ids_of(parts[x][-3 - i]))]
-                out[x].append((float(scores[x, k]), whole))
-        return out
+        row, k = np.nonzero(np.arange(self.n)[None, :] < found[:, None])
+        slot, columns = ends[row, k], []
+        while (slot > 0).any():
+            s, at = step[row, slot], pos[row, slot]
+            i = np.where(slot > 0, piece[row, np.minimum(at + s, width), np.maximum(s, 1) - 1], -2)
+            columns.append(np.where(i == -1, -3 - at, i))
+            slot = parent[row, slot]
+        return row, k, np.stack(columns, axis=1), scores[row, k]
 
     def _learn(self, new: list[str]) -> None:
-        short = [p for p in new if len(p) <= LONG]
-        order = sorted(short, key=len)
+        order = sorted((p for p in new if len(p) <= LONG), key=len)
         for i in range(0, len(order), BATCH):
             batch = order[i : i + BATCH]
-            for p, found in zip(batch, self._search_many(batch), strict=True):
-                self._keep(p, found)
+            base = self._room(batch)
+            part, nth, ids, scores = self._search_many(batch)
+            self.scores[base + part, nth] = scores
+            plain = ids.min(axis=1) > -3
+            used = ids[plain] != -2
+            self._put(base + part[plain], nth[plain], used.sum(axis=1), ids[plain][used])
+            if not plain.all():
+                rest = [[j for x in path if x != -2 for j in ([x] if x >= 0 else self._ids_of(batch[p][-3 - x]))] for p, path in zip(part[~plain].tolist(), ids[~plain].tolist(), strict=True)]
+                self._put(base + part[~plain], nth[~plain], np.array([len(x) for x in rest]), np.array([j for x in rest for j in x]))
         for p in new:
             if len(p) > LONG:
-                self._keep(p, [(s, [i for x in pieces for i in self._ids_of(x)]) for s, pieces in self.search(p)])
-
-    def _keep(self, part: str, found: list[tuple[float, list[int]]]) -> None:
-        code = len(self.codes)
-        if code >= len(self.at):
+                found = self.search(p)
+                base, whole = self._room([p]), [[i for x in pieces for i in self._ids_of(x)] for _, pieces in found]
+                self.scores[base, : len(found)] = [score for score, _ in found]
+                self._put(np.full(len(found), base), np.arange(len(found)), np.array([len(x) for x in whole]), np.array([j for x in whole for j in x]))
+
+    def _room(self, parts: list[str]) -> int:
+        """Codes for new parts; the first of them."""
+        base = len(self.codes)
+        while base + len(parts) > len(self.at):
             self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len))
             self.scores = np.concatenate([self.scores, np.full_like(self.scores, -np.inf)])
-        for k, (score, ids) in enumerate(found):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[code, k], self.len[code, k], self.scores[code, k] = self.used, len(ids), score
-            self.used += len(ids)
-        self.codes[part] = code
+        self.codes.update(zip(parts, range(base, base + len(parts)), strict=True))
+        return base
+
+    def _put(self, code: np.ndarray, nth: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[code, nth] = self.used + np.cumsum(sizes) - sizes
+        self.len[code, nth] = sizes
+        self.used += len(ids)
 
     def coded(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The codes of each text's parts. New parts of all of them are searched together."""
-        parts = [_PARTS.findall(self.normalize(t)) for t in texts]
+        parts = [self.parts.findall(self.normalize(t)) for t in texts]
         if len(self.codes) > self.most:
             self.clear()
-        new = dict.fromkeys(p for t in parts for p in t)
-        if new := [p for p in new if p not in self.codes]:
-            self._learn(new)
+        if new := set().union(*parts).difference(self.codes):
+            self._learn(sorted(new))
         for t in parts:
-            yield np.array([self.codes[p] for p in t], dtype=np.int64)
+            yield np.fromiter(map(self.codes.__getitem__, t), np.int64, len(t))
 
     def encode(self, text: str, codes: np.ndarray | None = None) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]], np.ndarray]:
         """(ids of the best segmentation, the n best scores, for each the parts that differ from the best, where parts begin in the ids)."""
@@ -257,7 +269,7 @@ class Pieces:
         changes = [[(i, self.flat[self.at[codes[i], k] : self.at[codes[i], k] + self.len[codes[i], k]].tolist()) for i, k in how] for _, how in sums]
         return ids, [total - x for x, _ in sums], changes, np.append(0, ends)
 
-    def encode_all(self, texts: Iterator[str], most: int = 2_000_000) -> Iterator[tuple]:
+    def encode_all(self, texts: Iterator[str], most: int = 4_000_000) -> Iterator[tuple]:
         """``encode`` of each text, by groups of about ``most`` characters."""
         group, size = [], 0
         for t in texts:
