@@ -8,8 +8,10 @@ documents that it holds.
 
 Nothing is gathered per source: slots are ranked and documents placed in two levels (a count or sum
 per chunk, prefix sums over chunks, then order within the chunk), so a source with a third of all
-documents is spread over many tasks. The number of slots is bounded by SLOTS; block sizes grow with the
-corpus instead.
+documents is spread over many tasks. The number of slots that points deal is bounded by SLOTS; block sizes
+grow with the corpus instead. A source gives exactly its rounded target, whatever the block: its last
+block ends there, points beyond it stay empty, and blocks that no point was left for (those of sources
+under a block among them) get slots of their own, a few per source, spread over the mix beside the others.
 
 Defined cases: null or empty text has size 0 and is never taken; null sources come last in the order
 of weights; rows that repeat a doc_id are separate entries of the mix; an empty table or one without
@@ -87,6 +89,15 @@ def schedule(spark, goals: DataFrame, n_slots: int) -> DataFrame:
     return dealt.withColumn("own", own).join(counts, ["source_key", "chunk"]).select("slot", "source_key", (F.col("before") + F.col("own")).alias("rank"))
 
 
+def settled(plan: DataFrame, goals: DataFrame, block: int, n_slots: int) -> DataFrame:
+    """``plan`` and a slot for each block up to a source's ``words`` that it has none for, at the block's share of the mix."""
+    dealt = plan.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_slots"))
+    short = goals.where("words > 0").join(dealt, "source_key", "left").select("source_key", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.expr(f"(words - 1) div {block} + 1").alias("blocks"))
+    more = short.where("n_slots < blocks").withColumn("rank", F.explode(F.sequence(F.col("n_slots"), F.col("blocks") - 1)))
+    within = F.pmod(F.xxhash64("source_key"), F.lit(2**20)) / 2**20
+    return plan.unionByName(more.select(F.floor((F.col("rank") + within) / F.col("blocks") * n_slots).alias("slot"), "source_key", "rank"))
+
+
 def placed(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     """Each document's place in its source's shuffled stream: ``at``, words before it."""
     rows = sizes.where("size > 0").withColumn("ord", F.xxhash64(F.lit(seed), RID, TAG))
@@ -105,13 +116,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_times: int = MAX_TIMES, slots: int
     goals = stash(targets(sizes, weights, max_times), "targets")
     total = goals.agg(F.sum("source_size")).first()[0] or 0
     block = max(LEAST_BLOCK, -(-total // slots))
-    plan = stash(schedule(spark, goals, -(-total // block)), "schedule")
-    dealt = plan.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_slots"))
-    streams = placed(sizes, seed).join(per_source(goals.select("source_key", "source_size").join(dealt, "source_key")), "source_key")
+    n_slots = -(-total // block)
+    goals = goals.withColumn("words", F.floor(F.coalesce("target", F.lit(0.0)) + 0.5))
+    plan = settled(stash(schedule(spark, goals, n_slots), "schedule"), goals, block, n_slots)
+    streams = placed(sizes, seed).join(per_source(goals.where("words > 0").select("source_key", "source_size", F.col("words").alias("goal"))), "source_key")
     passes = streams.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_times - 1)), lambda j: F.col("at") + j * F.col("source_size"))))
-    first, last = F.expr(f"start div {block}"), F.least(F.expr(f"(start + size - 1) div {block}"), F.col("n_slots") - 1)
-    pieces = passes.where(first < F.col("n_slots")).withColumn("rank", F.explode(F.sequence(first, last)))
-    lo, hi = F.greatest("start", F.col("rank") * block), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block)
+    passes = passes.where("start < goal").withColumn("end", F.least(F.col("start") + F.col("size"), F.col("goal")))
+    pieces = passes.withColumn("rank", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}"))))
+    lo, hi = F.greatest("start", F.col("rank") * block), F.least(F.col("end"), (F.col("rank") + 1) * block)
     pieces = pieces.select("uid", "source_key", "rank", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("words"))
     return sizes, goals, plan.join(pieces, ["source_key", "rank"]).select("slot", "uid", "first_word", "words")
 

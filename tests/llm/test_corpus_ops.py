@@ -223,6 +223,23 @@ def test_mixing(spark, case):
     assert sum(len(words(r.text)) for r in mixed.collect()) == pytest.approx(sum(taken.values()), abs=3)
 
 
+@pytest.mark.parametrize("slots", [mixing.SLOTS, 4, 1])
+def test_mixing_gives_rounded_targets(spark, slots):
+    """Each source gives its rounded target whatever the block, sources far below a block included."""
+    rows = corpus(9) + [(1000 + i, "w " * (1 + i % 9), f"site{i}") for i in range(60)] + [(2000, "v " * 5000, "large")]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want, taken = targets(sizes), Counter()
+    for r in mixing.takings(table(spark, rows), slots=slots).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[None if r.source_key == "-" else r.source_key[1:]] += r.taken
+    assert taken == Counter({s: int(x + 0.5) for s, x in want.items()})
+    total, (_, _, parts) = sum(sizes.values()), mixing.mix(table(spark, rows), slots=slots)
+    block = max(mixing.LEAST_BLOCK, -(-total // slots))
+    assert all(0 <= r.slot < -(-total // block) and 0 < r.words <= block for r in parts.collect())
+
+
 def test_schedule_spreads_sources(spark):
     """Any stretch of the mix holds sources nearly in proportion, and ranks count each source's slots."""
     goals = spark.createDataFrame([("=a", 1.0), ("=b", 2.0), ("=c", 5.0), ("=d", 0.0)], "source_key string, target double")
