@@ -3,11 +3,15 @@
 A document's set holds the hashes of its distinct ``k``-word shingles. From HASHES minima per set come
 BANDS band keys of ROWS full minima each, and a packed signature of the low BITS bits of every minimum.
 A pair that shares a band is compared by counting equal packed cells; the share of chance agreements
-(2^-BITS) is taken out, which gives the estimate. Pairs whose estimate lies no more than five standard
-deviations below the threshold are confirmed on the full sets, made again from the texts.
+(2^-BITS) is taken out, which gives the estimate. Pairs are confirmed on the full sets, made again from the
+texts, if their estimate is not below a bound that a pair at the threshold falls under with probability
+LOST at most (summed from the binomial distribution).
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^3)^20 = 6e-7 and is estimated too low
-with probability 3e-7; those are the only two ways to lose a link.
+with probability 1.3e-7; those are the only two ways to lose a link. Both take hash functions that are as
+good as independent on sets of any size, so each mixes the 64-bit shingle with a seed of its own. Small
+sets do not skip the estimate: short documents of one template share bands, and without it they would
+all fall into one cluster, which round 2 compares pair by pair.
 
 No group is ever expanded into all its pairs:
 
@@ -33,6 +37,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,28 +49,32 @@ from quillspark.llm.common import NO_ID, RID, TAG, TXT, heavy_keys, row_id, rows
 from quillspark.llm.words import mix, windows, words_of
 
 HASHES, BITS, ROWS, BANDS, SALTS = 128, 2, 3, 20, 64
+#: Most loss by the estimate at the threshold.
+LOST = 3e-7
 CELLS = 64 // BITS
 SIG = HASHES // CELLS
 _rng = np.random.default_rng(7)
-_XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
-_MUL = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_SALT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
 _LOW = np.uint64(sum(1 << (BITS * i) for i in range(CELLS)))
 _SEEDS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 
 
-def least_estimate(percent: int, sigmas: float = 5.0) -> float:
-    """Five standard deviations of the estimate below the threshold."""
-    j, chance = percent / 100, 2.0**-BITS
-    p = chance + (1 - chance) * j
-    return j - sigmas * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
+def least_estimate(percent: int, lost: float = LOST) -> float:
+    """The bound that the estimate of a pair at the threshold falls under with probability ``lost`` at most."""
+    chance = 2.0**-BITS
+    p = chance + (1 - chance) * percent / 100
+    same, below = 0, 0.0
+    while same < HASHES and (below := below + math.comb(HASHES, same) * p**same * (1 - p) ** (HASHES - same)) <= lost:
+        same += 1
+    return ((same - 0.5) / HASHES - chance) / (1 - chance)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    x = shingles.astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(out, ((x[None, i : i + 2048] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=out)
-    return out
+    """The high 32 bits of the least mixed hash under each of HASHES seeds."""
+    out = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(shingles), 256):
+        np.minimum(out, mix(shingles[None, i : i + 256] ^ _SALT[:, None]).min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def packed(low: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,18 @@ def test_near_duplicate_chain(spark):
     assert Counter(map(tuple, got)) == Counter(components(rows, 2, 80))
 
 
+@pytest.mark.parametrize("common_n,extra", [(4, (0, 1)), (8, (1, 1)), (8, (0, 2)), (12, (1, 2))])
+def test_estimates_of_small_sets(common_n, extra):
+    """Of pairs of small sets at similarity 0.8 the estimate loses 1.3e-7, and minima agree like independent ones."""
+    rng, least, lost, n = np.random.default_rng(5), minhash.least_estimate(80), 0, 40_000
+    for _ in range(n):
+        x = rng.integers(0, 2**64, common_n + sum(extra), dtype=np.uint64)
+        a, b = x[: common_n + extra[0]], np.append(x[:common_n], x[common_n + extra[0] :])
+        sig, other = (minhash.packed(minhash.minima(y)) for y in (a, b))
+        lost += not minhash._alike(sig, len(a), other[None, :], np.array([len(b)]), 80, least)[0]
+    assert lost == 0
+
+
 @pytest.mark.parametrize("window,span,shard", [(13, 5, 10**6), (5, 2, 50)])
 def test_substring_dedup(spark, window, span, shard):
     rows = corpus(5)
