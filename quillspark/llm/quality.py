@@ -3,10 +3,13 @@
 Each document gets four integer measures (symbols per 1000 word characters, repeated lines per
 1000 lines, words in repeated 3-word windows per 1000 words, word length in hundredths). A sketch is a
 histogram over log-linear buckets (7 significant bits, so a relative error under 1/64): sketches
-merge by adding counts, are exact in any order and need no random numbers. A group of (language,
-source) takes its own sketch from ``min_group`` documents on, else its language's, else that of all;
-the coarser ones are merges of the finer. Limits lie ``reach`` interquartile ranges beyond the
-quartiles, plus a slack that keeps groups of nearly equal documents from rejecting each other.
+merge by adding counts, are exact in any order and need no random numbers. Repetition is rare, so its two
+sketches hold the values above zero only; else their quartiles would be zero everywhere. A group of
+(language, source) takes its own sketch from ``min_group`` values on, else its language's, else that of
+all; the coarser ones are merges of the finer. Limits lie ``reach`` interquartile ranges beyond the
+quartiles, plus a slack that keeps groups of nearly equal documents from rejecting each other. A group's
+limits are never wider than its language's, nor those of shares wider than those of all, so a source full
+of junk cannot lift its own; what words' length is usual differs by language and is not bound by all.
 
 All of it is DataFrame expressions: measures are made in one pass without a shuffle and written
 once; what is shuffled afterwards are counts.
@@ -22,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm.common import RID, TAG, WS, let, row_id, stash, text_of
+from quillspark.llm.mixing import per_source
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Rows that a group needs for a sketch of its own; reach beyond the quartiles in interquartile ranges.
+#: Values that a group needs for a sketch of its own; reach beyond the quartiles in interquartile ranges.
 MIN_GROUP, REACH = 100, 3
-#: measure -> (slack, also a lower limit)
-MEASURES = {"symbols": (60, False), "dup_lines": (400, False), "repeats": (300, False), "word_len": (150, True)}
+#: measure -> (slack, also a lower limit and not bound by other languages, of values above zero only)
+MEASURES = {"symbols": (60, False, False), "dup_lines": (20, False, True), "repeats": (20, False, True), "word_len": (150, True, False)}
 
 
 def repeated_words(words: Column) -> Column:
@@ -93,6 +97,7 @@ def limits(base: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> D
     cells = (
         base.where(~F.col("base_failed"))
         .select(key("lang").alias("lk"), key("source").alias("sk"), F.explode(F.array(*(F.struct(F.lit(m).alias("m"), bucket_floor(v).alias("v")) for m, v in values.items()))).alias("x"))
+        .where(~F.col("x.m").isin([m for m, (_, _, above) in MEASURES.items() if above]) | (F.col("x.v") > 0))
         .groupBy("lk", "sk", "x.m", "x.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -103,24 +108,34 @@ def limits(base: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> D
     group = Window.partitionBy("gl", "gs", "m")
     ranked = merged.select("*", F.sum("n").over(group.orderBy("v")).alias("upto"), F.sum("n").over(group).alias("all"))
     at = lambda m, q: F.min(F.when((F.col("m") == m) & (100 * F.col("upto") >= q * F.col("all")), F.col("v"))).alias(f"{m}_{q}")
-    table = ranked.groupBy("gl", "gs").agg(*(at(m, q) for m in values for q in (25, 75)))
+    size = lambda m: F.max(F.when(F.col("m") == m, F.col("all"))).alias(f"{m}_n")
+    table = ranked.groupBy("gl", "gs").agg(*(at(m, q) for m in values for q in (25, 75)), *(size(m) for m in values))
     lims = [F.col("gl"), F.col("gs")]
-    for m, (slack, low) in MEASURES.items():
+    for m, (slack, low, _) in MEASURES.items():
         spread = reach * (F.col(f"{m}_75") - F.col(f"{m}_25")) + slack
-        lims.append((F.col(f"{m}_75") + spread).alias(f"{m}_max"))
-        lims.append((F.col(f"{m}_25") - spread if low else F.lit(-1).cast("long")).alias(f"{m}_min"))
-    groups = base.groupBy(key("lang").alias("lang_key"), key("source").alias("source_key")).agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
-    groups = groups.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang_key")))
-    own, lang = F.col("n") >= min_group, F.col("of_lang") >= min_group
-    groups = groups.select("lang_key", "source_key", F.when(own | lang, F.col("lang_key")).otherwise(F.lit("*")).alias("gl"), F.when(own, F.col("source_key")).otherwise(F.lit("*")).alias("gs"))
-    return groups.join(table.select(*lims), ["gl", "gs"], "left").drop("gl", "gs")
+        lims.append(F.struct((F.col(f"{m}_75") + spread).alias("max"), (F.col(f"{m}_25") - spread if low else F.lit(-1).cast("long")).alias("min"), F.col(f"{m}_n").alias("n")).alias(m))
+    table = table.select(*lims)
+    level = lambda name, rows: rows.select(F.col("gl").alias("lang_key"), F.col("gs").alias("source_key"), F.struct(*MEASURES).alias(name))
+    groups = base.select(key("lang").alias("lang_key"), key("source").alias("source_key")).distinct()
+    groups = groups.join(level("own", table.where("gs <> '*'")), ["lang_key", "source_key"], "left")
+    groups = groups.join(level("of_lang", table.where("gl <> '*' and gs = '*'")).drop("source_key"), "lang_key", "left")
+    groups = groups.join(F.broadcast(level("of_all", table.where("gl = '*'")).select("of_all")), how="left")
+
+    out = []
+    for m, (_, low, _) in MEASURES.items():
+        for end, tighter in (("max", F.least), ("min", F.greatest)):
+            enough = lambda name, m=m, end=end: F.when(F.col(f"{name}.{m}.n") >= min_group, F.col(f"{name}.{m}.{end}"))
+            of_all = F.col(f"of_all.{m}.{end}")
+            of_lang = F.coalesce(enough("of_lang"), of_all) if low else tighter(enough("of_lang"), of_all)
+            out.append(tighter(enough("own"), of_lang).alias(f"{m}_{end}"))
+    return groups.select("lang_key", "source_key", *out)
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
     """Base counts, verdict and internal ids of each row of ``docs`` (doc_id, text, lang, source)."""
     base = stash(base_measures(docs), "quality")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    out = base.withColumns({"lang_key": key("lang"), "source_key": key("source")}).join(limits(base, min_group, reach), ["lang_key", "source_key"], "left")
+    out = base.withColumns({"lang_key": key("lang"), "source_key": key("source")}).join(per_source(stash(limits(base, min_group, reach), "limits")), ["lang_key", "source_key"], "left")
     within = F.lit(True)
     for m, v in _measures().items():
         # with no sketch at all (every row failed the base rule) no limit exists

@@ -193,6 +193,25 @@ def test_quality_limits_follow_groups(spark):
     assert quality.filter_documents(df).count() == sum(got.values())
 
 
+def test_quality_limits_of_rare_values_and_junk(spark):
+    """Repetition far beyond what is usual is rejected, and a junk-heavy source cannot lift its own limit."""
+    rng = random.Random(2)
+    some = lambda n, mark="": " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + mark for _ in range(n))
+
+    def lines(n, again):
+        x = [some(12) for _ in range(n)]
+        return "\n".join(x + x[:again])
+
+    rows = [(i, lines(30, 1) if i % 2 else some(100), "plain") for i in range(400)]
+    rows += [(1000 + i, some(100, "##") if i < 60 else some(100), "junk") for i in range(120)]
+    rows += [(2000, lines(8, 2), "plain"), (2001, lines(30, 1), "plain")]
+    df = table(spark, rows).withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not got[2000].base_failed and not got[2000].kept and got[2001].kept
+    assert not any(got[1000 + i].kept for i in range(60)) and all(got[1060 + i].kept for i in range(60))
+    assert all(got[i].kept for i in range(400))
+
+
 def test_sketch_buckets(spark):
     values = [0, 1, 127, 128, 129, 255, 256, 1000, 10**9]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bucket_floor(F.col("v"))).collect()]
