@@ -93,6 +93,12 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_nationkey", tx.fnv1a(tx.utf16_units(F.concat(F.lit("post\n"), "n_name"))).alias("hash"))
 
 
+def document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of whole documents as posts; a null text counts as an empty one."""
+    rows = read_table(spark, f"{d}/documents.parquet")
+    return rows.select("doc_id", tx.fingerprint(F.lit("post"), F.coalesce("text", F.lit(""))).alias("fingerprint"))
+
+
 def surface_variants(spark: SparkSession, d: str) -> DataFrame:
     """Hashes of texts without punctuation and with changed case."""
     rows = read_table(spark, f"{d}/documents.parquet")
@@ -266,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
 
 def queries():
     own = (
-        profile_by_lang, token_stats, ngram_repeats, lexicon_hits, phrase_hits, punctuation, markup, sentence_stats, language_support, fingerprints, surface_variants, augmented,
+        profile_by_lang, token_stats, ngram_repeats, lexicon_hits, phrase_hits, punctuation, markup, sentence_stats, language_support, fingerprints, document_fingerprints, surface_variants, augmented,
         imported, kinds, binary_metrics, slice_metrics, record_counts, human_threshold, group_split, changes_replay, cue_counts, feature_table, char_profiles, segment_texts, analysis, page_texts,
     )
     return {f.__name__: f for f in own}

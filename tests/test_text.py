@@ -135,3 +135,18 @@ def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame([(i, f"Text {i}. It's {i % 3} words, again and again!") for i in range(40)], "id int, text string")
     a, b = (sorted(map(str, fe.extract(x, kind=None).select("id", "features", "metrics").collect())) for x in (df.repartition(1), df.repartition(7)))
     assert a == b
+
+
+def test_document_fingerprints(spark, tmp_path):
+    """The registered query on whole texts: long ones, nulls and characters beyond the BMP included."""
+    from quillspark.plans import registry
+    from quillspark.streaming.rescore import fingerprint
+
+    texts = [None, "", "a", "é\n😀 x", "\U0001f600" * 3, "word é 😀\n" * 20_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, registry.queries()["document_fingerprints"](spark, str(tmp_path)).collect()))
+    assert got == {i: fingerprint("post", t or "") for i, t in enumerate(texts)}
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    got = dict(map(tuple, registry.document_fingerprints(spark, d).collect()))
+    assert got == {r.doc_id: fingerprint("post", r.text or "") for r in docs}
