@@ -18,6 +18,7 @@ from quillspark.operators import augment, cues, evaluate, features, prepare, seg
 from quillspark.operators.analyze import analyze
 from quillspark.sources import html
 from quillspark.sources.readers import read_table
+from quillspark.streaming import rescore
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -166,9 +167,12 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
 
 def changes_replay(spark: SparkSession, d: str) -> DataFrame:
     """Events as edits of one element per user: how many of them change it, as the stream would score them."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("before", F.lag("event_type").over(w))
-    return rows.groupBy("user_id").agg(F.sum((~F.col("before").eqNullSafe(F.col("event_type"))).cast("long")).alias("scored"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    rows = events.select(F.col("user_id").alias("element_id"), nth.alias("seq"), F.lit("reddit").alias("platform"), F.lit("post").alias("kind"), F.col("event_type").alias("text"))
+    scored = rescore.replay(rows).groupBy("element_id").agg(F.count(F.lit(1)).alias("n"))
+    users = events.select("user_id").distinct()
+    return users.join(scored, F.col("element_id").eqNullSafe(F.col("user_id").cast("string")), "left").select("user_id", F.coalesce("n", F.lit(0).cast("long")).alias("scored"))
 
 
 def cue_counts(spark: SparkSession, d: str) -> DataFrame:

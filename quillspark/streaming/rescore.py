@@ -69,6 +69,25 @@ def changes(elements: DataFrame, forget: int = 24 * 3600, latest: bool = False)
     return rows.groupBy("element_id").applyInPandasWithState(step, OUT, "fingerprint string, seq long", "update", timeout)
 
 
+class _Fresh:
+    """The state of an element that was never seen, for a replay of its whole history at once."""
+
+    exists = hasTimedOut = False
+
+    def update(self, value: tuple) -> None:
+        self.exists, self.get = True, value
+
+
+def replay(elements: DataFrame) -> DataFrame:
+    """What ``changes`` gives for a table that holds each element's whole history."""
+    rows = elements.select(F.col("element_id").cast("string").alias("element_id"), F.col("seq").cast("long").alias("seq"), "platform", "kind", "text")
+
+    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return next(_collapse(key, iter([frame]), _Fresh(), 0, False), pd.DataFrame(columns=["element_id", "seq", "platform", "kind", "text", "fingerprint"]))
+
+    return rows.groupBy("element_id").applyInPandas(step, OUT)
+
+
 def rescore(elements: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, bundle: dict | None = None, sensitivity: str = "balanced", every: str = "180 milliseconds", once: bool = False, **options):
     """Run the whole analysis on what changes, micro-batch by micro-batch; ``sink`` gets each batch's analyses.
 

@@ -76,3 +76,18 @@ def test_collapse_takes_latest():
     f = pd.DataFrame({"seq": [2, 1], "platform": "x", "kind": "post", "text": ["b", "a"]})
     out = list(rescore._collapse(("e",), iter([f]), State(), 0, True))
     assert out[0].seq.tolist() == [2] and out[0].text.tolist() == ["b"]
+
+
+def test_changes_replay_runs_the_stream(spark, monkeypatch):
+    """The registered query counts what the stream's own step gives, as its SQL does."""
+    from quillspark.plans import registry
+    from quillspark.streaming import rescore
+
+    d, calls, replay = "/root/testdata/sf0.001", [], rescore.replay
+    monkeypatch.setattr(rescore, "replay", lambda rows: calls.append(1) or replay(rows))
+    got = dict(map(tuple, registry.changes_replay(spark, d).collect()))
+    want, before = {}, {}
+    for r in sorted(spark.read.parquet(f"{d}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        want[r.user_id] = want.get(r.user_id, 0) + (r.user_id not in before or before[r.user_id] != r.event_type)
+        before[r.user_id] = r.event_type
+    assert calls and got == want
