@@ -5,7 +5,12 @@ lattice holds an edge for every piece that matches; a character that is no piece
 that falls back to byte pieces. Forward Viterbi gives the best score from the start to each position.
 The search then goes backward from the end: a hypothesis of score g at position p is ranked by
 viterbi[p] + g, which is what its best completion scores exactly, so complete hypotheses are popped in
-order of score and each pop lies on one of the n best paths. Ties go to the hypothesis pushed first.
+order of score and each pop lies on one of the n best paths. What is kept is how far that lies below the
+best: an edge on a best way adds exactly 0, so rounding makes no ties or breaks them. Ties go to the
+hypothesis pushed last, the longest piece last, so a complete path is reached after its length in pops
+however many paths tie. Hypotheses on the agenda have no path in common and each completes to its rank, so
+all beyond the first n - found can be let go: an agenda never holds more than n, and time and memory grow
+with a part's length.
 
 Pieces never hold a U+2581 after another character, so a lattice falls apart before each run of them, and
 between a letter and a mark where the model has no piece across (both are checked as it is loaded); the
@@ -24,7 +29,6 @@ fewer segmentations exist; repeated rows are encoded row by row; an empty table
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -109,27 +113,30 @@ class Pieces:
 
     def search(self, part: str, n: int | None = None) -> list[tuple[float, list[str]]]:
         """The n best segmentations of one lattice, best first."""
-        best, edges = [0.0] + [-np.inf] * len(part), [[] for _ in range(len(part) + 1)]
-        for p in range(1, len(part) + 1):
+        best = [0.0] + [-np.inf] * len(part)
+
+        def edges(p: int) -> Iterator[tuple[int, float]]:
             for size in range(1, min(self.longest, p) + 1):
-                piece = part[p - size : p]
-                score = self.score[self.ids[piece]] if piece in self.ids else self.fallback if size == 1 else None
-                if score is not None:
-                    edges[p].append((size, float(score)))
-                    best[p] = max(best[p], best[p - size] + float(score))
-        agenda, pushed, out = [(-best[-1], 0, len(part), 0.0, None)], 0, []
-        while agenda and len(out) < (n or self.n):
-            f, _, p, g, path = heapq.heappop(agenda)
+                i = self.ids.get(part[p - size : p])
+                if i is not None or size == 1:
+                    yield size, float(self.score[i]) if i is not None else self.fallback
+
+        for p in range(1, len(part) + 1):
+            best[p] = max(best[p - size] + score for size, score in edges(p))
+        # (loss, position, score of what follows, path), the next to be popped first
+        agenda, out, n = [(0.0, len(part), 0.0, None)], [], n or self.n
+        while agenda and len(out) < n:
+            loss, p, g, path = agenda.pop(0)
             if p == 0:
-                pieces = []
+                sizes = []
                 while path:
-                    pieces.append(path[0])
-                    path = path[1]
-                out.append((-f, pieces))
+                    size, path = path
+                    sizes.append(size)
+                ends = np.cumsum(sizes).tolist()
+                out.append((g, [part[e - s : e] for e, s in zip(ends, sizes, strict=True)]))
                 continue
-            for size, score in edges[p]:
-                pushed += 1
-                heapq.heappush(agenda, (-(best[p - size] + (score + g)), pushed, p - size, score + g, (part[p - size : p], path)))
+            more = [(loss + (best[p] - (best[p - size] + score)), p - size, score + g, (size, path)) for size, score in edges(p)]
+            agenda = sorted(more[::-1] + agenda, key=lambda x: x[0])[: n - len(out)]
         return out
 
     def _search_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +144,7 @@ class Pieces:
 
         Ids are padded with -2; -3 less a place stands for the character there, which falls back to bytes.
         """
-        m, width = len(parts), max(map(len, parts))
+        m, n, width = len(parts), self.n, max(map(len, parts))
         size = np.array([len(p) for p in parts])
         points = np.zeros((m, width), dtype=np.uint64)
         for i, p in enumerate(parts):
@@ -157,48 +164,52 @@ class Pieces:
         for p in range(1, width + 1):
             for s in range(1, min(reach, p) + 1):
                 np.maximum(best[:, p], best[:, p - s] + edge[:, p, s - 1], out=best[:, p])
-        # agendas: one row each; a slot is pushed once and keeps its place, so paths can be followed back
-        room = 64
-        f, g = np.full((m, room), -np.inf), np.zeros((m, room))
-        pos, parent, step = (np.zeros((m, room), dtype=np.int32) for _ in range(3))
-        f[:, 0], pos[:, 0] = best[np.arange(m), size], size
-        used, found = np.ones(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
-        ends, scores = np.zeros((m, self.n), dtype=np.int64), np.zeros((m, self.n))
+        gap = np.full((m, width + 1, reach), np.inf)
+        for s in range(1, reach + 1):
+            gap[:, s:, s - 1] = best[:, s:] - (best[:, :-s] + edge[:, s:, s - 1])
+        # agendas of n places in order; nodes keep what paths are made of
+        loss, g = np.full((m, n), np.inf), np.zeros((m, n))
+        pos, node = np.zeros((m, n), dtype=np.int32), np.zeros((m, n), dtype=np.int64)
+        loss[:, 0], pos[:, 0], node[:, 0] = 0, size, np.arange(m)
+        parent, step, at, total = [np.full(m, -1, dtype=np.int64)], [np.zeros(m, dtype=np.int32)], [size.astype(np.int32)], m
+        found, ends, scores = np.zeros(m, dtype=np.int64), np.zeros((m, n), dtype=np.int64), np.zeros((m, n))
         rows = np.arange(m)
-        while len(rows):
-            top = f[rows].argmax(axis=1)
-            value = f[rows, top]
-            rows, top, value = rows[value > -np.inf], top[value > -np.inf], value[value > -np.inf]
-            f[rows, top] = -np.inf
-            p = pos[rows, top]
-            done = p == 0
-            d, t = rows[done], top[done]
-            ends[d, found[d]], scores[d, found[d]] = t, value[done]
+        while len(rows := rows[(loss[rows, 0] < np.inf) & (found[rows] < n)]):
+            p = pos[rows, 0]
+            d = rows[p == 0]
+            ends[d, found[d]], scores[d, found[d]] = node[d, 0], g[d, 0]
             found[d] += 1
-            r, t, p = rows[~done], top[~done], p[~done]
-            if len(r):
-                if used[r].max() + reach > room:
-                    f = np.concatenate([f, np.full((m, room), -np.inf)], axis=1)
-                    g = np.concatenate([g, np.zeros((m, room))], axis=1)
-                    pos, parent, step = (np.concatenate([x, np.zeros((m, room), np.int32)], axis=1) for x in (pos, parent, step))
-                    room *= 2
-                score = edge[r, p]
-                i, s = np.nonzero(score > -np.inf)
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                row, slot = r[i], used[r[i]] + nth
-                g[row, slot] = score[i, s] + g[row, t[i]]
-                pos[row, slot] = p[i] - s - 1
-                f[row, slot] = best[row, pos[row, slot]] + g[row, slot]
-                parent[row, slot], step[row, slot] = t[i], s + 1
-                used += np.bincount(row, minlength=m)
-            rows = rows[found[rows] < self.n]
-        row, k = np.nonzero(np.arange(self.n)[None, :] < found[:, None])
-        slot, columns = ends[row, k], []
-        while (slot > 0).any():
-            s, at = step[row, slot], pos[row, slot]
-            i = np.where(slot > 0, piece[row, np.minimum(at + s, width), np.maximum(s, 1) - 1], -2)
-            columns.append(np.where(i == -1, -3 - at, i))
-            slot = parent[row, slot]
+            for x in (loss, g, pos, node):
+                x[d, :-1] = x[d, 1:]
+            loss[d, -1] = np.inf
+            r, p = rows[p > 0], p[p > 0]
+            if not len(r):
+                continue
+            weight = np.concatenate([gap[r, p][:, ::-1] + loss[r, :1], loss[r, 1:]], axis=1)
+            order = np.argsort(weight, axis=1, kind="stable")[:, :n]
+            fresh = order < reach
+            s, old = np.where(fresh, reach - order, 1), np.where(fresh, 0, order - reach + 1)
+            top = r[:, None]
+            now = np.take_along_axis(weight, order, axis=1)
+            fresh &= now < np.inf
+            new_g = np.where(fresh, edge[top, p[:, None], s - 1] + g[r, :1], g[top, old])
+            new_pos = np.where(fresh, p[:, None] - s, pos[top, old])
+            new_node = node[top, old]
+            parent.append(new_node[fresh])
+            step.append(s[fresh].astype(np.int32))
+            at.append(new_pos[fresh].astype(np.int32))
+            new_node[fresh] = total + np.arange(len(step[-1]))
+            total += len(step[-1])
+            loss[r], g[r], pos[r], node[r] = now, new_g, new_pos, new_node
+        parent, step, at = np.concatenate(parent), np.concatenate(step), np.concatenate(at)
+        row, k = np.nonzero(np.arange(n)[None, :] < found[:, None])
+        here, columns = ends[row, k], []
+        while (here >= m).any():
+            inside = here >= m
+            s, place = step[here], at[here]
+            i = np.where(inside, piece[row, np.minimum(place + s, width), np.maximum(s, 1) - 1], -2)
+            columns.append(np.where(i == -1, -3 - place, i))
+            here = np.where(inside, parent[here], here)
         return row, k, np.stack(columns, axis=1), scores[row, k]
 
     def _learn(self, new: list[str]) -> None:
@@ -292,12 +303,15 @@ class Pieces:
             out.append((score, whole + ids[last:].tolist()))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
+    def bytes_of(self, ids: np.ndarray) -> bytes:
         if not len(ids):
-            return ""
+            return b""
         n = self.raw_n[ids]
         ends = np.cumsum(n)
-        text = self.raw[np.arange(ends[-1]) + np.repeat(self.raw_at[ids] - ends + n, n)].tobytes().decode("utf-8", "replace")
+        return self.raw[np.arange(ends[-1]) + np.repeat(self.raw_at[ids] - ends + n, n)].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.bytes_of(ids).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -322,18 +336,25 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFr
 
 
 def tokens(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
-    """doc_id, number of pieces, ids of the best segmentation, and the n best scores."""
+    """doc_id, number of pieces, ids of the best segmentation, the n best scores, and the ``others``.
+
+    Each other segmentation is given by its changes to the best: ids from ``start`` up to ``stop`` make way for ``ids``.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = segmenter(model or model_path(), n)
+        change = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
         for batch in batches:
-            found = [x[:2] for x in pieces.encode_all(t.as_py() for t in batch.column(1))]
-            sizes = np.array([len(ids) for ids, _ in found], dtype=np.int64)
-            flat = np.concatenate([ids for ids, _ in found]) if found else np.zeros(0, np.int32)
+            found = list(pieces.encode_all(t.as_py() for t in batch.column(1)))
+            sizes = np.array([len(x[0]) for x in found], dtype=np.int64)
+            flat = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["doc_id", "n_pieces", "ids", "scores"])
+            others = [[[{"start": int(at[i]), "stop": int(at[i + 1]), "ids": other} for i, other in how] for how in changes[1:]] for _, _, changes, at in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes), ids, pa.array([x[1] for x in found], pa.list_(pa.float64())), pa.array(others, change)], names=["doc_id", "n_pieces", "ids", "scores", "others"]
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, "doc_id long, n_pieces long, ids array<int>, scores array<double>")
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, "doc_id long, n_pieces long, ids array<int>, scores array<double>, others array<array<struct<start: int, stop: int, ids: array<int>>>>")
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -349,27 +370,40 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def digest(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
-    """``encode`` and ``decode`` of whole documents in one pass, as counts, scores and checksums."""
+    """``encode`` and ``decode`` of whole documents in one pass, as counts, scores and checksums of all n segmentations."""
+    schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, nbest_crc32 array<long>, round_trip boolean, decoded_sha256 string"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = segmenter(model or model_path(), n)
         for batch in batches:
-            count, crc, scores, same, sha = [], [], [], [], []
-            for t, (ids, s, _, _) in zip(batch.column(1), pieces.encode_all(t.as_py() for t in batch.column(1)), strict=True):
-                text, back = t.as_py(), pieces.decode(ids)
+            count, scores, crcs, same, sha = [], [], [], [], []
+            for t, (ids, s, changes, at) in zip(batch.column(1), pieces.encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                text, back, data = t.as_py(), pieces.decode(ids), memoryview(ids.astype("<u4").tobytes())
+                ok, found = back == text, []
+                for how in changes:
+                    crc, last = 0, 0
+                    for i, other in how:
+                        crc = zlib.crc32(np.array(other, "<u4"), zlib.crc32(data[4 * last : 4 * at[i]], crc))
+                        last = at[i + 1]
+                        # elsewhere the ids are those that were decoded
+                        ok = ok and pieces.bytes_of(np.array(other)) == pieces.bytes_of(ids[at[i] : at[i + 1]])
+                    found.append(zlib.crc32(data[4 * last :], crc))
                 count.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 scores.append(s)
-                same.append(back == text)
+                crcs.append(found)
+                same.append(ok)
                 sha.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()), pa.array(sha, pa.string())],
-                names=["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip", "decoded_sha256"],
-            )
+                [
+                    batch.column(0), pa.array(count, pa.int64()), pa.array([x[0] for x in crcs], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())),
+                    pa.array(same, pa.bool_()), pa.array(sha, pa.string()),
+                ],
+                names=["doc_id", "n_pieces", "ids_crc32", "scores", "nbest_crc32", "round_trip", "decoded_sha256"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op3: pieces, n best scores and round trip of each document."""
+    """op3: pieces, scores, checksums and round trip of each document's n best segmentations."""
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -53,6 +53,23 @@ def test_parts_give_the_whole_lattices_paths(model):
         assert model.decode(np.array(got[0][1])) == text
 
 
+def test_tied_and_long_parts(model):
+    """Texts whose paths tie, and long parts, take time and memory in proportion to their length."""
+    import tracemalloc
+
+    peaks = []
+    for n in (5_000, 20_000):
+        tracemalloc.start()
+        found = model.search("x" * n)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == model.n and all("".join(p) == "x" * n for _, p in found)
+        assert len({tuple(p) for _, p in found}) == model.n and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert peaks[1] < 6 * peaks[0] < 6 * 40_000_000
+    ids, scores, _, _ = model.encode("x" * 20_000)
+    assert model.decode(ids) == "x" * 20_000 and scores == [s for s, _ in model.search(model.normalize("x" * 20_000))]
+
+
 @pytest.mark.parametrize("text", ["", " ", "Hello  world\n\ttabs ", "naïve ﬁ ½ 你好 🙂", "a" * 200, "x\x00y", "  lead"])
 def test_round_trip(model, text):
     for _, ids in model.nbest(text):
@@ -67,7 +84,10 @@ def test_encode_decode_frames(spark):
     assert got == sorted([(i, t or "") for i, t in rows], key=str)
     assert all(len(r.nbest) <= 3 and r.nbest[0].ids == r.ids for r in enc.collect())
     assert all(r.round_trip for r in pieces.digest(docs).collect())
-    assert pieces.digest(docs.limit(0)).count() == 0
+    for r in pieces.tokens(docs).collect():
+        whole = [r.ids] + [[*r.ids[: c[0].start], *(x for k, y in enumerate(c) for x in [*y.ids, *r.ids[y.stop : c[k + 1].start if k + 1 < len(c) else None]])] for c in r.others]
+        assert whole == [ids for _, ids in pieces.segmenter(pieces.model_path()).nbest(dict((i or 0, t) for i, t in rows[:2] + rows[3:]).get(r.doc_id or 0) or "")] or r.doc_id == 2
+    assert pieces.digest(docs.limit(0)).count() == pieces.tokens(docs.limit(0)).count() == pieces.encode(docs.limit(0)).count() == 0
 
 
 def test_edits_equal_full_count():
