@@ -1,20 +1,23 @@
 """Exact dedup by deterministic block naming.
 
-A text without white space is cut into blocks of ``block`` code points. Blocks are range partitioned
-and sorted by content, and all equal blocks get one integer name: the number of the first of them in
-the sorted order. Names of adjacent blocks are then paired and the pairs named in the same way, level
+A text without white space is cut into blocks of ``block`` code points. Blocks are range partitioned by a
+hash, sorted by hash and content, and all equal blocks get one integer name: the number of the first of
+them in that order. Names of adjacent blocks are then paired and the pairs named in the same way, level
 by level, until each document has one name. Two documents get equal names at equal levels if and only
-if their normalised texts are equal: nothing is hashed on the way, so nothing can collide.
+if their normalised texts are equal: the hash only spreads blocks, and content decides. (What tells the
+rows of one doc_id apart is a 64-bit hash of their text.)
 
-A block or pair that holds more than 1/256 of all rows (copies of one text in a third of the corpus,
-say) would fill a partition. Those at most 256 keys are found beforehand and named by a broadcast
-table; the others go through the range partitioning. Levels shrink by half: only documents of more
+A block or pair that holds a large share of all rows (copies of one text in a third of the corpus, say)
+would fill a partition. Those few keys (``common.heavy_keys``) are found beforehand and named by a
+broadcast table; the others go through the range partitioning. The verdicts of hot groups go to their
+rows by a broadcast as well. Levels shrink by half: only documents of more
 than one block reach the second, and each level is written to the shared folder, so lineage stays
 short and names, once given, are fixed.
 
 Defined cases: null and empty texts, and texts of white space alone, equal each other; a null doc_id
 counts as the smallest id and is returned as null; rows that repeat both doc_id and text share one
-verdict and are all counted in group_size; an empty table gives an empty result.
+verdict and are all counted in group_size; of rows that repeat doc_id with equal normalised texts but other
+white space one stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import NO_ID, RID, TAG, TXT, WS, heavy_keys, rows_of, stash
+from quillspark.llm.common import NO_ID, RID, TAG, TXT, WS, heavy_keys, rows_of, spread_join, stash
 
 BLOCK = 2048
 NONE = -(2**62)
@@ -79,10 +82,11 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row."""
     table = block_table(docs, block)
     rows = stash(table.drop("blocks").join(identities(table), [RID, TAG]), "identities")
-    best = rows.groupBy("level", "name").agg(F.min(F.struct((-F.col("len")).alias("len"), RID)).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = rows.groupBy("level", "name").agg(F.min(F.struct((-F.col("len")).alias("len"), RID, TAG)).alias("best"), F.count(F.lit(1)).alias("group_size"))
     keep = F.col(f"best.{RID}")
-    return rows.join(best, ["level", "name"]).select(
-        "doc_id", F.nullif(keep, F.lit(NO_ID).cast("long")).alias("keep_id"), "group_size", (F.col(RID) == keep).alias("kept"), "text_sha256", "level", "name")
+    kept = (F.col(RID) == keep) & (F.col(TAG) == F.col(f"best.{TAG}"))
+    return spread_join(rows, best, ["level", "name"]).select(
+        "doc_id", F.nullif(keep, F.lit(NO_ID).cast("long")).alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "level", "name")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import LOWER, RID, TAG, TXT, UPPER, WS, heavy_keys, let, row_id, rows_of, stash, text_of
+from quillspark.llm.common import LOWER, RID, ROW, TAG, TXT, UPPER, WS, carried, heavy_keys, let, restored, rows_of, stash
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -57,7 +57,7 @@ def bitmaps(dropped: DataFrame) -> DataFrame:
     """One row for each row of documents that loses lines: its sparse bitmap of dropped positions."""
     word = F.expr("cast(pos div 64 as int)")
     bit = F.expr("shiftleft(1L, pos % 64)")
-    words = dropped.repartition(RID).groupBy(RID, TAG, word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = dropped.repartition(RID, TAG).groupBy(RID, TAG, word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy(RID, TAG).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("__dropped"))
 
 
@@ -88,11 +88,12 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the dropped lines taken from the texts; n_chars, where present, follows the text."""
     maps = bitmaps(dropped_lines(docs, **options))
-    marked = docs.withColumns({RID: row_id(), TAG: F.xxhash64(text_of())}).join(maps, [RID, TAG], "left")
-    kept = _kept(F.split("text", "\n"))
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)
-    out = {"text": text} | ({"n_chars": F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.char_length(kept).cast("long"))} if "n_chars" in docs.columns else {})
-    return marked.select(*(out[c].alias(c) if c in out else marked[c] for c in docs.columns))
+    rows = carried(docs).join(maps, [RID, TAG], "left")
+    kept = F.when(F.col("__dropped").isNotNull(), _kept(F.split(F.col(f"{ROW}.text"), "\n")))
+    out = {"text": F.coalesce(kept, F.col(f"{ROW}.text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.coalesce(F.char_length(kept).cast("long"), F.col(f"{ROW}.n_chars"))
+    return restored(rows, **out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

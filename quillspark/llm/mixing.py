@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import RID, TAG, TXT, WORD, WS, row_id, stash, text_of
+from quillspark.llm.common import RID, ROW, TAG, TXT, WORD, WS, carried, restored, row_id, stash, text_of
 
 WEIGHTS, MAX_TIMES = (1, 2, 3), 3
 SLOTS, LEAST_BLOCK, SEED = 2**20, 64, 20240229
-CHUNK, CELLS, PLACES = 8192, 4096, 4096
+CHUNK, CELLS, PLACES = 1024, 4096, 4096
 GOLDEN = 0.6180339887498949
 
 
@@ -44,10 +44,13 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, ids, source key, size in words."""
-    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    rows = docs.select("doc_id", row_id().alias(RID), text_of().alias(TXT), source.alias("source_key"))
+    rows = docs.select("doc_id", row_id().alias(RID), text_of().alias(TXT), source_key().alias("source_key"))
     return rows.select("doc_id", RID, F.xxhash64(TXT).alias(TAG), "source_key", n_words(F.col(TXT)).alias("size"), F.monotonically_increasing_id().alias("uid"))
 
 
@@ -142,19 +145,19 @@ def filter_documents(docs: DataFrame, **options) -> DataFrame:
     The words that a source gives are the head of its stream, so in any pass at most one document of
     a source is cut.
     """
-    taken = takings(docs, **options).groupBy(RID, TAG, "source_key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__rows"))
-    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    marked = docs.withColumns({RID: row_id(), TAG: F.xxhash64(text_of()), "source_key__": source}).join(taken.withColumnRenamed("source_key", "source_key__"), [RID, TAG, "source_key__"])
+    taken = takings(docs, **options).groupBy(RID, TAG, "source_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
+    rows = carried(docs, source_key=source_key()).join(taken, [RID, TAG, "source_key"])
     # rows that are equal in id, text and source share what they take
-    share = F.expr("cast(__taken div __rows as bigint)")
-    marked = marked.withColumn("__share", share).where("__size > 0 and __share > 0")
-    whole, rest = F.expr("cast(__share div __size as int)"), F.expr("__share % __size")
+    rows = rows.withColumn("share", F.expr("cast(taken div n_rows as bigint)")).where("size > 0 and share > 0")
+    whole, rest = F.expr("cast(share div size as int)"), F.expr("share % size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    marked = marked.withColumn("__cut", F.explode(copies))
-    head = F.array_join(F.slice(F.split(F.ltrim(F.col("text"), F.lit(WS)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.col("__cut").cast("int")), "")
-    text = F.when(F.col("__cut") == 0, F.col("text")).otherwise(head)
-    out = {"text": text} | ({"n_chars": F.when(F.col("__cut") == 0, F.col("n_chars")).otherwise(F.char_length(head).cast("long"))} if "n_chars" in docs.columns else {})
-    return marked.select(*(out[c].alias(c) if c in out else marked[c] for c in docs.columns))
+    rows = rows.withColumn("cut", F.explode(copies))
+    text = F.col(f"{ROW}.text")
+    head = F.array_join(F.slice(F.split(F.ltrim(text, F.lit(WS)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.col("cut").cast("int")), "")
+    out = {"text": F.when(F.col("cut") == 0, text).otherwise(head)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("cut") == 0, F.col(f"{ROW}.n_chars")).otherwise(F.char_length(head).cast("long"))
+    return restored(rows, **out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import RID, TAG, WS, let, row_id, stash, text_of
+from quillspark.llm.common import RID, TAG, WS, carried, let, restored, row_id, stash, text_of
 from quillspark.llm.mixing import per_source
 
 SYMBOLS = "#*$%&|<>"
@@ -146,8 +146,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> Da
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the rules reject; columns as they were."""
     verdict = judge(docs, **options).where("kept").select(RID, TAG).distinct()
-    marked = docs.withColumns({RID: row_id(), TAG: F.xxhash64(text_of())})
-    return marked.join(verdict, [RID, TAG], "left_semi").select(*(marked[c] for c in docs.columns))
+    return restored(carried(docs).join(verdict, [RID, TAG], "left_semi"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
