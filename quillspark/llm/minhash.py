@@ -7,24 +7,26 @@ A pair that shares a band is compared by counting equal packed cells; the share
 texts, if their estimate is not below a bound that a pair at the threshold falls under with probability
 LOST at most (summed from the binomial distribution).
 
-At similarity 0.8 a pair shares no band with probability (1 - 0.8^3)^20 = 6e-7 and is estimated too low
-with probability 1.3e-7; those are the only two ways to lose a link. Both take hash functions that are as
-good as independent on sets of any size, so each mixes the 64-bit shingle with a seed of its own. Small
+At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^35 = 9e-7 and is estimated too low
+with probability LOST at most; those are the only two ways to lose a link. Both take hash functions that are
+as good as independent on sets of any size, so each mixes the 64-bit shingle with a seed of its own. Small
 sets do not skip the estimate: short documents of one template share bands, and without it they would
-all fall into one cluster, which round 2 compares pair by pair.
+all fall into one cluster. Bands of five minima and 192 cells keep documents apart that share much but are
+not alike: at similarity 0.4 three in ten pairs share a band and 2 in 1,000,000 pass the estimate.
 
 No group is ever expanded into all its pairs:
 
 * documents with the same set are one class from the start, found by aggregation;
 * round 1 takes from each bucket a spanning forest of its likely pairs, fewer pairs than members, and
-  confirms these; a bucket that holds more than 1/256 of all rows is dealt to SALTS tasks first, and
-  the roots of their forests meet under the same key;
+  confirms these; a heavy bucket is dealt to tasks of about DEAL rows, the roots of their forests are dealt
+  again, and so on while that leaves fewer of them;
 * the components of all forests (and of each dealt bucket as a whole) are clusters outside of which no
-  link can lie. Round 2 takes only clusters that still hold several components of confirmed links. A
-  task holds the sets of all but the largest component and streams the largest past them, comparing
-  exactly what may be alike and is not yet joined. It reports a link only where it joins two
-  components, so again fewer than members. A large component is dealt to several tasks, each with the
-  cluster's other members.
+  link can lie. Round 2 takes only clusters that still hold several components of confirmed links. The
+  members outside the largest component are dealt to blocks of about BLOCK, all members to strips of
+  ten times as many, and a task for each pair of block and strip holds the block's sets and streams
+  the strip past them, comparing exactly what may be alike and is not yet joined. It reports a link only
+  where it joins two components of its own, so again fewer than members. Members of the largest
+  component are never compared with each other.
 
 Components are found by alternating large-star and small-star steps on written tables. Nothing but
 counts comes to the driver.
@@ -45,10 +47,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, RID, TAG, TXT, heavy_keys, row_id, rows_of, stash, text_of
+from quillspark.llm.common import NO_ID, RID, TAG, TXT, carried, dropped, heavy_keys, restored, row_id, rows_of, spread_join, stash, text_of
 from quillspark.llm.words import mix, windows, words_of
 
-HASHES, BITS, ROWS, BANDS, SALTS = 128, 2, 3, 20, 64
+HASHES, BITS, ROWS, BANDS = 192, 2, 5, 35
+DEAL, BLOCK, STRIP = 4_000, 2_000, 20_000
 #: Most loss by the estimate at the threshold.
 LOST = 3e-7
 CELLS = 64 // BITS
@@ -130,11 +133,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """((key, salt), ids, signatures, set sizes, components) of each run of a sorted batch.
+    """((key, salt), ids, signatures, set sizes) of each run of a sorted batch.
 
     Runs of one row are passed over unless they may go on from the batch before or into the next.
     """
-    key, salt, ids, ns, comps = (batch.column(c).to_numpy() for c in ("key", "salt", "id", "n", "comp"))
+    key, salt, ids, ns = (batch.column(c).to_numpy() for c in ("key", "salt", "id", "n"))
     if not len(key):
         return
     sigs = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, SIG)
@@ -142,7 +145,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
     bounds = np.concatenate([[0], cuts, [len(key)]])
     for g in sorted({0, len(bounds) - 2, *np.flatnonzero(np.diff(bounds) > 1).tolist()}):
         i, j = bounds[g], bounds[g + 1]
-        yield (key[i], salt[i]), ids[i:j], sigs[i:j], ns[i:j], comps[i:j]
+        yield (key[i], salt[i]), ids[i:j], sigs[i:j], ns[i:j]
 
 
 def _alike(sig, n, sigs: np.ndarray, ns: np.ndarray, percent: int, least: float) -> np.ndarray:
@@ -155,7 +158,7 @@ def _forest(percent: int):
     least = least_estimate(percent)
 
     def edges(at: tuple, held: list, out: list) -> None:
-        ids, sigs, ns, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, sigs, ns = (np.concatenate(x) for x in zip(*held, strict=True))
         left, queue = np.arange(len(ids)), []
         while len(left):
             if not queue:
@@ -194,44 +197,37 @@ def _forest(percent: int):
 
 
 def _joins(k: int, percent: int):
-    """Round 2 over sorted clusters (those of the largest component last): links that join components."""
+    """Round 2 over sorted (block, strip) tasks, the block's members first: links that join components."""
     least = least_estimate(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parent = None, {}
-        sets, ids, ns, comps, sigs, table = [], [], [], [], [], None
+        at, parent, sets, held, table = None, {}, [], [], None
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        def compare(i: int, comp: int, n: int, sig: np.ndarray, s: np.ndarray, among) -> Iterator[tuple[int, int]]:
-            others = np.flatnonzero(_alike(sig, n, among[0], among[1], percent, least))
-            for j in others.tolist():
-                if root(comps[j]) != root(comp):
-                    both = len(np.intersect1d(sets[j], s, assume_unique=True))
-                    if 100 * both >= percent * (len(sets[j]) + len(s) - both):
-                        parent[root(comps[j])] = root(comp)
-                        yield min(ids[j], i), max(ids[j], i)
-
         for batch in batches:
             found = []
-            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            last, comp, one, n = (batch.column(c).to_pylist() for c in range(2, 6))
-            sig = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(-1, SIG)
-            for r, s in enumerate(shingle_sets(batch.column(7), k)):
+            where = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            streamed, comp, one, n = (batch.column(c).to_pylist() for c in range(3, 7))
+            sig = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, SIG)
+            for r, s in enumerate(shingle_sets(batch.column(8), k)):
                 if where[r] != at:
-                    at, parent, sets, ids, ns, comps, sigs, table = where[r], {}, [], [], [], [], [], None
-                if last[r]:
-                    if table is None or len(table[1]) != len(ids):
-                        table = np.array(sigs).reshape(-1, SIG), np.array(ns)
-                    if any(root(c) != root(comp[r]) for c in set(comps)):
-                        found += compare(one[r], comp[r], n[r], sig[r], s, table)
-                else:
-                    if at[1] == 0 and ids:  # the first task of a cluster also compares the held ones with each other
-                        found += compare(one[r], comp[r], n[r], sig[r], s, (np.array(sigs).reshape(-1, SIG), np.array(ns)))
-                    sets, ids, ns, comps, sigs = [*sets, s], [*ids, one[r]], [*ns, n[r]], [*comps, comp[r]], [*sigs, sig[r]]
+                    at, parent, sets, held, table = where[r], {}, [], [], None
+                if not streamed[r]:
+                    sets.append(s)
+                    held.append((one[r], comp[r], n[r], sig[r]))
+                elif held:
+                    if table is None:
+                        table = np.array([x[3] for x in held]), np.array([x[2] for x in held])
+                    for j in np.flatnonzero(_alike(sig[r], n[r], *table, percent, least)).tolist():
+                        if root(held[j][1]) != root(comp[r]):
+                            both = len(np.intersect1d(sets[j], s, assume_unique=True))
+                            if 100 * both >= percent * (len(sets[j]) + len(s) - both):
+                                parent[root(held[j][1])] = root(comp[r])
+                                found.append((min(held[j][0], one[r]), max(held[j][0], one[r])))
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -239,45 +235,68 @@ def _joins(k: int, percent: int):
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    return reps.select(F.col("id"), F.col("comp"), F.col("n"), F.col("sig"), F.explode("bands").alias("key"))
+    return reps.select("id", "n", "sig", F.explode("bands").alias("key"))
 
 
 _PAIR = "a long, b long"
 
 
-def _round1(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _round1(reps: DataFrame, percent: int, deal: int = DEAL) -> tuple[DataFrame, DataFrame]:
     """(pairs to confirm, pairs that bind clusters besides), both fewer than the rows in buckets."""
     rows = _buckets(reps)
+
+    def forest(x: DataFrame) -> DataFrame:
+        x = x.select("key", "salt", "id", "n", "sig").repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
+        return stash(x.mapInArrow(_forest(percent), f"{_PAIR}, key long, root boolean"), "pairs")
+
+    def dealt(size: str, seed: int) -> F.Column:
+        """0 for what takes one task, else 1 and above."""
+        tasks = F.expr(f"1 + {size} div {deal}")
+        return F.when(tasks > 1, 1 + F.pmod(F.xxhash64(F.lit(seed), "id"), tasks)).otherwise(F.lit(0)).cast("int")
+
     hot = heavy_keys(rows.select("key"), ["key"])
-    salt = F.lit(0)
-    if hot is not None:
-        rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
-        salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    in_order = lambda x: x.repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
-    first = in_order(rows.select("key", salt.alias("salt"), "id", "n", "sig", "comp")).mapInArrow(_forest(percent), f"{_PAIR}, key long, root boolean")
     if hot is None:
-        first = stash(first.select("a", "b").distinct(), "pairs")
+        first = stash(forest(rows.withColumn("salt", F.lit(0))).select("a", "b").distinct(), "pairs")
         return first, first.limit(0)
-    first = stash(first, "pairs")
-    roots = first.where("root").select("key", F.col("a").alias("id")).join(reps.select("id", "n", "sig", "comp"), "id").select("key", F.lit(0).alias("salt"), "id", "n", "sig", "comp")
-    second = in_order(roots).mapInArrow(_forest(percent), f"{_PAIR}, key long, root boolean")
-    pairs = stash(first.where("not root").select("a", "b").unionByName(second.select("a", "b")).distinct(), "pairs")
-    dealt = rows.where("hot").select("key", "id")
-    heads = dealt.groupBy("key").agg(F.min("id").alias("a"))
-    return pairs, stash(dealt.join(F.broadcast(heads), "key").select("a", F.col("id").alias("b")).where("a < b").distinct(), "bound")
+    hot = stash(hot, "hot")
+    rows = rows.join(F.broadcast(hot.withColumnRenamed("heavy_n", "size")), "key", "left")
+    # a hot bucket takes salts even where it is small, so that its roots come back by its key
+    salt = F.when(F.col("size").isNotNull(), 1 + F.pmod(F.xxhash64("id"), F.expr(f"1 + size div {deal}"))).otherwise(F.lit(0)).cast("int")
+    level = forest(rows.withColumn("salt", salt))
+    pairs, seed = [level.where("not root").select("a", "b")], 1
+    roots = level.where("root").select("key", F.col("a").alias("id"))
+    left = roots.count()
+    while left:
+        sizes = roots.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # at most as many rows as hot keys
+        again = roots.join(F.broadcast(sizes), "key").withColumn("salt", dealt("size", seed)).join(reps.select("id", "n", "sig"), "id")
+        level = forest(again)
+        pairs.append(level.where("not root").select("a", "b"))
+        roots = level.where("root").select("key", F.col("a").alias("id"))
+        before, left, seed = left, roots.count(), seed + 1
+        if 2 * left > before:  # what is left is not alike
+            break
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    members = rows.where("size is not null").select("key", "id")
+    heads = members.groupBy("key").agg(F.min("id").alias("a"))
+    return stash(out.distinct(), "pairs"), stash(members.join(F.broadcast(heads), "key").select("a", F.col("id").alias("b")).where("a < b").distinct(), "bound")
 
 
-def _round2(reps: DataFrame, comps: DataFrame, clusters: DataFrame, texts: DataFrame, k: int, percent: int, deal: int = 20_000) -> DataFrame:
+def _round2(reps: DataFrame, comps: DataFrame, clusters: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK, strip: int = STRIP) -> DataFrame:
     """Links that join components within clusters; written."""
     rows = reps.select("id", "n", "sig").join(clusters.withColumnRenamed("comp", "cluster"), "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = rows.groupBy("cluster", "comp").count()
-    several = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "comp")).alias("big")).where("parts > 1")
-    several = several.select("cluster", F.col("big.comp").alias("big"), F.expr(f"cast(1 + big.count div {deal} as int)").alias("tasks"))
-    rows = rows.join(several, "cluster").withColumn("last", F.col("comp") == F.col("big"))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int"))
-    rows = rows.withColumn("task", F.explode(F.when(F.col("last"), own).otherwise(F.sequence(F.lit(0), F.col("tasks") - 1))))
-    rows = rows.join(texts, "id").select("cluster", "task", "last", "comp", "id", "n", "sig", "text")
-    return stash(rows.repartition("cluster", "task").sortWithinPartitions("cluster", "task", "last", "id").mapInArrow(_joins(k, percent), _PAIR).distinct(), "joins")
+    several = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("big")).where("parts > 1")
+    several = several.select("cluster", F.col("big.comp").alias("big"), F.expr(f"1 + (all - big.count) div {block}").alias("blocks"), F.expr(f"1 + all div {strip}").alias("strips"))
+    rows = rows.join(several, "cluster")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    one = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n))
+    held = rows.where("comp <> big").select("*", F.lit(False).alias("streamed"), one("blocks", 1).alias("block"), F.explode(every("strips")).alias("strip"))
+    past = rows.select("*", F.lit(True).alias("streamed"), F.explode(every("blocks")).alias("block"), one("strips", 2).alias("strip"))
+    both = held.unionByName(past).join(texts, "id").select("cluster", "block", "strip", "streamed", "comp", "id", "n", "sig", "text")
+    dealt = both.repartition("cluster", "block", "strip").sortWithinPartitions("cluster", "block", "strip", "streamed", "id")
+    return stash(dealt.mapInArrow(_joins(k, percent), _PAIR).distinct(), "joins")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -300,7 +319,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the least id that each linked id reaches, by alternating large-star and small-star steps."""
+    """(id, comp): the least id that each linked id but the least itself reaches, by alternating large-star and small-star steps."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -311,18 +330,17 @@ def components(links: DataFrame) -> DataFrame:
             out = out.unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
         return out.where("a <> b").distinct()
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def done(e: DataFrame) -> bool:
+        """Whether all edges are stars: each id hangs on one other, which hangs on none."""
+        if e.groupBy("b").count().where("count > 1").limit(1).count():
+            return False
+        return not e.join(e.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
 
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
-    while True:
-        edges = stash(star(star(edges, True), False), "stars")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("b").alias("id"), F.col("a").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
+    edges = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "stars")
+    while not done(edges):
+        before, edges = edges, stash(star(star(edges, True), False), "stars")
+        dropped(before)
+    return edges.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
 def _labelled(reps: DataFrame, comps: DataFrame) -> DataFrame:
@@ -334,19 +352,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sigs = signatures(docs, k)
     classes = sigs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct(RID, TAG)).alias("rep"))
     rep = F.coalesce((F.col(f"rep.{RID}") == F.col(RID)) & (F.col(f"rep.{TAG}") == F.col(TAG)), F.lit(False))
-    members = stash(sigs.join(classes, ["n", "s1", "s2"], "left").select(RID, TAG, "n", F.coalesce(f"rep.{RID}", RID).alias("id"), rep.alias("own"), F.when(rep, F.col("sig")).alias("sig"), F.when(rep, F.col("bands")).alias("bands")), "classes")
+    members = stash(spread_join(sigs, classes, ["n", "s1", "s2"], "left").select(RID, TAG, "n", F.coalesce(f"rep.{RID}", RID).alias("id"), rep.alias("own"), F.when(rep, F.col("sig")).alias("sig"), F.when(rep, F.col("bands")).alias("bands")), "classes")
     reps = members.where("own").select("id", "n", "sig", "bands").dropDuplicates(["id", "bands"])
     texts = docs.select(row_id().alias("id"), text_of().alias("text"))
 
-    pairs, bound = _round1(reps.withColumn("comp", F.col("id")), percent)
+    pairs, bound = _round1(reps, percent)
     links = confirmed(pairs, texts, k, percent).where("ok").select("a", "b")
     # a document with several texts joins their classes
     several = members.groupBy(RID).agg(F.min("id").alias("a"), F.max("id").alias("m")).where("a <> m").select(RID, "a")
     same = members.join(several, RID).select("a", F.col("id").alias("b")).where("a <> b").distinct()
     links = stash(links.unionByName(same), "links")
-    comps = stash(components(links), "components")
-    clusters = stash(components(pairs.unionByName(bound)), "clusters")
-    comps = stash(components(links.unionByName(_round2(reps, comps, clusters, texts, k, percent))), "components")
+    comps = components(links)
+    clusters = components(pairs.unionByName(bound))
+    # the head of a star has no row of its own
+    headed = lambda x: x.unionByName(x.select(F.col("comp").alias("id"), "comp").distinct())
+    more = _round2(reps, comps, headed(clusters), texts, k, percent)
+    if more.limit(1).count():
+        comps = components(links.unionByName(more))
     ids = docs.select("doc_id", row_id().alias(RID), F.xxhash64(text_of()).alias(TAG))
     out = _labelled(members.select(RID, TAG, "n", "id").distinct(), comps)
     return ids.join(out, [RID, TAG]).select("doc_id", F.col("n").alias("n_shingles"), "comp", RID, TAG)
@@ -355,8 +377,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component: that with the least id."""
     keep = near_duplicates(docs, **options).where(F.col("comp") == F.col(RID)).select(RID, TAG).distinct()
-    marked = docs.withColumns({RID: row_id(), TAG: F.xxhash64(text_of())})
-    return marked.join(keep, [RID, TAG], "left_semi").select(*(marked[c] for c in docs.columns))
+    return restored(carried(docs).join(keep, [RID, TAG], "left_semi"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

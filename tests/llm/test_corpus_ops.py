@@ -13,6 +13,8 @@ from quillspark.llm import common, exact_dedup, line_dedup, minhash, mixing, qua
 
 WS = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pos int, h1 long, anchor string, target double"
+#: More names that operators use inside, as strings.
+CLASHES = "__rid __tag __txt __row __share __cut __taken __size __rows __dropped source_key source_key__ share cut taken size n_rows cut lang_key kept comp id key n word bits t heavy_n a b row level name".split()
 
 
 def words(t):
@@ -284,6 +286,52 @@ def test_schedule_spreads_sources(spark):
         assert [r.rank for r in slots if r.source_key == f"={s}"] == list(range(sum(r.source_key == f"={s}" for r in slots)))
 
 
+@pytest.mark.parametrize("op", [line_dedup.filter_documents, minhash.filter_documents, quality.filter_documents, mixing.filter_documents])
+def test_clashing_names_come_back(spark, op):
+    """Columns named like the operators' own keep their values."""
+    docs = table(spark, corpus(2, 40)).drop("pos", "h1", "anchor", "target")
+    names = list(dict.fromkeys(CLASHES))
+    marked = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce("doc_id", F.lit(0)).cast("string")).alias(c) for c in names))
+    plain, got = op(docs).collect(), op(marked).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in plain)
+    assert len(got) and all(r[c] == f"{c}:{r.doc_id or 0}" for r in got for c in names)
+
+
+def boilerplate(n, own=40, shared=60, seed=1):
+    rng = random.Random(seed)
+    head = " ".join(f"s{i}" for i in range(shared))
+    return [(i, head + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(own)), "a") for i in range(n)]
+
+
+def test_boilerplate_takes_linear_time(spark):
+    """Documents that share most of their words but are not alike: no links, and time in proportion."""
+    import time
+
+    took = []
+    for n in (2_500, 10_000):
+        df = spark.createDataFrame(boilerplate(n), "doc_id long, text string, source string")
+        began = time.perf_counter()
+        assert minhash.near_duplicates(df).where(F.col("comp") != F.col(common.RID)).count() == 0
+        took.append(time.perf_counter() - began)
+    assert took[1] < 6 * took[0]
+
+
+def test_second_round_deals_clusters(spark):
+    """Links that no forest proposed are found whatever blocks and strips a cluster is dealt to."""
+    rows = corpus(3, 60)
+    df = table(spark, rows)
+    sigs = minhash.signatures(df, 2).where("n > 0").select(F.col(common.RID).alias("id"), "n", "sig").dropDuplicates(["id"])
+    texts = df.select(common.row_id().alias("id"), common.text_of().alias("text")).dropDuplicates(["id"])
+    sets = {r.id: r.text for r in texts.collect()}
+    want = {i: c for i, _, c in components([(i, t, None) for i, t in sets.items()], 2, 50)}
+    nothing = spark.createDataFrame([], "id long, comp long")
+    clusters = sigs.select("id", F.lit(0).cast("long").alias("comp"))
+    for block, strip in ((10**6, 10**6), (7, 20)):
+        links = minhash._round2(sigs, nothing, clusters, texts, 2, 50, block, strip)
+        got = dict(map(tuple, minhash.components(links).collect()))
+        assert {i: got.get(i, i) for i in sets} == want
+
+
 @pytest.mark.parametrize("op", [exact_dedup.groups, substring_dedup.dedup, line_dedup.filter_documents, minhash.filter_documents, quality.filter_documents, mixing.filter_documents])
 def test_empty_tables(spark, op):
     assert op(table(spark, corpus()[:1]).limit(0)).count() == 0
