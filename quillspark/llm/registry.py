@@ -23,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.oracle(), "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.oracle(), "op8_substring_dedup": substring_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
