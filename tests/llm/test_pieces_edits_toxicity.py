@@ -152,3 +152,63 @@ def test_toxicity_odd_rows(spark):
     out = toxicity.score(docs, toxicity.fit(docs, labels))
     assert out.count() == 4 and not any(r.toxic for r in out.collect())
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
+
+
+def plain_features(text):
+    """A text's features by plain loops over its bytes: the hash of each word and of each beginning, by how often it is there."""
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from quillspark.llm.words import mix, words_of
+
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    found = Counter()
+    for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower):
+        found[int(next(iter(words_of(pa.array([w]), lower=True)))[4][0])] += 1
+        raw = w.encode()
+        for k in toxicity.STEMS:
+            if len(raw) >= k:
+                found[int(mix(np.array([k << 56 | int.from_bytes(raw[:k], "little")], dtype=np.uint64))[0])] += 1
+    out = set(found)
+    for least in (2, 4):
+        out |= {int(mix(np.array([f], dtype=np.uint64) + np.uint64(least))[0]) for f, n in found.items() if n >= least}
+    return out
+
+
+def test_toxicity_query_against_plain_scoring(spark):
+    """Every whole document of the query, by a loop over its features and the written-out formula."""
+    import math
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    assert len(weight) > 10
+    got = {r.doc_id: r for r in toxicity.query(spark, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        margin = sum(weight.get(f, 0.0) for f in plain_features(text))
+        upto = [0.0, *(1 / (1 + math.exp(-max(-500, min(500, t - margin)))) for t in model.thresholds), 1.0]
+        p = [b - a for a, b in zip(upto, upto[1:])]
+        assert got[i].severity == pytest.approx(sum(k * x for k, x in enumerate(p)), abs=1e-9)
+        assert got[i].p_toxic == pytest.approx(1 - p[0], abs=1e-9) and got[i].grade == max(range(3), key=lambda k: p[k])
+
+
+def test_grades_come_from_the_other_half():
+    """Toxic documents with more signs that the other half knows have the higher grade."""
+    words, rng = np.arange(20, dtype=np.uint64), np.random.default_rng(0)
+    toxic = np.arange(200) % 4 < 2
+    docs = [np.append(rng.choice(np.arange(4, 20), 6, replace=False), ([0, 1, 2, 3] if i % 8 < 4 else [i % 2]) if t else []).astype(np.int64) for i, t in enumerate(toxic)]
+    grade = toxicity.grades_of(words, docs, toxic)
+    assert (grade[~toxic] == 0).all() and (grade[toxic] > 0).all()
+    strong = np.arange(200) % 8 < 4
+    assert np.mean(grade[toxic & strong] == 2) > 0.9 and np.mean(grade[toxic & ~strong] == 1) > 0.9
+
+
+def test_toxicity_on_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 0
