@@ -11,6 +11,9 @@ first brought together that can be equal:
    exchanged for them, so a passage that a third of all documents share does not fill a partition.
 3. Segments of shared anchors are exchanged by anchor, as 32-bit word hashes. Of equal segments in one
    batch of documents only that of the smallest id travels: the others are covered by it for certain.
+   A phrase that very many documents hold in different contexts would bring all their segments to one
+   task, so anchors are counted first, in a fixed number of buckets; those of heavy buckets are not
+   exchanged by anchor but window by window, by the hash of the whole window.
 4. A task cuts its sorted segments into shards of about SHARD words at anchor bounds, and builds for
    each an FM-index over its distinct segments: suffixes sorted to depth 16 (enough for patterns of up
    to 16 words), the Burrows-Wheeler transform as a bit-packed wavelet matrix with rank counts, and
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import NO_ID, RID, TAG, TXT, row_id, text_of
+from quillspark.llm.common import BUCKETS, FLOOR, NO_ID, RID, TAG, TXT, row_id, share_of, text_of
 from quillspark.llm.words import windows, words_of
 
 WINDOW, SPAN, DEPTH, SHARD = 13, 5, 16, 1_000_000
@@ -192,10 +195,28 @@ def _anchor_rows(window: int, span: int):
     return task
 
 
+def _heavy_buckets(texts: DataFrame, window: int, span: int, floor: int | None = None) -> tuple[np.ndarray, int]:
+    """(those of the buckets of anchors that hold many segments, number of buckets); what comes to the driver is a count for each bucket."""
+    share = 4 * share_of(texts.sparkSession)
+    n = BUCKETS * share // 4
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            for _, _, _, _, hashes, at in words_of(batch.column(0)):
+                counts += np.bincount((anchored(hashes, at, window, span)[0].view(np.uint64) % np.uint64(n)).astype(np.int64), minlength=n)
+        hit = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["bucket", "n"])
+
+    counts = texts.select(TXT).mapInArrow(task, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    least = max(FLOOR if floor is None else floor, -(-sum(r.n for r in counts) // share))
+    return np.sort(np.array([r.bucket for r in counts if r.n >= least], dtype=np.uint64)), n
+
+
 _SEGMENT = f"route long, {RID} long, {TAG} long, start int, n int, seg binary"
 
 
-def _segment_rows(window: int, span: int):
+def _segment_rows(window: int, span: int, heavy: np.ndarray, n_buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, tag, shared = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
@@ -203,11 +224,21 @@ def _segment_rows(window: int, span: int):
             for i, _, _, _, hashes, at in words_of(batch.column(2)):
                 anchor, row, first, last = anchored(hashes, at, window, span)
                 low = hashes.astype("<u4")
+                if len(heavy):
+                    # windows of heavy anchors go one by one, by their own hash
+                    own = np.isin(anchor.view(np.uint64) % np.uint64(n_buckets), heavy)
+                    times = np.where(own, last - first + 1, 1)
+                    of = np.repeat(np.arange(len(anchor)), times)
+                    begin = first[of] + np.where(own[of], np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times), 0)
+                    by = np.where(own[of], windows(hashes, window).view(np.int64)[begin], anchor[of])
+                    anchor, row, first, last = anchor[of], row[of], begin, np.where(own[of], begin, last[of])
+                else:
+                    by = anchor
                 cuts = np.searchsorted(row, np.arange(len(at)))
                 for k in range(len(at) - 1):
                     mine = slice(cuts[k], cuts[k + 1])
                     hit = np.flatnonzero(np.isin(anchor[mine], np.asarray(shared[i + k].values))) + cuts[k]
-                    route += anchor[hit].tolist()
+                    route += by[hit].tolist()
                     row_of += [i + k] * len(hit)
                     start += (first[hit] - at[k]).tolist()
                     segs += [low[a : b + window].tobytes() for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)]
@@ -218,11 +249,19 @@ def _segment_rows(window: int, span: int):
             for x in zip(route, segs, ids.tolist(), strict=True):
                 if first_of.setdefault(x[:2], x[2]) > x[2]:
                     first_of[x[:2]] = x[2]
-            sure = [first_of[x[:2]] < x[2] for x in zip(route, segs, ids.tolist(), strict=True)]
+            sure = np.array([first_of[x[:2]] < x[2] for x in zip(route, segs, ids.tolist(), strict=True)])
+            # what is settled here goes as merged spans, by its document
+            at, begin, stop = np.array(row_of)[sure], np.array(start)[sure], (np.array(start) + n)[sure]
+            fresh = np.append(True, (at[1:] != at[:-1]) | (begin[1:] > stop[:-1]))[: len(at)]
+            heads = np.flatnonzero(fresh)
+            tails = np.append(heads[1:], len(at)) - 1 if len(heads) else heads
+            at, begin, size = at[heads], begin[heads], (stop[tails] - begin[heads]).astype(np.int32)
+            rest = np.flatnonzero(~sure)
+            where = np.concatenate([np.array(row_of)[rest], at]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([int(i) if s else r for i, r, s in zip(ids, route, sure, strict=True)], pa.int64()), pa.array(ids), pa.array(tag[row_of]), pa.array(start, pa.int32()), pa.array(n),
-                    pa.array([None if s else x for x, s in zip(segs, sure, strict=True)], pa.binary()),
+                    pa.array(np.concatenate([np.array(route, dtype=np.int64)[rest], rid[at]])), pa.array(rid[where]), pa.array(tag[where]), pa.array(np.concatenate([np.array(start)[rest], begin]).astype(np.int32)),
+                    pa.array(np.concatenate([n[rest], size])), pa.array([segs[i] for i in rest.tolist()] + [None] * len(at), pa.binary()),
                 ],
                 names=["route", RID, TAG, "start", "n", "seg"],
             )
@@ -291,7 +330,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(row_id().alias(RID), text_of().alias(TXT)).withColumn(TAG, F.xxhash64(TXT))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, shard: int = SHARD) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, shard: int = SHARD, floor: int | None = None) -> DataFrame:
     """(RID, spans) of each id that has repeated windows: spans of word numbers (text hash, begin, end)."""
     texts = docs.select(row_id().alias(RID), text_of().alias(TXT))
     anchors = texts.mapInArrow(_anchor_rows(window, span), f"route long, anchor long, {RID} long, settled boolean").repartition("route")
@@ -299,7 +338,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, shard: int
     met = anchors.select("anchor", RID, "settled", F.min(RID).over(same).alias("lo"), F.max(RID).over(same).alias("hi"))
     shared = met.where("settled or lo < hi").select("anchor", RID)
     per_doc = shared.groupBy(RID).agg(F.collect_set("anchor").alias("shared"))
-    segments = _rows(docs).join(per_doc, RID).select(RID, TAG, TXT, "shared").mapInArrow(_segment_rows(window, span), _SEGMENT)
+    heavy, n_buckets = _heavy_buckets(texts, window, span, floor)
+    segments = _rows(docs).join(per_doc, RID).select(RID, TAG, TXT, "shared").mapInArrow(_segment_rows(window, span, heavy, n_buckets), _SEGMENT)
     dealt = segments.repartition("route").sortWithinPartitions("route", "seg", RID)
     spans = dealt.mapInArrow(_shard_rows(window, shard), f"{RID} long, {TAG} long, begin long, end long")
     return spans.groupBy(RID).agg(F.collect_list(F.struct(TAG, "begin", "end")).alias("spans"))

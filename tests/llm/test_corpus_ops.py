@@ -149,8 +149,9 @@ def test_estimates_of_small_sets(common_n, extra):
     assert lost == 0
 
 
-@pytest.mark.parametrize("window,span,shard", [(13, 5, 10**6), (5, 2, 50)])
-def test_substring_dedup(spark, window, span, shard):
+@pytest.mark.parametrize("window,span,shard,floor", [(13, 5, 10**6, None), (5, 2, 50, None), (13, 5, 10**6, 2), (5, 2, 50, 1)])
+def test_substring_dedup(spark, window, span, shard, floor):
+    """With a floor of 1 or 2 segments, anchors are dealt with as heavy ones."""
     rows = corpus(5)
     first = {}
     for i, t, _ in rows:
@@ -166,7 +167,7 @@ def test_substring_dedup(spark, window, span, shard):
             if first[tuple(w[j : j + window])] < low(i):
                 stay[j : j + window] = [False] * window
         want.append((i, len(w), stay.count(False), " ".join(x for x, s in zip(w, stay) if s)))
-    got = substring_dedup.dedup(table(spark, rows), window=window, span=span, shard=shard).collect()
+    got = substring_dedup.dedup(table(spark, rows), window=window, span=span, shard=shard, floor=floor).collect()
     assert Counter(map(tuple, got)) == Counter(want) and sum(x[2] for x in want) > 100
 
 
