@@ -30,6 +30,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -155,23 +156,33 @@ def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, np.frombuffer(data, "<u4" if flags & 2 else "<u2", offset=9)
 
 
+def store_of(path: str):
+    """(file system, folder) of a path as Spark names it."""
+    from pyarrow import fs
+
+    scheme, found, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if found and scheme in ("s3a", "s3n") else path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """Encode and write ``docs``; a manifest (shard, file, docs, tokens) of what was written, itself written."""
+    """Encode and write ``docs``; a manifest (shard, file, docs, tokens) of what was written, itself written.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    Each attempt of a task writes files of its own name, and only those of the attempt that succeeded come into the
+    manifest: nothing is renamed, and what a lost executor leaves behind is never read.
+    """
 
-        store, root = fs.FileSystem.from_uri(path)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(path)
         context = TaskContext.get()
-        shard, attempt = context.partitionId(), context.taskAttemptId()
+        shard = context.partitionId()
         encode, n, offset, tokens = None, 0, 0, 0
-        part, idx = f"{root}/part-{shard:06d}.rec", f"{root}/part-{shard:06d}.idx"
+        name = f"part-{shard:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         records = index = None
         for batch in batches:
             if records is None:
                 encode = encoder(tokenizer or tokenizer_path())
                 store.create_dir(root, recursive=True)
-                records, index = store.open_output_stream(f"{part}.{attempt}"), store.open_output_stream(f"{idx}.{attempt}")
+                records, index = store.open_output_stream(f"{root}/{name}.rec"), store.open_output_stream(f"{root}/{name}.idx")
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py())
                 if end_id is not None:
@@ -181,10 +192,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 index.write(struct.pack("<qqq", NO_ID if doc_id is None else doc_id, offset, len(ids)))
                 n, offset, tokens = n + 1, offset + len(data), tokens + len(ids)
         if records is not None:
-            for stream, name in ((records, part), (index, idx)):
-                stream.close()
-                store.move(f"{name}.{attempt}", name)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [os.path.basename(part)], "docs": [n], "tokens": [tokens]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            records.close()
+            index.close()
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{name}.rec"], "docs": [n], "tokens": [tokens]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     rows = rows_of(docs).repartitionByRange(RID, TAG).sortWithinPartitions(RID, TAG).select(F.col("doc_id").cast("long"), TXT)
     return stash(rows.mapInArrow(task, "shard int, file string, docs long, tokens long"), "manifest")
@@ -194,9 +204,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each record of the files; one task reads whole shards."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = store_of(path)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -220,9 +228,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
 
 def read_at(path: str, file: str, nth: int) -> tuple[int | None, np.ndarray]:
     """The nth record of a shard, found through its index."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(path)
+    store, root = store_of(path)
     with store.open_input_file(f"{root}/{file.removesuffix('.rec')}.idx") as index:
         index.seek(24 * nth)
         _, offset, _ = struct.unpack("<qqq", index.read(24))
