@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records, with a separate offset index.
 
-Format. A data set is a folder of shards ``part-N.rec`` in ascending order of document, each with an
-index ``part-N.idx``. A record is framed as
+Format. A data set is a folder of shards ``part-N-attempt.rec``, N in ascending order of document, each
+with an index ``.idx`` beside it. A record is framed as
 
     uint64 length | uint32 masked checksum of the length | data | uint32 masked checksum of the data
 
@@ -11,15 +11,14 @@ doc_id is null; bit 1: ids take 4 bytes instead of 2), the ids. An index entry i
 offset of the frame, int64 number of ids; entries have a fixed size, so any record can be read without
 those before it.
 
-Writing. Rows are range partitioned and sorted by document; each task streams its rows to one shard,
-under a name of the attempt that is moved into place at the end. A task that runs again writes the
-same bytes again. What the tasks return is one manifest row per shard. Files are opened through
-pyarrow's file systems, so the shared folder may be any store they know.
+Writing. Rows are range partitioned and sorted by document; each task streams its rows to one shard, under
+a name of the attempt's own. What the tasks return is one manifest row per shard, which names the file
+of the attempt that succeeded. Files are opened through pyarrow's file systems, so the shared folder may be any
+store they know.
 
 Encoding. Byte-level pre-tokens never cross the start of a run of white space or the end of a run of
-letters, so texts are cut there
-and each piece's ids are kept in a bounded cache, which a Python worker keeps from task to task; the
-result is that of encoding the whole text.
+letters, so texts are cut there and each piece's ids are kept in a bounded cache, which a Python worker
+keeps from task to task; the result is that of encoding the whole text.
 
 Defined cases: null or empty text has only the end id; null doc_ids come first; rows that repeat a
 doc_id follow each other in the order of their text's hash; an empty table gives no rows.
