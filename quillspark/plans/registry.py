@@ -13,9 +13,8 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import lexicons as lx
 from quillspark.functions import text as tx
-from quillspark.functions import vectors as vx
-from quillspark.operators import augment, cues, evaluate, features, prepare, segments, split
-from quillspark.operators.analyze import analyze
+from quillspark.operators import augment, cues, evaluate, features, prepare, split
+from quillspark.plans import style
 from quillspark.sources import html
 from quillspark.sources.readers import read_table
 from quillspark.streaming import rescore
@@ -181,27 +180,6 @@ def cue_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *(_long(F.col(f"m.{c}")).alias(a) for c, a in (("sentences.n", "sentences"), ("sentences.run", "short_run"), ("colons", "colons"), ("dashes", "dashes"))))
 
 
-def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """The 33 features of each document."""
-    return features.extract(read_table(spark, f"{d}/documents.parquet").select("doc_id", "text"), kind=None, vectors=False).select("doc_id", "features.*")
-
-
-def char_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """The hashed character profile of each document."""
-    return _docs(spark, d).select("doc_id", vx.char_profile(F.col("cleaned")).alias("char_ngrams"))
-
-
-def segment_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.explode(segments.split(F.col("raw"))).alias("segment"))
-
-
-def analysis(spark: SparkSession, d: str) -> DataFrame:
-    """The whole analysis of documents as posts: label, score, cues."""
-    rows = read_table(spark, f"{d}/documents.parquet").select("doc_id", "text", F.lit("reddit").alias("platform"), F.lit("post").alias("kind"))
-    out = analyze(rows, "doc_id")
-    return out.select("doc_id", "signal_percent", "label.level", "evidence", "mixed", F.col("cues.points").alias("points"), F.size("segments").alias("segments"), "disclaimer")
-
-
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     """Headings and articles of web pages."""
     return html.elements(read_table(spark, f"{d}/pages.parquet").select("page_id", "html"), "page")
@@ -271,12 +249,12 @@ def oracle_sql() -> dict[str, str]:
         "record_counts": f"WITH {_SCORED} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM s GROUP BY {c}" for c in ("authorship", "platform", "kind")),
         "human_threshold": f"WITH {_SCORED}, h AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM s WHERE target = 0), q AS (SELECT max(score) FILTER (WHERE r = ceil(0.9::DOUBLE * n)) AS s, max(n) AS n FROM h) SELECT round(q.s, 9) AS strong, q.n AS n, round(count(*) FILTER (WHERE h.score > q.s) / q.n::DOUBLE, 9) AS fpr FROM h, q GROUP BY q.s, q.n",
         "changes_replay": "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count(*) FILTER (WHERE b IS DISTINCT FROM event_type) AS scored FROM e GROUP BY user_id",
-    }
+    } | style.oracle_sql()
 
 
 def queries():
     own = (
         profile_by_lang, token_stats, ngram_repeats, lexicon_hits, phrase_hits, punctuation, markup, sentence_stats, language_support, fingerprints, document_fingerprints, surface_variants, augmented,
-        imported, kinds, binary_metrics, slice_metrics, record_counts, human_threshold, group_split, changes_replay, cue_counts, feature_table, char_profiles, segment_texts, analysis, page_texts,
+        imported, kinds, binary_metrics, slice_metrics, record_counts, human_threshold, group_split, changes_replay, cue_counts, page_texts,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | style.queries()
