@@ -13,18 +13,19 @@ VERSION = "stylometry-v2"
 
 
 def analyze(df: DataFrame, row: str, bundle: dict | None = None, sensitivity: str = "balanced", with_segments: bool = True) -> DataFrame:
-    """One analysis for each row of ``df`` (``row``, text, platform, kind); ``row`` identifies rows.
+    """One analysis for each row of ``df`` (``row``, text, platform, kind), made within the row: nothing is shuffled.
 
     Scores describe style. They are no evidence of who wrote a text, which ``disclaimer`` says in each row.
     """
     bundle = md.DEFAULT_BUNDLE if bundle is None else bundle
     kind = F.when(F.col("kind") == "comment", "comment").otherwise("post")
-    base = features.extract(df.select(row, "text", F.coalesce("platform", F.lit("unknown")).alias("platform"), kind.alias("kind")))
+    chars = any(m.get("charNgramWeights") for m in bundle.get("models", {}).values())
+    rows = df.select(row, "text", F.coalesce("platform", F.lit("unknown")).alias("platform"), kind.alias("kind"))
+    base = features.extract(rows, texts=False, cues=True, parts=with_segments, part_vectors=chars).drop("text")
     out = scoring.score(scoring.with_model(base, bundle))
-    out = out.withColumns({"thresholds": tx.fixed(scoring.cutoffs(sensitivity)), "evidence": tx.fixed(scoring.evidence()), "cue_measures": tx.fixed(cues.measures())}).withColumn("cues", tx.fixed(cues.assess()))
+    out = out.withColumns({"thresholds": tx.fixed(scoring.cutoffs(sensitivity)), "evidence": tx.fixed(scoring.evidence())}).withColumn("cues", tx.fixed(cues.assess()))
     if with_segments:
-        parts = segments.analyze(base.select(row, "text", "raw", "platform", "kind"), row, bundle)
-        out = out.join(parts, row, "left")
+        out = segments.score(out)
         out = out.withColumn("mixed", segments.mixed(F.col("low"), F.col("high"), F.col("thresholds.moderate"), F.col("thresholds.strong")))
     else:
         out = out.withColumns({"mixed": F.lit(False), "segments": F.lit(None).cast("array<struct<signal: double, words: int, excerpt: string>>")})

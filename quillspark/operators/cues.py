@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions import lexicons as lx
 from quillspark.functions import text as tx
 
 FAMILIES = 6
@@ -25,17 +24,6 @@ def _counted(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"))
 
 
-def content_repeat(tokens: Column) -> Column:
-    """Share of content-word pairs that repeat an earlier one; 0 under 12 content words."""
-    content = F.filter(tokens, lambda t: (tx.utf16_length(t) > 2) & ~t.isin(lx.STOPWORDS))
-
-    def of(c: Column) -> Column:
-        pairs = tx.ngrams(c, 2)
-        return F.when(F.size(c) < 12, F.lit(0.0)).otherwise(tx.let(pairs, lambda p: (F.size(p) - F.size(F.array_distinct(p))) / F.greatest(F.lit(1), F.size(c) - 1)))
-
-    return tx.let(content, of)
-
-
 def short_run(lengths: Column) -> Column:
     """The longest run of lengths of at most 12."""
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -47,18 +35,6 @@ def short_run(lengths: Column) -> Column:
     return F.aggregate(lengths, start, step, lambda a: a["best"])
 
 
-def repeated_starters(sentences: Column) -> Column:
-    """(word, count) of first words that open two sentences or more, by falling count, ties by first appearance."""
-    firsts = F.transform(sentences, lambda s: F.get(tx.tokenize(s), F.lit(0)))
-    keep = F.filter(firsts, lambda w: w.isNotNull() & ~w.isin(lx.IGNORED_STARTERS))
-
-    def of(ws: Column) -> Column:
-        counted = F.transform(F.array_distinct(ws), lambda w, i: F.struct((-F.size(F.filter(ws, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("word")))
-        return F.transform(F.array_sort(F.filter(counted, lambda x: x["n"] <= -2)), lambda x: F.struct(x["word"].alias("word"), (-x["n"]).alias("count")))
-
-    return tx.let(keep, of)
-
-
 def coverage() -> Column:
     m, language = (lambda k: F.col(f"metrics.{k}")), F.col("language_support")
     of = lambda a, t, r: F.struct(F.lit(a).alias("level"), F.lit(t).alias("text"), (r if isinstance(r, Column) else F.lit(r)).alias("reason"))
@@ -70,27 +46,14 @@ def coverage() -> Column:
     )
 
 
-def measures() -> Column:
-    """What the rubric counts, as one struct: evaluated once."""
-    raw = F.col("raw")
-    matched = lambda t: {k: tx.phrase_match(t, getattr(lx, k.upper())).alias(k) for k in ("hedge", "template", "transition", "rhetorical", "buzz")}
-    lengths = lambda s: F.filter(F.transform(s, tx.count_tokens), lambda n: n > 0)
-    return F.struct(
-        tx.let(tx.phrase_text(raw), lambda t: F.struct(*matched(t).values())).alias("matched"),
-        tx.let(tx.sentences_cue(raw), lambda s: F.struct(F.size(s).alias("n"), repeated_starters(s).alias("starters"), short_run(lengths(s)).alias("run"))).alias("sentences"),
-        F.regexp_count(raw, F.lit(":")).alias("colons"), F.regexp_count(raw, F.lit("[—–]")).alias("dashes"), tx.list_markers(raw).alias("lists"),
-        content_repeat(F.col("tokens")).alias("repeat"),
-    )
-
-
 def assess(m: str = "cue_measures") -> Column:
-    """level, text, points, families, coverage, contentRepeat from ``measures`` and the extracted columns."""
+    """level, text, points, families, coverage, contentRepeat from the extracted columns, cue measures among them."""
     c = lambda path: F.col(f"{m}.{path}")
     framing = F.concat(c("matched.template"), c("matched.transition"), c("matched.rhetorical"))
     buzz, hedge = c("matched.buzz"), c("matched.hedge")
     strength = F.size(framing) + F.when(F.size(buzz) >= 2, 1).otherwise(0)
     examples = F.slice(F.array_distinct(F.concat(framing, buzz)), 1, 4)
-    starters, run, n = c("sentences.starters"), c("sentences.run"), c("sentences.n")
+    starters, run, n = c("sentences.starters"), short_run(c("sentences.lengths")), c("sentences.n")
     repeats, runs = F.size(starters) > 0, run >= 3
     listed = _join(F.transform(F.slice(starters, 1, 3), lambda x: F.concat(x["word"], F.lit(" x"), x["count"].cast("string"))))
     rhythm = F.concat_ws("; ", F.when(repeats, F.concat(F.lit("repeated openings ("), listed, F.lit(")"))), F.when(runs, _counted(run, "consecutive short rhetorical sentences")))

@@ -1,22 +1,25 @@
 """The 33 bounded features, 24 metrics and the 128-part character profile of each text.
 
-Counts are made first, in one projection over the normalised text; features and metrics are arithmetic
-on them. One Arrow function normalises and one makes the character vectors; everything else is JVM
-expressions within the row, so featurising needs no shuffle.
+One Arrow function makes them all, and what the cue rubric and segments need, in one pass over a text
+(``functions/measures``); nothing is shuffled and texts need not come back.
 
 Defined cases: null text counts as empty; a text without tokens has ratios of 0 and one sentence.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as lx
+from quillspark.functions import measures as ms
 from quillspark.functions import text as tx
-from quillspark.functions import vectors as vx
 
-COUNTS, RAW = "counts", "raw"
+RAW = "raw"
+_FEATURES, _METRICS = ("struct<" + ", ".join(f"{k}: double" for k in names) + ">" for names in (lx.FEATURE_ORDER, ms.METRICS))
+_CUES = "struct<matched: struct<" + ", ".join(f"{k}: array<string>" for k in ("buzz", "hedge", "transition", "template", "rhetorical")) + ">, sentences: struct<n: int, starters: array<struct<word: string, count: int>>, lengths: array<int>>, colons: int, dashes: int, lists: int, repeat: double>"
 
 
 def normalized(df: DataFrame, text: str = "text") -> DataFrame:
@@ -26,98 +29,58 @@ def normalized(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", tx.tokenize(F.col("cleaned")))
 
 
-def count_struct(kind: Column) -> Column:
-    """Every count that features and metrics are made of, from raw, cleaned and tokens."""
-    raw, cleaned, tokens = F.col(RAW), F.col("cleaned"), F.col("tokens")
-    one_of = lambda words: F.size(F.filter(tokens, lambda t: t.isin(words)))
-    lengths = lambda pieces: F.filter(F.transform(pieces, tx.count_tokens), lambda n: n > 0)
-    lowered = tx.phrase_text(cleaned)
-    starters = F.filter(F.transform(tx.sentences(cleaned), lambda s: F.array_join(F.slice(tx.tokenize(s), 1, 2), " ")), lambda s: s != "")
-    doubles = lambda x: x.cast("array<double>")
-    sentence = tx.let(doubles(lengths(tx.sentences(cleaned))), lambda x: F.struct(
-        F.size(x).alias("n"), tx.mean(x).alias("mean"), tx.variation(x).alias("cv"), F.size(F.filter(x, lambda v: v <= 8)).alias("short")))
-    word_lengths = F.filter(F.transform(tokens, lambda t: F.char_length(F.translate(t, "'", ""))), lambda n: n > 0)
-    repeated = lambda n: tx.let(tx.ngrams(tokens, n), lambda g: F.struct(F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("different")))
-    return F.struct(
-        F.size(tokens).alias("words"), tx.utf16_length(cleaned).alias("chars"), tx.utf16_length(raw).alias("raw_chars"),
-        tx.token_stats(tokens).alias("stats"), sentence.alias("sentence"),
-        tx.variation(doubles(word_lengths)).alias("word_cv"), tx.variation(doubles(lengths(tx.paragraphs(raw)))).alias("paragraph_cv"),
-        repeated(2).alias("bigrams"), repeated(3).alias("trigrams"),
-        tx.let(starters, lambda g: F.struct(F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("different"))).alias("starters"),
-        one_of(lx.STOPWORDS).alias("stop"), one_of(lx.FIRST_PERSON).alias("first"), one_of(lx.SECOND_PERSON).alias("second"),
-        F.size(F.filter(tokens, lambda t: F.contains(t, F.lit("'")))).alias("contractions"),
-        F.size(F.filter(tokens, lambda t: F.rlike(t, F.lit(r"(?U)\d")))).alias("numbers"),
-        tx.let(lowered, lambda t: F.struct(*(tx.phrase_hits(t, getattr(lx, k.upper())).alias(k) for k in ("buzz", "hedge", "transition", "template")))).alias("phrases"),
-        tx.punctuation(cleaned).alias("marks"), tx.list_markers(raw).alias("list_markers"), F.regexp_count(raw, F.lit("\n")).alias("newlines"),
-        F.regexp_count(cleaned, F.lit(tx.URL)).alias("urls"), F.regexp_count(cleaned, F.lit(tx.MENTION)).alias("mentions"), F.regexp_count(cleaned, F.lit(tx.HASHTAG)).alias("hashtags"),
-        tx.proper_nounish(cleaned).alias("proper"), tx.latin_ratio(raw).alias("latin"), F.rlike(raw, F.lit(r"\p{L}")).alias("has_letters"),
-        F.rlike(cleaned, F.lit(tx.EMOJI)).alias("emoji"), (kind == "comment").alias("reply"),
-    )
-
-
-def _ratio(n: Column, d: Column) -> Column:
-    return F.when(d > 0, n / d).otherwise(F.lit(0.0))
-
-
-def _values() -> dict[str, Column]:
-    """What features and metrics share, by name."""
-    c = lambda path: F.col(f"{COUNTS}.{path}")
-    words = c("words")
-    repeat = lambda k: F.when(c(f"{k}.n") > 0, 1.0 - c(f"{k}.different") / c(f"{k}.n")).otherwise(F.lit(0.0))
-    ttr = _ratio(c("stats.distinct"), words)
-    sentence_mean = F.when(c("sentence.mean") != 0, c("sentence.mean")).otherwise(words.cast("double"))
-    return {
-        "wordCount": words, "charCount": c("chars"), "sentenceCount": F.greatest(F.lit(1), c("sentence.n")),
-        "avgSentenceLen": sentence_mean, "sentenceLenCV": c("sentence.cv"), "wordLenCV": c("word_cv"), "paragraphLenCV": c("paragraph_cv"),
-        "typeTokenRatio": ttr, "mattr25": F.when(words > 25, c("stats.mattr_sum") / (25 * (words - 24))).otherwise(ttr),
-        "hapaxRatio": _ratio(c("stats.hapax"), words), "stopwordRatio": _ratio(c("stop"), words),
-        "bigramRepeatRatio": repeat("bigrams"), "trigramRepeatRatio": repeat("trigrams"),
-        "charTrigramRepeatRatio": F.when(F.col("trigram_counts.total") > 0, 1.0 - F.col("trigram_counts.different") / F.col("trigram_counts.total")).otherwise(F.lit(0.0)),
-        "sentenceStarterRepeatRatio": repeat("starters"), "topWordShare": _ratio(c("stats.top"), words),
-        "listMarkerCount": c("list_markers"), "urlCount": c("urls"), "mentionCount": c("mentions"), "hashtagCount": c("hashtags"),
-        "numberTokenRatio": _ratio(c("numbers"), words), "properNounishRatio": _ratio(c("proper"), words), "latinRatio": c("latin"),
-        "isReply": F.when(c("reply"), 1.0).otherwise(0.0),
-    }
-
-
-def feature_columns() -> dict[str, Column]:
-    """Each feature's formula over the counts, in the order of the model's inputs, not yet clamped."""
-    c = lambda path: F.col(f"{COUNTS}.{path}")
-    v, words, chars = _values(), c("words"), F.greatest(F.lit(1), c("chars"))
-    per100 = lambda n: F.when(words > 0, n * 100.0 / words).otherwise(F.lit(0.0))
-    mark = lambda k, d: per100(c(f"marks.{k}")) / d
-    kinds = sum(((c(f"marks.{k}") > 0).cast("int") for k in tx.PUNCTUATION), F.lit(0))
-    out = {k: v[k] for k in ("typeTokenRatio", "mattr25", "wordLenCV", "bigramRepeatRatio", "trigramRepeatRatio", "sentenceStarterRepeatRatio", "charTrigramRepeatRatio", "stopwordRatio", "hapaxRatio", "topWordShare")}
-    out |= {
-        "sentenceLenCV": v["sentenceLenCV"] / 2, "avgSentenceLen": v["avgSentenceLen"] / 40, "paragraphLenCV": v["paragraphLenCV"] / 2,
-        "contractionRatio": _ratio(c("contractions"), words), "firstPersonRatio": _ratio(c("first"), words), "secondPersonRatio": _ratio(c("second"), words),
-        "shortSentenceRatio": _ratio(c("sentence.short"), c("sentence.n")), "listMarkerCount": c("list_markers") / 4,
-        "newlineRatio": c("newlines") / F.greatest(F.lit(1), c("raw_chars")) / 0.15,
-        "discoursePer100w": per100(c("phrases.transition")) / 10, "templatePer100w": per100(c("phrases.template")) / 6, "buzzPer100w": per100(c("phrases.buzz")) / 6,
-        "aiHedgePresent": (c("phrases.hedge") > 0).cast("double"),
-        "commaPer100w": mark("comma", 30), "colonPer100w": mark("colon", 10), "semicolonPer100w": mark("semicolon", 6),
-        "exclamationsPer100w": mark("exclamation", 6), "questionsPer100w": mark("question", 6), "ellipsisPer100w": mark("ellipsis", 4),
-        "quoteRatio": c("marks.quote") / chars / 0.08, "parenRatio": c("marks.parenthesis") / chars / 0.08,
-        "punctuationVariety": kinds / 8.0, "emojiPresent": c("emoji").cast("double"),
-    }
-    return {k: out[k] for k in lx.FEATURE_ORDER}
-
-
-def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double")))
-
-
-def extract(df: DataFrame, text: str = "text", kind: str | None = "kind", vectors: bool = True) -> DataFrame:
-    """``df`` with raw, cleaned, tokens, counts, features, metrics, language, and char_ngrams if asked for."""
-    kind_col = F.col(kind) if kind else F.lit("post")
-    df = normalized(df, text)
-    df = df.withColumn("trigram_counts", vx.char_trigrams(F.col("cleaned")))
-    if vectors:
-        df = df.withColumn("char_ngrams", vx.char_profile(F.col("cleaned")))
-    df = df.withColumn(COUNTS, tx.fixed(count_struct(kind_col)))
-    features = F.struct(*(clamp(v).alias(k) for k, v in feature_columns().items()))
-    metrics = F.struct(*(v.cast("double").alias(k) for k, v in _values().items()))
-    df = df.withColumns({"features": tx.fixed(features), "metrics": tx.fixed(metrics)})
+def _arrow(schema: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(schema))
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.StructArray:
+    table = np.array(rows, dtype=np.float64).reshape(len(rows), len(names))
+    return pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(names))], names=list(names))
+
+
+def measured(text: Column, reply: Column, vectors: bool = True, texts: bool = False, cues: bool = False, parts: bool = False, part_vectors: bool = False) -> Column:
+    """features, metrics and has_letters of a text; as asked for char_ngrams, raw, cleaned and tokens, cue_measures, and parts (segments with their features)."""
+    fields = {"features": _FEATURES, "metrics": _METRICS, "has_letters": "boolean"}
+    fields |= {"char_ngrams": "array<double>"} if vectors else {}
+    fields |= {"raw": "string", "cleaned": "string", "tokens": "array<string>"} if texts else {}
+    fields |= {"cue_measures": _CUES} if cues else {}
+    if parts:
+        fields |= {"parts": "array<struct<features: array<double>, char_ngrams: array<double>, words: int, excerpt: string>>"}
+    schema = "struct<" + ", ".join(f"{k}: {t}" for k, t in fields.items()) + ">"
+    kinds = {k: _arrow(fields[k]) for k in ("cue_measures", "parts") if k in fields}
+
+    def part(text: str, reply: bool) -> dict:
+        m = ms.Measured(ms.normalized(text), reply)
+        return {"features": m.features, "char_ngrams": m.profile() if part_vectors else None, "words": m.words, "excerpt": ms.excerpt(text)}
+
+    @F.arrow_udf(schema)
+    def of(text: pa.Array, reply: pa.Array) -> pa.Array:
+        given = [(t or "", bool(r)) for t, r in zip(text.to_pylist(), reply.to_pylist(), strict=True)]
+        each = [ms.Measured(ms.normalized(t), r) for t, r in given]
+        out = {"features": _columns([m.features for m in each], lx.FEATURE_ORDER), "metrics": _columns([m.metrics for m in each], ms.METRICS), "has_letters": pa.array([m.has_letters for m in each], pa.bool_())}
+        if vectors:
+            out["char_ngrams"] = pa.array([m.profile() for m in each], pa.list_(pa.float64()))
+        if texts:
+            out |= {"raw": pa.array([m.raw for m in each], pa.string()), "cleaned": pa.array([m.cleaned for m in each], pa.string()), "tokens": pa.array([m.tokens for m in each], pa.list_(pa.string()))}
+        if cues:
+            out["cue_measures"] = pa.array([m.cues() for m in each], kinds["cue_measures"])
+        if parts:
+            cut = [ms.segments_of(m.raw) if ms.count_tokens(t) >= ms.FROM_TOKENS else [] for m, (t, _) in zip(each, given, strict=True)]
+            out["parts"] = pa.array([[part(s, r) for s in ss] if len(ss) >= 2 else [] for ss, (_, r) in zip(cut, given, strict=True)], kinds["parts"])
+        return pa.StructArray.from_arrays(list(out.values()), names=list(out))
+
+    return of(text, reply)
+
+
+def extract(df: DataFrame, text: str = "text", kind: str | None = "kind", vectors: bool = True, texts: bool = True, **more: bool) -> DataFrame:
+    """``df`` with features, metrics and language_support; as asked for char_ngrams, raw, cleaned and tokens, and what ``measured`` gives besides."""
+    reply = F.coalesce(F.col(kind) == "comment", F.lit(False)) if kind else F.lit(False)
+    out = df.withColumn("__measured", measured(F.col(text).cast("string"), reply, vectors, texts, **more))
+    names = out.schema["__measured"].dataType.names
+    out = out.select(*[c for c in df.columns if c not in names], *(F.col(f"__measured.{k}").alias(k) for k in names))
     m = lambda k: F.col(f"metrics.{k}")
-    language = tx.language_support(m("latinRatio"), F.col(f"{COUNTS}.has_letters"), m("wordCount"), m("stopwordRatio"))
-    return df.withColumn("language_support", tx.fixed(language)).drop("trigram_counts")
+    language = tx.language_support(m("latinRatio"), F.col("has_letters"), m("wordCount"), m("stopwordRatio"))
+    return out.withColumn("language_support", tx.fixed(language)).drop("has_letters")

@@ -55,8 +55,13 @@ def score(df: DataFrame, chars: str | None = "char_ngrams") -> DataFrame:
     total = F.aggregate("contributions", F.coalesce(F.col("model.intercept"), F.lit(0.0)), lambda a, x: a + x["contribution"])
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     df = df.withColumns({"logit": total, "calibrated": F.coalesce(finite("model.slope") & finite("model.calibration_intercept"), F.lit(False))})
-    signal = F.when(F.col("calibrated"), sigmoid(F.col("model.slope") * F.col("logit") + F.col("model.calibration_intercept"))).otherwise(sigmoid(F.col("logit")))
-    return df.withColumns({"signal": F.when(F.col("model").isNull(), F.lit(0.5)).otherwise(signal), "contributions": by_size(F.col("contributions"))})
+    return df.withColumns({"signal": signal(F.col("logit")), "contributions": by_size(F.col("contributions"))})
+
+
+def signal(logit: Column) -> Column:
+    """The score of a logit under the row's model, calibrated where the model is; 0.5 without a model."""
+    plain = F.when(F.col("calibrated"), sigmoid(F.col("model.slope") * logit + F.col("model.calibration_intercept"))).otherwise(sigmoid(logit))
+    return F.when(F.col("model").isNull(), F.lit(0.5)).otherwise(plain)
 
 
 def cutoffs(sensitivity: str = "balanced") -> Column:

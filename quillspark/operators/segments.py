@@ -1,54 +1,41 @@
 """Segments of longer texts, scored one by one, and whether they disagree.
 
-Segments are cut in the row, exploded once and featurised by the same extractor as whole texts; what comes
-back per text is bounded (at most eight segments).
+Segments are cut and featurised with the text that they come from (``features.measured``), at most eight of
+them, and scored within its row: no text is read twice and nothing is joined.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.functions import text as tx
-from quillspark.operators import features as fe
+from quillspark.functions import measures as ms
 from quillspark.operators import scoring as sc
 
-CLOSE, TAIL, LEAST, MOST, FROM_TOKENS = 28, 15, 15, 8, 70
+CLOSE, TAIL, LEAST, MOST, FROM_TOKENS = ms.CLOSE, ms.TAIL, ms.LEAST, ms.MOST, ms.FROM_TOKENS
 
 
-def split(raw: Column) -> Column:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def split(raw: pa.Array) -> pa.Array:
     """At most eight segments of whole sentences: closed at 28 tokens, a short tail joined to the last, those under 15 tokens left out."""
-    pieces = F.regexp_extract_all(raw, F.lit(r"[^.!?\n]+(?:[.!?]+|\n+|\z)"), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-
-    def step(a: Column, piece: Column) -> Column:
-        n, now = a["n"] + tx.count_tokens(piece), F.concat(a["open"], F.array(tx.strip(piece)))
-        full = n >= CLOSE
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(F.array_join(now, " ")))).otherwise(a["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(now).alias("open"), F.when(full, 0).otherwise(n).alias("n"))
-
-    def finish(a: Column) -> Column:
-        rest, done = F.array_join(a["open"], " "), a["done"]
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.element_at(done, F.size(done)), F.lit(" "), rest)))
-        return F.when(F.size(a["open"]) == 0, done).when((F.size(done) > 0) & (a["n"] < TAIL), joined).otherwise(F.concat(done, F.array(rest)))
-
-    return F.slice(F.filter(F.aggregate(pieces, start, step, finish), lambda s: tx.count_tokens(s) >= LEAST), 1, MOST)
-
-
-def analyze(df: DataFrame, row: str, bundle: dict, text: str = "text") -> DataFrame:
-    """(row, segments, low, high) of texts of at least 70 tokens with two segments or more.
-
-    ``row`` identifies a row of ``df``, which holds raw, platform and kind.
-    """
-    own = df.where(tx.count_tokens(F.coalesce(F.col(text).cast("string"), F.lit(""))) >= FROM_TOKENS)
-    cut = own.select(row, "platform", "kind", split(F.col("raw")).alias("parts")).where(F.size("parts") >= 2)
-    each = cut.select(row, "platform", "kind", F.posexplode("parts").alias("at", "text"))
-    scored = sc.score(sc.with_model(fe.extract(each), bundle))
-    item = F.struct("at", F.col("signal"), F.col("metrics.wordCount").cast("int").alias("words"), tx.excerpt(F.col("text")).alias("excerpt"))
-    grouped = scored.groupBy(row).agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("signal").alias("low"), F.max("signal").alias("high"))
-    parts = F.transform("items", lambda x: F.struct(x["signal"].alias("signal"), x["words"].alias("words"), x["excerpt"].alias("excerpt")))
-    return grouped.select(row, parts.alias("segments"), "low", "high")
+    return pa.array([ms.segments_of(t or "") for t in raw.to_pylist()], pa.list_(pa.string()))
+
+
+def score(df: DataFrame) -> DataFrame:
+    """``df`` (with parts and model) with segments (signal, words, excerpt), and the least and greatest of their scores, null without any."""
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
+
+    def signal(x: Column) -> Column:
+        own = F.coalesce("model.intercept", F.lit(0.0)) + total(F.col("model.feature_weights"), x["features"])
+        chars = F.when(F.col("model.char_weights").isNull(), F.lit(0.0)).otherwise(total(F.col("model.char_weights"), x["char_ngrams"]))
+        return sc.signal(own + chars)
+
+    each = F.transform("parts", lambda x: F.struct(signal(x).alias("signal"), x["words"].alias("words"), x["excerpt"].alias("excerpt")))
+    df = df.withColumn("segments", each)
+    signals = F.transform("segments", lambda x: x["signal"])
+    return df.withColumns({"low": F.array_min(signals), "high": F.array_max(signals)}).drop("parts")
 
 
 def mixed(low: Column, high: Column, moderate: Column, strong: Column) -> Column:

@@ -26,7 +26,7 @@ MIN_TOTAL, MIN_CLASS, MIN_CALIBRATION, TARGET_FPR = 300, 20, 20, 0.01
 
 def matrix(df: DataFrame) -> DataFrame:
     """``df`` with ``inputs`` (33 features, then 128 of the character profile) and ``words``."""
-    out = fe.extract(df)
+    out = fe.extract(df, texts=False)
     inputs = F.concat(F.array(*(F.col(f"features.{k}") for k in lx.FEATURE_ORDER)), F.col("char_ngrams"))
     return out.select(*df.columns, inputs.alias("inputs"), F.col("metrics.wordCount").alias("words"))
 

@@ -176,8 +176,9 @@ def changes_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def cue_counts(spark: SparkSession, d: str) -> DataFrame:
     """Cue sentences, the longest run of short ones, dashes and colons."""
-    rows = _docs(spark, d).select("doc_id", tx.fixed(cues.measures()).alias("m"))
-    return rows.select("doc_id", *(_long(F.col(f"m.{c}")).alias(a) for c, a in (("sentences.n", "sentences"), ("sentences.run", "short_run"), ("colons", "colons"), ("dashes", "dashes"))))
+    rows = features.extract(read_table(spark, f"{d}/documents.parquet").select("doc_id", "text"), kind=None, vectors=False, texts=False, cues=True)
+    m = lambda c: F.col(f"cue_measures.{c}")
+    return rows.select("doc_id", _long(m("sentences.n")).alias("sentences"), _long(cues.short_run(m("sentences.lengths"))).alias("short_run"), _long(m("colons")).alias("colons"), _long(m("dashes")).alias("dashes"))
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:

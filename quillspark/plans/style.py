@@ -59,13 +59,13 @@ def _six(c: Column) -> Column:
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     """The 33 features of each text."""
-    out = features.extract(rows(spark, d), vectors=False)
+    out = features.extract(rows(spark, d), vectors=False, texts=False)
     return out.select("doc_id", *(_six(F.col(f"features.{k}")).alias(k) for k in lx.FEATURE_ORDER))
 
 
 def metric_table(spark: SparkSession, d: str) -> DataFrame:
     """The 24 metrics of each text, and what language support it has."""
-    out = features.extract(rows(spark, d), vectors=False)
+    out = features.extract(rows(spark, d), vectors=False, texts=False)
     return out.select("doc_id", *(_six(F.col(f"metrics.{k}")).alias(k) for k in out.schema["metrics"].dataType.names), F.col("language_support.state").alias("language"))
 
 
@@ -76,7 +76,7 @@ def char_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str, bundle: dict, vectors: bool) -> DataFrame:
-    return scoring.score(scoring.with_model(features.extract(rows(spark, d), vectors=vectors), bundle), "char_ngrams" if vectors else None)
+    return scoring.score(scoring.with_model(features.extract(rows(spark, d), vectors=vectors, texts=False), bundle), "char_ngrams" if vectors else None)
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -101,13 +101,13 @@ def score_drivers(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_levels(spark: SparkSession, d: str) -> DataFrame:
     """How much evidence each text gives, why not more, and signals against reading much into it."""
-    out = features.extract(rows(spark, d), vectors=False).withColumn("evidence", tx.fixed(scoring.evidence()))
+    out = features.extract(rows(spark, d), vectors=False, texts=False).withColumn("evidence", tx.fixed(scoring.evidence()))
     return out.select("doc_id", F.col("evidence.level").alias("level"), F.array_join("evidence.reasons", "; ").alias("reasons"), F.array_join(scoring.counter_signals(), "; ").alias("counter"))
 
 
 def cue_rubric(spark: SparkSession, d: str) -> DataFrame:
     """The six families, points, tone and coverage of each text."""
-    out = features.extract(rows(spark, d), vectors=False).withColumn("cue_measures", tx.fixed(cues.measures())).withColumn("cues", tx.fixed(cues.assess()))
+    out = features.extract(rows(spark, d), vectors=False, texts=False, cues=True).withColumn("cues", tx.fixed(cues.assess()))
     each = lambda k: F.array_join(F.transform("cues.families", lambda x: x[k]), "; ")
     return out.select("doc_id", F.col("cues.level").alias("level"), F.col("cues.text").alias("text"), F.col("cues.points").cast("long").alias("points"), each("id").alias("families"), each("detail").alias("details"), F.col("cues.coverage.level").alias("coverage"), F.col("cues.tone").alias("tone"), _six(F.col("cues.contentRepeat")).alias("repeat"))
 
@@ -119,8 +119,8 @@ def segment_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def segment_mix(spark: SparkSession, d: str) -> DataFrame:
     """Scores and excerpts of the segments of texts that are scored by segments."""
-    base = features.normalized(rows(spark, d))
-    out = segments.analyze(base.select("doc_id", "text", "raw", "platform", "kind"), "doc_id", CALIBRATED)
+    base = features.extract(rows(spark, d), texts=False, parts=True, part_vectors=True)
+    out = segments.score(scoring.score(scoring.with_model(base, CALIBRATED)))
     each = out.select("doc_id", "low", "high", F.posexplode("segments").alias("at", "x"))
     return each.select("doc_id", F.col("at").cast("long").alias("at"), _six(F.col("x.signal")).alias("signal"), F.col("x.words").cast("long").alias("words"), F.col("x.excerpt").alias("excerpt"), _six(F.col("low")).alias("low"), _six(F.col("high")).alias("high"))
 
