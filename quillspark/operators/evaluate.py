@@ -1,7 +1,8 @@
 """Evaluation statistics of scores against targets, overall and by slice.
 
-Everything is a grouped aggregate. Ranks for ROC and average precision come from counts per distinct
-score, combined before the shuffle and accumulated over scores, so ties are exact and hot groups small.
+Everything is a grouped aggregate. Ranks for ROC and average precision, medians and cutoffs come from counts
+per distinct score, combined before the shuffle and accumulated in two levels (ranges of scores, then scores
+within a range), so ties are exact and no task orders all scores of a group.
 """
 
 from __future__ import annotations
@@ -32,6 +33,34 @@ def _bin(score: Column) -> Column:
     return out
 
 
+#: Ranges of scores in [0, 1] that are counted before scores are.
+RANGES = 1024
+
+
+def _running(ties: DataFrame, keys: list[str], counts: list[str], down: bool = False) -> DataFrame:
+    """``ties`` (keys, s, counts; one row for each score) with ``{count}_upto``: the sum of all scores from the first up to this one."""
+    ties = ties.withColumn("range", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * RANGES))
+    way = lambda c: F.desc(c) if down else F.asc(c)
+    before = Window.partitionBy(*keys).orderBy(way("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ties.groupBy(*keys, "range").agg(*(F.sum(c).alias(c) for c in counts))
+    sums = sums.select(*keys, "range", *(F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")).alias(f"{c}_before") for c in counts))
+    within = Window.partitionBy(*keys, "range").orderBy(way("s"))
+    own = ties.select("*", *(F.sum(c).over(within).alias(f"{c}_own") for c in counts))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "range"]]
+    return own.alias("a").join(sums.alias("b"), same).select(*(f"a.{c}" for c in ties.columns if c != "range"), *((F.col(f"a.{c}_own") + F.col(f"b.{c}_before")).alias(f"{c}_upto") for c in counts))
+
+
+def medians(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """keys and ``median``: the middle score of each group, or the mean of the two middle ones."""
+    ties = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    at = _running(ties, keys, ["c"])
+    sizes = ties.groupBy(*keys).agg(F.sum("c").alias("n_all"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    both = at.alias("a").join(sizes.alias("b"), same).select(*(f"a.{c}" for c in keys), "s", "c", "c_upto", "n_all")
+    holds = lambda place: F.min(F.when(F.col("c_upto") >= place, F.col("s")))
+    return both.groupBy(*keys).agg(((holds(F.expr("(n_all + 1) div 2")) + holds(F.expr("n_all div 2 + 1"))) / 2).alias("median"))
+
+
 def binary_metrics(df: DataFrame, by: list[str], threshold: float | Column, score: str = "score", target: str = "target") -> DataFrame:
     """One row for each group of ``by`` that has rows of target 0 or 1."""
     keys = by or ["__all"]
@@ -43,8 +72,7 @@ def binary_metrics(df: DataFrame, by: list[str], threshold: float | Column, scor
     bins = rows.groupBy(*keys, _bin(F.col("s")).alias("b")).agg(F.count(F.lit(1)).alias("c"), F.avg("s").alias("ms"), F.avg("y").alias("my"))
     ece = bins.groupBy(*keys).agg(F.sum(F.when(F.col("b").isNotNull(), F.col("c") * F.abs(F.col("ms") - F.col("my"))).otherwise(0.0)).alias("gap"))
     ties = rows.groupBy(*keys, "s").agg(n(ai).alias("p"), n(~ai).alias("q"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    ties = ties.select(*keys, "p", "q", F.sum("p").over(down).alias("ai_upto"), F.sum("q").over(down).alias("human_upto"))
+    ties = _running(ties, keys, ["p", "q"], down=True).withColumnsRenamed({"p_upto": "ai_upto", "q_upto": "human_upto"})
     # an AI row beats the human rows of lower scores and half of those with its own
     ranks = ties.groupBy(*keys).agg(
         F.sum(F.col("q") * (F.col("ai_upto") - F.col("p")) + F.col("p") * F.col("q") / 2.0).alias("wins"),
@@ -71,25 +99,34 @@ def sliced(df: DataFrame, words: str = "words") -> DataFrame:
 def slice_report(df: DataFrame, threshold: float, words: str = "words") -> DataFrame:
     """dimension, value, binary metrics (null without binary rows) and those of mixed rows (null without any)."""
     each, keys = sliced(df, words), ["dimension", "value"]
-    mixed = each.where("target = 2").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("mixed_n"), F.avg("score").alias("mixed_mean_signal"), F.percentile("score", 0.5).alias("mixed_median_signal"),
-        F.avg((F.col("score") >= threshold).cast("double")).alias("mixed_share_at_or_above_strong"))
+    both = each.where("target = 2")
+    mixed = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("mixed_n"), F.avg("score").alias("mixed_mean_signal"), F.avg((F.col("score") >= threshold).cast("double")).alias("mixed_share_at_or_above_strong"))
+    mixed = mixed.join(medians(both, keys).withColumnRenamed("median", "mixed_median_signal"), keys, "left")
     return binary_metrics(each, keys, threshold).join(mixed, keys, "full")
 
 
 def human_threshold(df: DataFrame, target_fpr: float = 0.01, score: str = "score", target: str = "target") -> dict:
     """The cutoff just above the human scores' quantile: what a human-written text passes at most ``target_fpr`` of the time.
 
-    The quantile's place is found by counts per distinct score, so no task holds all scores.
+    The quantile is found by counting scores in ranges, then in ranges of the range that holds it, and so on: counts of
+    at most RANGES ranges come to the driver, and no task orders scores.
     """
     if not 0 < target_fpr < 1:
         raise ValueError("the false positive rate must lie between 0 and 1")
     human = df.where(F.col(target) == 0).select(F.col(score).cast("double").alias("s"))
-    n = human.count()
+    n, lo, hi = human.agg(F.count(F.lit(1)), F.min("s"), F.max("s")).first()
     if not n:
         raise ValueError("calibration needs texts written by humans")
-    place = max(0, min(n - 1, -int(-(1.0 - target_fpr) * n // 1) - 1))
-    at = human.groupBy("s").count().select("s", F.sum("count").over(Window.orderBy("s")).alias("upto")).where(F.col("upto") > place).agg(F.min("s")).first()[0]
+    left = max(0, min(n - 1, -int(-(1.0 - target_fpr) * n // 1) - 1))
+    while lo < hi:
+        inside = human.where(F.col("s").between(lo, hi))
+        ranges = inside.groupBy(F.floor((F.col("s") - lo) / (hi - lo) * (RANGES - 1)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect()
+        for r in sorted(ranges, key=lambda r: r.r):
+            if left < r.n:
+                lo, hi = r.lo, r.hi
+                break
+            left -= r.n
+    at = lo
     import numpy as np
 
     strong = float(np.nextafter(at, np.inf))

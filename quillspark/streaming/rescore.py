@@ -91,8 +91,11 @@ def replay(elements: DataFrame) -> DataFrame:
 def rescore(elements: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, bundle: dict | None = None, sensitivity: str = "balanced", every: str = "180 milliseconds", once: bool = False, **options):
     """Run the whole analysis on what changes, micro-batch by micro-batch; ``sink`` gets each batch's analyses.
 
-    A change of settings needs a new ``checkpoint``: everything is then scored anew.
+    A change of settings needs a new ``checkpoint``: everything is then scored anew. ``once`` takes what is there and
+    ends; elements are not forgotten then, since a stream that waits for their time to run out does not end.
     """
+    if once:
+        options = {"forget": 0} | options
 
     def batch(df: DataFrame, number: int) -> None:
         rows = df.withColumn("row", F.concat_ws(":", "element_id", F.col("seq").cast("string"))).persist()
