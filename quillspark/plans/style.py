@@ -88,7 +88,7 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
     """The same under calibrated models, one of them with character weights, others by default."""
     out = _scored(spark, d, CALIBRATED, True).withColumn("t", tx.fixed(scoring.cutoffs("aggressive")))
-    return out.select("doc_id", "model_key", "calibrated", _six(F.col("logit")).alias("logit"), _six(F.col("signal")).alias("signal"), _six(F.col("t.moderate")).alias("moderate"), _six(F.col("t.strong")).alias("strong"), F.col("t.method").alias("method"), _six(F.col("t.target_fpr")).alias("target_fpr"))
+    return out.select("doc_id", "model_key", "calibrated", _six(F.col("logit")).alias("logit"), _six(F.col("signal")).alias("signal"), _six(F.col("t.moderate")).alias("moderate"), _six(F.col("t.strong")).alias("strong"), F.col("t.method").alias("method"), _six(F.coalesce("t.target_fpr", F.lit(-1.0))).alias("target_fpr"))
 
 
 def score_drivers(spark: SparkSession, d: str) -> DataFrame:
@@ -418,10 +418,11 @@ def oracle_sql() -> dict[str, str]:
         "metric_table": _base() + f" SELECT id AS doc_id, {', '.join(f'{six(f'm_{k}')} AS {k}' for k in _METRICS)}, language FROM v",
         "char_profiles": _base(profile_sql()) + f" SELECT id AS doc_id, part, {six('value')} AS value FROM prof",
         "scores": _base(scored_sql(md.DEFAULT_BUNDLE)) + f" SELECT id AS doc_id, wanted AS model_key, calibrated, {six('logit')} AS logit, {six('signal')} AS signal, floor(round(signal, 9) * 100 + 0.5)::BIGINT AS percent, {six(_cut('cut_moderate', 0.2, 0.9, 0.06))} AS moderate, {six(_cut('cut_strong', 0.35, 1.01, 0.06))} AS strong, CASE WHEN model IS NULL THEN 'unknown' ELSE cut_method END AS method FROM s",
-        "calibrated_scores": _base(profile_sql(), scored_sql(CALIBRATED)) + f" SELECT id AS doc_id, wanted AS model_key, calibrated, {six('logit')} AS logit, {six('signal')} AS signal, {six(_cut('cut_moderate', 0.2, 0.9, -0.06))} AS moderate, {six(_cut('cut_strong', 0.35, 1.01, -0.06))} AS strong, cut_method AS method, {six('cut_fpr')} AS target_fpr FROM s",
+        "calibrated_scores": _base(profile_sql(), scored_sql(CALIBRATED)) + f" SELECT id AS doc_id, wanted AS model_key, calibrated, {six('logit')} AS logit, {six('signal')} AS signal, {six(_cut('cut_moderate', 0.2, 0.9, -0.06))} AS moderate, {six(_cut('cut_strong', 0.35, 1.01, -0.06))} AS strong, cut_method AS method, {six('coalesce(cut_fpr, -1)')} AS target_fpr FROM s",
         "score_drivers": drivers_sql(),
         "evidence_levels": _base(evidence_sql()) + " SELECT id AS doc_id, evidence AS level, array_to_string(reasons, '; ') AS reasons, array_to_string(counter, '; ') AS counter FROM ev",
         "cue_rubric": _base(cues_sql()) + f" SELECT id AS doc_id, cue_level AS level, cue_text AS text, points, families, details, coverage, tone, {six('repeat')} AS repeat FROM cu",
+        "cue_counts": _base(cues_sql()) + " SELECT id AS doc_id, cn AS sentences, run AS short_run, colons, dashes FROM cc WHERE id >= 0",
         "segment_texts": f"WITH RECURSIVE {texts_sql()}, c AS (SELECT id, trim({_plain("coalesce(text, '')")}, {_WS}) AS raw FROM src), {segments_sql()} SELECT id AS doc_id, nr - 1 AS \"at\", text AS segment FROM seg",
         "segment_mix": _base(segments_sql(), segment_scores_sql(CALIBRATED)).replace("WITH ", "WITH RECURSIVE ", 1) + f" SELECT id AS doc_id, nr AS \"at\", {six('signal')} AS signal, words, excerpt, {six('low')} AS low, {six('high')} AS high FROM gm JOIN gl USING (id)",
         "analysis": analysis_sql(md.DEFAULT_BUNDLE),

@@ -298,26 +298,33 @@ class Article:
 ADAPTERS = {"linkedin": LinkedIn, "reddit": Reddit, "x": X, "page": Article}
 
 
-def extract(html: str | None, platform: str) -> list[tuple[str, str, str]]:
-    """(element id, kind, text) of a page's elements."""
+def nested(html: str | None, platform: str) -> list[tuple[str, str | None, str, str]]:
+    """(element id, id of the nearest element around it, kind, text) of a page's elements."""
     adapter, page, out = ADAPTERS[platform](), parse(html), []
-    for i, (n, kind) in enumerate(adapter.elements(page)):
+    found = [(n, kind, n.attrs.get("id") or f"{kind}-{i}") for i, (n, kind) in enumerate(adapter.elements(page))]
+    ids = {id(n): name for n, _, name in found}
+    for n, kind, name in found:
         if text := adapter.text(n, kind):
-            out.append((n.attrs.get("id") or f"{kind}-{i}", kind, text))
+            out.append((name, next((ids[id(x)] for x in list(n.up())[1:] if id(x) in ids), None), kind, text))
     return out
 
 
+def extract(html: str | None, platform: str) -> list[tuple[str, str, str]]:
+    """(element id, kind, text) of a page's elements."""
+    return [(name, kind, text) for name, _, kind, text in nested(html, platform)]
+
+
 def elements(pages: DataFrame, platform: str, page_id: str = "page_id", html: str = "html", comments: bool = True) -> DataFrame:
-    """(page_id, element_id, platform, kind, text) of all pages; ``comments``: comments too."""
+    """(page_id, element_id, parent_id, platform, kind, text) of all pages; ``comments``: comments too."""
     if platform not in ADAPTERS:
         raise ValueError(f"no adapter for {platform!r}")
     key = pages.schema[page_id].dataType.simpleString()
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, e, platform, kind, text) for k, h in zip(f["page_id"], f["html"], strict=True) for e, kind, text in extract(h, platform)]
-            yield pd.DataFrame(rows, columns=["page_id", "element_id", "platform", "kind", "text"])
+            rows = [(k, e, above, platform, kind, text) for k, h in zip(f["page_id"], f["html"], strict=True) for e, above, kind, text in nested(h, platform)]
+            yield pd.DataFrame(rows, columns=["page_id", "element_id", "parent_id", "platform", "kind", "text"])
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html"))
-    out = rows.mapInPandas(task, f"page_id {key}, element_id string, platform string, kind string, text string")
+    out = rows.mapInPandas(task, f"page_id {key}, element_id string, parent_id string, platform string, kind string, text string")
     return out if comments else out.where("kind <> 'comment'")
