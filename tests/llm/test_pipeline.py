@@ -88,3 +88,26 @@ def test_registered():
     names = set(registry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{i}" for i in range(1, 11)}
     assert "corpus_pipeline" in sys.modules and corpus_pipeline.ORACLE_SQL is None
+
+
+def odd_rows():
+    """Nulls in any column, empty, blank and very long texts, ties and repeated rows."""
+    clean = " ".join(f"word{i} and{i % 7} thing{i % 13}" for i in range(40))
+    return [
+        (1, clean, "en", "a", len(clean)), (1, clean, "en", "a", len(clean)), (2, clean, None, None, None), (None, clean + " end", "en", "a", 5), (3, None, "en", "a", None), (4, "", "en", None, 0), (5, " \n\t", None, "a", 3),
+        (6, "x" * 30_000, "en", "a", 30_000), (7, " ".join(f"w{i}" for i in range(20_000)), "en", "b", 1), (8, "line one is long enough to count here\n" * 3, "en", "a", 1), (9, "一二三 四五六 \U0001f600 " * 60, "zh", "c", 1),
+    ]
+
+
+@pytest.mark.parametrize("rows", [[], odd_rows()], ids=["empty", "odd"])
+def test_run_on_odd_tables(spark, tmp_path, rows):
+    """The whole pipeline and every operator's query over an empty table and over odd rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (7, 0, 1)] if rows else [], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, query in registry.queries().items():
+        got = query(spark, str(tmp_path)).collect()
+        if name == "pipeline":
+            assert bool(got) == bool(rows) and {r.doc_id for r in got} <= {i for i, *_ in rows}
+        else:
+            assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == sorted(i if i is not None else -1 for i, *_ in rows), name
