@@ -213,7 +213,7 @@ def _heavy_buckets(texts: DataFrame, window: int, span: int, floor: int | None =
     return np.sort(np.array([r.bucket for r in counts if r.n >= least], dtype=np.uint64)), n
 
 
-_SEGMENT = f"route long, {RID} long, {TAG} long, start int, n int, seg binary"
+_SEGMENT = f"route long, {RID} long, {TAG} long, starts array<int>, n int, seg binary"
 
 
 def _segment_rows(window: int, span: int, heavy: np.ndarray, n_buckets: int):
@@ -256,14 +256,17 @@ def _segment_rows(window: int, span: int, heavy: np.ndarray, n_buckets: int):
             heads = np.flatnonzero(fresh)
             tails = np.append(heads[1:], len(at)) - 1 if len(heads) else heads
             at, begin, size = at[heads], begin[heads], (stop[tails] - begin[heads]).astype(np.int32)
-            rest = np.flatnonzero(~sure)
-            where = np.concatenate([np.array(row_of)[rest], at]).astype(np.int64)
+            # a segment that a document holds many times travels once, with all its places
+            places: dict[tuple[int, int, bytes], list[int]] = {}
+            for i in np.flatnonzero(~sure).tolist():
+                places.setdefault((route[i], row_of[i], segs[i]), []).append(start[i])
+            where = np.concatenate([np.array([x[1] for x in places], dtype=np.int64), at.astype(np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.array(route, dtype=np.int64)[rest], rid[at]])), pa.array(rid[where]), pa.array(tag[where]), pa.array(np.concatenate([np.array(start)[rest], begin]).astype(np.int32)),
-                    pa.array(np.concatenate([n[rest], size])), pa.array([segs[i] for i in rest.tolist()] + [None] * len(at), pa.binary()),
+                    pa.array(np.concatenate([np.array([x[0] for x in places], dtype=np.int64), rid[at]])), pa.array(rid[where]), pa.array(tag[where]), pa.array([*places.values(), *([x] for x in begin.tolist())], pa.list_(pa.int32())),
+                    pa.array(np.concatenate([np.array([len(x[2]) // 4 for x in places], dtype=np.int32), size])), pa.array([x[2] for x in places] + [None] * len(at), pa.binary()),
                 ],
-                names=["route", RID, TAG, "start", "n", "seg"],
+                names=["route", RID, TAG, "starts", "n", "seg"],
             )
 
     return task
@@ -295,8 +298,17 @@ def _shard_rows(window: int, shard: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, segs, words, route, last = [], [], 0, None, None
         for batch in batches:
-            keys, rid, tag, start, n = (batch.column(c).to_numpy() for c in range(5))
-            seg = batch.column(5)
+            keys, rid, tag, n = (batch.column(c).to_numpy() for c in (0, 1, 2, 4))
+            starts, seg = batch.column(3), batch.column(5)
+            places, begins = starts.flatten().to_numpy(), np.append(0, np.cumsum(starts.value_lengths().to_numpy()))
+            start = places[begins[:-1]]
+
+            def spread(part: np.ndarray, which: list[int], rid=rid, tag=tag, places=places, begins=begins) -> tuple[np.ndarray, ...]:
+                """One row for each place of the batch's rows ``part``."""
+                times = begins[part + 1] - begins[part]
+                at = np.arange(times.sum()) + np.repeat(begins[part] - np.cumsum(times) + times, times)
+                return np.repeat(rid[part], times), np.repeat(tag[part], times), places[at].astype(np.int64), np.repeat(np.array(which), times)
+
             sure = np.asarray(seg.is_null())
             if sure.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rid[sure]), pa.array(tag[sure]), pa.array(start[sure].astype(np.int64)), pa.array((start + n)[sure].astype(np.int64))], names=[RID, TAG, "begin", "end"])
@@ -306,8 +318,7 @@ def _shard_rows(window: int, shard: int):
                 if keys[i] != route:
                     if words >= shard:
                         if which:
-                            part = left[begun : begun + len(which)]
-                            rows.append((rid[part], tag[part], start[part].astype(np.int64), np.array(which)))
+                            rows.append(spread(left[begun : begun + len(which)], which))
                         yield judged(rows, segs)
                         begun, which = begun + len(which), []
                         rows, segs, words = [], [], 0
@@ -317,8 +328,7 @@ def _shard_rows(window: int, shard: int):
                     words, last = words + len(x) // 4 + 1, x
                 which.append(len(segs) - 1)
             if which:
-                part = left[begun : begun + len(which)]
-                rows.append((rid[part], tag[part], start[part].astype(np.int64), np.array(which)))
+                rows.append(spread(left[begun : begun + len(which)], which))
         if segs:
             yield judged(rows, segs)
 

@@ -171,6 +171,22 @@ def test_substring_dedup(spark, window, span, shard, floor):
     assert Counter(map(tuple, got)) == Counter(want) and sum(x[2] for x in want) > 100
 
 
+def test_substring_dedup_of_runs(spark):
+    """Documents that repeat one pair of words, whose windows are equal at many places."""
+    rows = [(i, ("ab cd " * n) + f"tail{i} " * 3, "a") for i, n in enumerate((40, 7, 300, 2, 40))]
+    first, want = {}, []
+    for i, t, _ in rows:
+        for j in range(len(words(t)) - 12):
+            first.setdefault(tuple(words(t)[j : j + 13]), i)
+    for i, t, _ in rows:
+        w = words(t)
+        gone = {j + d for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for d in range(13)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    for floor in (None, 1):
+        got = substring_dedup.dedup(table(spark, rows), floor=floor).collect()
+        assert Counter(map(tuple, got)) == Counter(want) and sum(x[2] for x in want) > 300
+
+
 def test_quality_measures(spark):
     rows = corpus(7) + [(9999, "a b c a b c a b d " * 10, "a"), (9998, "one two\none two\n\n \none two\nx # $", "a")]
     want = []
