@@ -23,7 +23,7 @@ No group is ever expanded into all its pairs:
 * the components of all forests (and of each dealt bucket as a whole) are clusters outside of which no
   link can lie. Round 2 takes only clusters that still hold several components of confirmed links. The
   members outside the largest component are dealt to blocks of about BLOCK, all members to strips of
-  ten times as many, and a task for each pair of block and strip holds the block's sets and streams
+  about a block's size (STRIP at least), and a task for each pair of block and strip holds the block's sets and streams
   the strip past them, comparing exactly what may be alike and is not yet joined. It reports a link only
   where it joins two components of its own, so again fewer than members. Members of the largest
   component are never compared with each other.
@@ -51,13 +51,14 @@ from quillspark.llm.common import NO_ID, RID, TAG, TXT, carried, dropped, heavy_
 from quillspark.llm.words import mix, windows, words_of
 
 HASHES, BITS, ROWS, BANDS = 192, 2, 5, 35
-DEAL, BLOCK, STRIP = 4_000, 2_000, 20_000
+DEAL, BLOCK, STRIP, PARTNERS = 4_000, 2_000, 500, 500
 #: Most loss by the estimate at the threshold.
 LOST = 3e-7
 CELLS = 64 // BITS
 SIG = HASHES // CELLS
 _rng = np.random.default_rng(7)
 _SALT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
+_STEPS = [(np.uint64(31), np.uint64(0x7FB5D329728EA185)), (np.uint64(27), np.uint64(0x81DADEF4BC2DD44D))]
 _LOW = np.uint64(sum(1 << (BITS * i) for i in range(CELLS)))
 _SEEDS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 
@@ -73,10 +74,17 @@ def least_estimate(percent: int, lost: float = LOST) -> float:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The high 32 bits of the least mixed hash under each of HASHES seeds."""
+    """The high 32 bits of the least mixed hash under each of HASHES seeds.
+
+    This is ``words.mix`` in place, less its last step, which leaves those bits as they are.
+    """
     out = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(shingles), 256):
-        np.minimum(out, mix(shingles[None, i : i + 256] ^ _SALT[:, None]).min(axis=1), out=out)
+    for i in range(0, len(shingles), 128):
+        x = shingles[i : i + 128, None] ^ _SALT[None, :]
+        for shift, factor in _STEPS:
+            x ^= x >> shift
+            x *= factor
+        np.minimum(out, x.min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -288,34 +296,47 @@ def _round2(reps: DataFrame, comps: DataFrame, clusters: DataFrame, texts: DataF
     rows = reps.select("id", "n", "sig").join(clusters.withColumnRenamed("comp", "cluster"), "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = rows.groupBy("cluster", "comp").count()
     several = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("big")).where("parts > 1")
-    several = several.select("cluster", F.col("big.comp").alias("big"), F.expr(f"1 + (all - big.count) div {block}").alias("blocks"), F.expr(f"1 + all div {strip}").alias("strips"))
+    several = several.select("cluster", F.col("big.comp").alias("big"), F.expr(f"1 + (all - big.count) div {block}").alias("blocks"), F.expr(f"1 + all div greatest({strip}, least(all - big.count, {block}))").alias("strips"))
     rows = rows.join(several, "cluster")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     one = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n))
     held = rows.where("comp <> big").select("*", F.lit(False).alias("streamed"), one("blocks", 1).alias("block"), F.explode(every("strips")).alias("strip"))
     past = rows.select("*", F.lit(True).alias("streamed"), F.explode(every("blocks")).alias("block"), one("strips", 2).alias("strip"))
-    both = held.unionByName(past).join(texts, "id").select("cluster", "block", "strip", "streamed", "comp", "id", "n", "sig", "text")
+    both = held.unionByName(past).join(texts.hint("merge"), "id").select("cluster", "block", "strip", "streamed", "comp", "id", "n", "sig", "text")
     dealt = both.repartition("cluster", "block", "strip").sortWithinPartitions("cluster", "block", "strip", "streamed", "id")
     return stash(dealt.mapInArrow(_joins(k, percent), _PAIR).distinct(), "joins")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, ok): each pair's verdict on the full sets. ``docs``: id, text."""
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, most: int = PARTNERS) -> DataFrame:
+    """(a, b, ok): each pair's verdict on the full sets. ``docs``: id, text.
+
+    A task gets the text of an ``a`` once, then its partners one by one; an ``a`` of many partners is dealt to several tasks.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        at, heads = None, []
         for batch in batches:
-            a, ok = batch.column(0).to_numpy(), []
-            for i, right in enumerate(shingle_sets(batch.column(3), k)):
-                if a[i] != last:
-                    left, last = next(shingle_sets(batch.column(2).slice(i, 1), k)), a[i]
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                ok.append(100 * both >= percent * (len(left) + len(right) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    b = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = b.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return stash(both.mapInArrow(task, f"{_PAIR}, ok boolean"), "confirmed")
+            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            partner, out = batch.column(2).to_pylist(), []
+            for i, s in enumerate(shingle_sets(batch.column(3), k)):
+                if where[i] != at:
+                    at, heads = where[i], []
+                if partner[i] is None:
+                    heads.append(s)
+                else:
+                    both = [(len(np.intersect1d(x, s, assume_unique=True)), len(x) + len(s)) for x in heads]
+                    out.append((at[0], partner[i], any(n > 0 and 100 * n >= percent * (of - n) for n, of in both)))
+            a, b, ok = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    parts = pairs.groupBy("a").agg(F.expr(f"1 + count(1) div {most}").alias("parts"))
+    tails = spread_join(pairs, parts, ["a"]).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    rows = heads.withColumn("id", F.col("a")).unionByName(tails.withColumn("id", F.col("b")))
+    # by exchange at every size: neither side has a bound that would let it be broadcast
+    rows = rows.join(docs.hint("merge"), "id").select("a", "part", "b", "text")
+    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return stash(dealt.mapInArrow(task, f"{_PAIR}, ok boolean"), "confirmed")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -357,7 +378,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(row_id().alias("id"), text_of().alias("text"))
 
     pairs, bound = _round1(reps, percent)
-    links = confirmed(pairs, texts, k, percent).where("ok").select("a", "b")
+    links = confirmed(pairs, texts, k, percent).where("ok").select("a", "b").distinct()
     # a document with several texts joins their classes
     several = members.groupBy(RID).agg(F.min("id").alias("a"), F.max("id").alias("m")).where("a <> m").select(RID, "a")
     same = members.join(several, RID).select("a", F.col("id").alias("b")).where("a <> b").distinct()
