@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space of all contracts: U+0020 and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
@@ -113,16 +114,16 @@ def heavy_keys(rows: DataFrame, keys: list[str], share: int | None = None, floor
     """The at most ``share`` keys that each hold at least a 1/``share`` part of ``rows``, with their counts as ``heavy_n``, or None.
 
     Rows are counted in BUCKETS buckets of the key's hash for each part (a number of counts fixed by the
-    session, combined before the shuffle; these alone come to the driver), then exactly within the few heavy
-    buckets. The result is bounded by ``share`` rows whatever the input and so may be broadcast.
+    session, combined before the shuffle; the numbers of the heavy ones alone come to the driver), then exactly
+    within the few heavy buckets. The result is bounded by ``share`` rows whatever the input and so may be broadcast.
     """
     share = share or share_of(rows.sparkSession)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS * share)).cast("int")
-    sizes = rows.groupBy(bucket.alias("b")).count().collect()
-    least = max(floor, -(-sum(r["count"] for r in sizes) // share))
-    hot = [r["b"] for r in sizes if r["count"] >= least]
-    if not hot:
+    sizes = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    found = sizes.where((F.col("n") >= floor) & (F.col("n") * share >= F.col("all"))).collect()
+    if not found:
         return None
+    hot, least = [r["b"] for r in found], max(floor, -(-found[0]["all"] // share))
     return rows.where(bucket.isin(hot)).groupBy(*keys).agg(F.count(F.lit(1)).alias("heavy_n")).where(F.col("heavy_n") >= least)
 
 

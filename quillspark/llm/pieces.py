@@ -42,6 +42,8 @@ from quillspark.llm.common import kept_by_worker, text_of
 
 SPACE = "▁"
 N_BEST, LONG, BATCH = 4, 48, 4096
+#: Parts that a worker keeps, and how many where its executor has other stages' memory to hold as well.
+PARTS, FEW_PARTS = 800_000, 250_000
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Finer, for models without pieces that go on from a letter to one of these marks.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r".,;:!?|\"$%&*#()\n-"
@@ -66,7 +68,7 @@ def _hash(points: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, and segmentations of texts by them; ``most`` parts are kept at a time."""
 
-    def __init__(self, path: str, n: int = N_BEST, most: int = 800_000):
+    def __init__(self, path: str, n: int = N_BEST, most: int = PARTS):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -315,9 +317,9 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def segmenter(path: str, n: int = N_BEST) -> Pieces:
+def segmenter(path: str, n: int = N_BEST, most: int = PARTS) -> Pieces:
     """The worker's segmenter: its parts stay from task to task."""
-    return kept_by_worker(("pieces", path, n), lambda: Pieces(path, n))
+    return kept_by_worker(("pieces", path, n, most), lambda: Pieces(path, n, most))
 
 
 def encode(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
@@ -335,14 +337,14 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(task, "doc_id long, ids array<int>, nbest array<struct<score: double, ids: array<int>>>")
 
 
-def tokens(docs: DataFrame, n: int = N_BEST, model: str | None = None) -> DataFrame:
+def tokens(docs: DataFrame, n: int = N_BEST, model: str | None = None, most: int = FEW_PARTS) -> DataFrame:
     """doc_id, number of pieces, ids of the best segmentation, the n best scores, and the ``others``.
 
     Each other segmentation is given by its changes to the best: ids from ``start`` up to ``stop`` make way for ``ids``.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = segmenter(model or model_path(), n)
+        pieces = segmenter(model or model_path(), n, most)
         change = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
         for batch in batches:
             found = list(pieces.encode_all(t.as_py() for t in batch.column(1)))
