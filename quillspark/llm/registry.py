@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import edit_counts, exact_dedup, line_dedup, minhash, mixing, pieces, quality, substring_dedup, token_records, toxicity
+from quillspark.llm import edit_counts, exact_dedup, languages, line_dedup, minhash, mixing, pieces, quality, substring_dedup, token_records, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_substring_dedup": substring_dedup.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,
+        "op13_languages": languages.query,
         "pipeline": corpus_pipeline.run,
     }
 
