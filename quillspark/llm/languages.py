@@ -101,6 +101,8 @@ def pooled(net: Network, data: np.ndarray, at: np.ndarray, labels: np.ndarray |
     """Mean probabilities (text x language) of texts that lie in ``data`` between the offsets ``at``; ``labels`` takes each byte's language."""
     k, n_langs = net.u.shape[2], len(net.langs)
     out = np.zeros((len(at) - 1, n_langs))
+    if not n_langs:
+        return out
     text, first, size = windows_of(at)
     width = min(BLOCK, max(len(text), 1))
     states, work = np.zeros((WINDOW, k, width), np.float32), (np.empty((3 * k, width), np.float32), np.empty((3 * k, width), np.float32))
