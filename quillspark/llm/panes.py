@@ -3,7 +3,7 @@
 Rows arrive in batches. Each batch goes through a native streaming aggregation (count and sum per kind and event
 hour, update mode) that retains the totals of all open panes; the query is started anew for each batch, on one checkpoint.
 ``foreachBatch`` joins the panes that changed to the table of panes published so far (kept in the shared folder, one
-version per batch) and derives what is due, what is to be revised and what is forgotten. Rows of closed panes bypass
+version per batch) and writes its next version with the records that each pane makes: what is due, what is revised, what is forgotten. Rows of closed panes bypass
 the aggregation: they go to the sink as they are.
 
 The clock W is the greatest event time of all earlier batches. A pane is due once W has reached its end plus DUE_HOURS, and
@@ -24,7 +24,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import new_path
@@ -34,8 +34,8 @@ BATCHES, DUE_HOURS, CLOSED_HOURS = 10, 12, 48
 SHIFT_DAYS = 800_000
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 ROWS = "click_id long, event_us long, kind string, hour long, cents long"
-PANES = "kind string, hour long, n_rows long, cents long, published boolean"
-RECORDS = "hour long, click_id long, n_rows long, cents long, record string, kind string"
+PANES = "kind string, hour long, n_rows long, cents long, published boolean, kept boolean, records array<struct<record:string,n_rows:long,cents:long>>, batch long"
+CHANGES = "hour long, click_id long, n_rows long, cents long, record string, kind string, batch long"
 
 
 def _micros(column: str) -> Column:
@@ -77,66 +77,61 @@ class Publisher:
 
     def __init__(self, spark: SparkSession, root: str, batches: int = BATCHES, due: int = DUE_HOURS, closed: int = CLOSED_HOURS):
         self.spark, self.root, self.batches, self.due, self.closed = spark, root, batches, due, closed
+        self.now: int | None = None  # the greatest event hour of all batches that ran
 
-    def clock(self, batch: int) -> int | None:
-        """The greatest event hour of all batches before ``batch``."""
-        if batch == 0:
-            return None
-        paths = [f"{self.root}/changes/batch={b}" for b in range(batch)]
-        return self.spark.read.schema(RECORDS).parquet(*paths).agg(F.max("hour")).first()[0]
+    def _path(self, kind: str, batch: int) -> str:
+        return f"{self.root}/{kind}/batch={batch}"
 
-    def stream(self, batch: int, now: int | None) -> DataFrame:
-        """Of the newest batch: new totals of the panes that changed (click_id null), and the rows of closed panes."""
-        files = f"{self.root}/rows/batch={{{','.join(map(str, range(batch + 1)))}}}"
+    def stream(self, batch: int) -> DataFrame:
+        """Of the newest batch: new totals of the panes that changed, and the rows of closed panes."""
+        now, files = self.now, f"{self.root}/rows/batch={{{','.join(map(str, range(batch + 1)))}}}"
         rows = self.spark.readStream.schema(ROWS).parquet(files)
         late = F.lit(False) if now is None else F.col("hour") + 1 + self.closed <= now
         timed = rows.where(~late).withColumn("time", F.timestamp_micros(F.col("event_us") + SHIFT_DAYS * DAY_US)).withWatermark("time", f"{self.closed} hours")
         totals = timed.groupBy("kind", F.window("time", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("cents").alias("cents"))
         hour = F.floor(F.unix_micros("w.start") / HOUR_US).cast("long") - SHIFT_DAYS * 24
-        panes = totals.select(hour.alias("hour"), F.lit(None).cast("long").alias("click_id"), "n_rows", "cents", F.lit("pane").alias("record"), "kind")
+        panes = totals.select(hour.alias("hour"), F.lit(-1).cast("long").alias("click_id"), "n_rows", "cents", F.lit("pane").alias("record"), "kind")
         passed = rows.where(late).select("hour", "click_id", F.lit(1).cast("long").alias("n_rows"), "cents", F.lit("late").alias("record"), "kind")
-        return panes.unionByName(passed)
-
-    def publish(self, changes: DataFrame, batch: int, now: int | None) -> None:
-        """Write the batch's changes, its records and the next version of the panes."""
-        path = lambda kind, b=batch: f"{self.root}/{kind}/batch={b}"
-        changes.write.mode("overwrite").parquet(path("changes"))  # the aggregation runs once, whatever is read from it
-        changes = self.spark.read.schema(RECORDS).parquet(path("changes"))
-        before = self.spark.read.schema(PANES).parquet(path("panes", batch - 1)) if batch else self.spark.createDataFrame([], PANES)
-        new = changes.where("record = 'pane'").select("kind", "hour", F.col("n_rows").alias("new_n"), F.col("cents").alias("new_cents"))
-        both = before.join(new, ["kind", "hour"], "full_outer")
+        return panes.unionByName(passed).withColumn("batch", F.lit(batch).cast("long"))
+
+    def publish(self, changes: DataFrame, batch: int) -> None:
+        """Write the batch's changes, and the next version of the panes with the records that they make."""
+        now, clock = self.now, Observation()
+        # written first: the aggregation runs once, whatever is read from it
+        changes.observe(clock, F.max("hour").alias("hour")).write.mode("overwrite").parquet(self._path("changes", batch))
+        self.latest = clock.get.get("hour")
+        new = self.spark.read.schema(CHANGES).parquet(self._path("changes", batch)).where("record = 'pane'").select("kind", "hour", F.col("n_rows").alias("new_n"), F.col("cents").alias("new_cents"))
+        before = self.spark.read.schema(PANES).parquet(self._path("panes", batch - 1)) if batch else self.spark.createDataFrame([], PANES)
+        both = before.where("kept").drop("records", "kept", "batch").join(new, ["kind", "hour"], "full_outer")
         changed, known = F.col("new_n").isNotNull(), F.coalesce("published", F.lit(False))
         reached = lambda hours: F.lit(False) if now is None else F.col("hour") + 1 + hours <= now
         n, cents = F.coalesce("new_n", "n_rows"), F.coalesce("new_cents", "cents")
         record = lambda name, n, cents: F.struct(F.lit(name).alias("record"), n.alias("n_rows"), cents.alias("cents"))
-        last = batch == self.batches - 1
         made = (
             F.when(known & changed, F.array(record("retract", F.col("n_rows"), F.col("cents")), record("replace", n, cents)))
             .when(~known & reached(self.due), F.array(record("emit", n, cents)))
-            .when(~known & F.lit(last), F.array(record("final", n, cents)))
+            .when(~known & F.lit(batch == self.batches - 1), F.array(record("final", n, cents)))
         )
-        records = both.select("kind", "hour", F.explode(made).alias("r")).select("hour", F.lit(-1).cast("long").alias("click_id"), "r.n_rows", "r.cents", "r.record", "kind")
-        records.unionByName(changes.where("record = 'late'")).write.mode("overwrite").parquet(path("records"))
-        if not last:
-            kept = both.where(~reached(self.closed)).select("kind", "hour", n.alias("n_rows"), cents.alias("cents"), (known | reached(self.due)).alias("published"))
-            kept.write.mode("overwrite").parquet(path("panes"))
+        out = both.select(
+            "kind", "hour", n.alias("n_rows"), cents.alias("cents"), (known | reached(self.due)).alias("published"), (~reached(self.closed)).alias("kept"),
+            made.alias("records"), F.lit(batch).cast("long").alias("batch"))
+        out.write.mode("overwrite").parquet(self._path("panes", batch))
 
     def run(self, batch: int) -> None:
         """Start the query on the checkpoint, let it take the batch's rows, and end it."""
-        now = self.clock(batch)
         query = (
-            self.stream(batch, now).writeStream.outputMode("update").option("checkpointLocation", f"{self.root}/checkpoint")
-            .foreachBatch(lambda df, _: self.publish(df, batch, now)).trigger(availableNow=True).start()
+            self.stream(batch).writeStream.outputMode("update").option("checkpointLocation", f"{self.root}/checkpoint")
+            .foreachBatch(lambda df, _: self.publish(df, batch)).trigger(availableNow=True).start()
         )
         query.awaitTermination()
+        self.now = max((x for x in (self.now, self.latest) if x is not None), default=None)
 
     def records(self) -> DataFrame:
         """All records of all batches."""
-        parts = [self.spark.read.schema(RECORDS).parquet(f"{self.root}/records/batch={b}").withColumn("batch", F.lit(b).cast("long")) for b in range(self.batches)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        read = lambda kind, schema: self.spark.read.schema(schema).parquet(*(self._path(kind, b) for b in range(self.batches)))
+        made = read("panes", PANES).select("batch", "hour", "kind", F.explode("records").alias("r"))
+        made = made.select("batch", "hour", F.lit(-1).cast("long").alias("click_id"), "r.n_rows", "r.cents", "r.record", "kind")
+        return made.unionByName(read("changes", CHANGES).where("record = 'late'"))
 
 
 def revisions(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
