@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import lexicons as lx
 from quillspark.functions import text as tx
 from quillspark.operators import augment, cues, evaluate, features, prepare, split
-from quillspark.plans import flows, style
+from quillspark.plans import flows, streams, style
 from quillspark.sources import html
 from quillspark.sources.readers import read_table
 from quillspark.streaming import rescore
@@ -250,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "record_counts": f"WITH {_SCORED} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM s GROUP BY {c}" for c in ("authorship", "platform", "kind")),
         "human_threshold": f"WITH {_SCORED}, h AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM s WHERE target = 0), q AS (SELECT max(score) FILTER (WHERE r = ceil(0.9::DOUBLE * n)) AS s, max(n) AS n FROM h) SELECT round(q.s, 9) AS strong, q.n AS n, round(count(*) FILTER (WHERE h.score > q.s) / q.n::DOUBLE, 9) AS fpr FROM h, q GROUP BY q.s, q.n",
         "changes_replay": "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count(*) FILTER (WHERE b IS DISTINCT FROM event_type) AS scored FROM e GROUP BY user_id",
-    } | style.oracle_sql() | flows.oracle_sql()
+    } | style.oracle_sql() | flows.oracle_sql() | streams.oracle_sql()
 
 
 def queries():
@@ -258,4 +258,4 @@ def queries():
         profile_by_lang, token_stats, ngram_repeats, lexicon_hits, phrase_hits, punctuation, markup, sentence_stats, language_support, fingerprints, document_fingerprints, surface_variants, augmented,
         imported, kinds, binary_metrics, slice_metrics, record_counts, human_threshold, group_split, changes_replay, cue_counts, page_texts,
     )
-    return {f.__name__: f for f in own} | style.queries() | flows.queries()
+    return {f.__name__: f for f in own} | style.queries() | flows.queries() | streams.queries()

@@ -316,15 +316,34 @@ def extract(html: str | None, platform: str) -> list[tuple[str, str, str]]:
 
 def elements(pages: DataFrame, platform: str, page_id: str = "page_id", html: str = "html", comments: bool = True) -> DataFrame:
     """(page_id, element_id, parent_id, platform, kind, text) of all pages; ``comments``: comments too."""
+    out = _elements(pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html")), platform, [])
+    return out if comments else out.where("kind <> 'comment'")
+
+
+def snapshot_elements(snapshots: DataFrame, platform: str, comments: bool = True) -> DataFrame:
+    """(page_id, seq, element_id, parent_id, platform, kind, text) of snapshots (page_id, seq, html), a table or a stream.
+
+    A snapshot also gives a row with a null element_id, which says that it was taken, whatever it holds.
+    """
+    out = _elements(snapshots.select("page_id", F.col("html").cast("string").alias("html"), F.col("seq").cast("long").alias("seq")), platform, ["seq"])
+    return out if comments else out.where("element_id is null or kind <> 'comment'")
+
+
+def _elements(rows: DataFrame, platform: str, carried: list[str]) -> DataFrame:
+    """Elements of ``rows`` (page_id, html and columns to carry); where columns are carried, each page also gives a row without an element."""
     if platform not in ADAPTERS:
         raise ValueError(f"no adapter for {platform!r}")
-    key = pages.schema[page_id].dataType.simpleString()
+    kinds = dict(rows.dtypes)
+    names = ["page_id", *carried, "element_id", "parent_id", "platform", "kind", "text"]
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, e, above, platform, kind, text) for k, h in zip(f["page_id"], f["html"], strict=True) for e, above, kind, text in nested(h, platform)]
-            yield pd.DataFrame(rows, columns=["page_id", "element_id", "parent_id", "platform", "kind", "text"])
-
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html"))
-    out = rows.mapInPandas(task, f"page_id {key}, element_id string, parent_id string, platform string, kind string, text string")
-    return out if comments else out.where("kind <> 'comment'")
+            out = []
+            for key, h, *more in zip(f["page_id"], f["html"], *(f[c] for c in carried), strict=True):
+                out.extend((key, *more, e, above, platform, kind, text) for e, above, kind, text in nested(h, platform))
+                if carried:
+                    out.append((key, *more, None, None, platform, None, None))
+            yield pd.DataFrame(out, columns=names)
+
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ("page_id", *carried))
+    return rows.mapInPandas(task, f"{shape}, element_id string, parent_id string, platform string, kind string, text string")
