@@ -12,7 +12,7 @@ like W itself. Spark's own watermark (greatest event time less CLOSED_HOURS) fre
 the pane is closed. Watermarks start at 1970, before which events may lie, so the stream's time is shifted by SHIFT_DAYS.
 
 Nothing that grows with the rows meets in one task, on the driver or in a broadcast: rows are deduplicated by an exchange
-on their id, batches are written by rebalanced partitions, totals are combined before their exchange, and the
+on their id, batches are written by (batch, share of the ids), totals are combined before their exchange, and the
 table of panes is joined by an exchange on (kind, hour), where each pane is one row. The driver gets one hour per batch.
 A batch's outputs are overwritten if it runs again, and follow from its rows and the version before it alone.
 
@@ -32,6 +32,8 @@ from quillspark.llm.common import new_path
 BATCHES, DUE_HOURS, CLOSED_HOURS = 10, 12, 48
 #: So many days are added to the stream's event times; more than lie between year 1, less the days of a cycle, and 1970.
 SHIFT_DAYS = 800_000
+#: Partitions of panes that one task takes. A checkpoint's partitions are as many as they were at first, whatever a batch holds; panes are few next to rows.
+TOGETHER = 8
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 ROWS = "click_id long, event_us long, kind string, hour long, cents long"
 PANES = "kind string, hour long, n_rows long, cents long, published boolean, kept boolean, records array<struct<record:string,n_rows:long,cents:long>>, batch long"
@@ -61,7 +63,9 @@ def cut(clicks: DataFrame) -> DataFrame:
 def write_batches(rows: DataFrame, path: str, batches: int = BATCHES) -> None:
     """``rows`` in a folder for each batch, of which those without rows get a file without rows, so that they run too."""
     spark = rows.sparkSession
-    rows.hint("rebalance", F.col("batch")).write.partitionBy("batch").parquet(path)
+    # a batch's rows lie in as many files as it has shares of the partitions: few files to list, none for one task
+    salt = F.pmod(F.xxhash64("click_id"), F.lit(1 + int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
+    rows.repartition("batch", salt).write.partitionBy("batch").parquet(path)
     there = {r.batch for r in rows.sparkSession.read.parquet(path).select("batch").distinct().collect()} if _exists(spark, path, "batch=*") else set()
     for b in sorted(set(range(batches)) - there):
         spark.createDataFrame([], ROWS).coalesce(1).write.mode("append").parquet(f"{path}/batch={b}")
@@ -98,7 +102,8 @@ class Publisher:
         """Write the batch's changes, and the next version of the panes with the records that they make."""
         now, clock = self.now, Observation()
         # written first: the aggregation runs once, whatever is read from it
-        changes.observe(clock, F.max("hour").alias("hour")).write.mode("overwrite").parquet(self._path("changes", batch))
+        fewer = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER)
+        changes.observe(clock, F.max("hour").alias("hour")).coalesce(fewer).write.mode("overwrite").parquet(self._path("changes", batch))
         self.latest = clock.get.get("hour")
         new = self.spark.read.schema(CHANGES).parquet(self._path("changes", batch)).where("record = 'pane'").select("kind", "hour", F.col("n_rows").alias("new_n"), F.col("cents").alias("new_cents"))
         before = self.spark.read.schema(PANES).parquet(self._path("panes", batch - 1)) if batch else self.spark.createDataFrame([], PANES)
@@ -115,7 +120,7 @@ class Publisher:
         out = both.select(
             "kind", "hour", n.alias("n_rows"), cents.alias("cents"), (known | reached(self.due)).alias("published"), (~reached(self.closed)).alias("kept"),
             made.alias("records"), F.lit(batch).cast("long").alias("batch"))
-        out.write.mode("overwrite").parquet(self._path("panes", batch))
+        out.coalesce(fewer).write.mode("overwrite").parquet(self._path("panes", batch))
 
     def run(self, batch: int) -> None:
         """Start the query on the checkpoint, let it take the batch's rows, and end it."""
