@@ -12,7 +12,7 @@ like W itself. Spark's own watermark (greatest event time less CLOSED_HOURS) fre
 the pane is closed. Watermarks start at 1970, before which events may lie, so the stream's time is shifted by SHIFT_DAYS.
 
 Nothing that grows with the rows meets in one task, on the driver or in a broadcast: rows are deduplicated by an exchange
-on their id, batches are written by (batch, share of the ids), totals are combined before their exchange, and the
+on their id, batches are written by ranges of (batch, id), totals are combined before their exchange, and the
 table of panes is joined by an exchange on (kind, hour), where each pane is one row. The driver gets one hour per batch.
 A batch's outputs are overwritten if it runs again, and follow from its rows and the version before it alone.
 
@@ -63,9 +63,8 @@ def cut(clicks: DataFrame) -> DataFrame:
 def write_batches(rows: DataFrame, path: str, batches: int = BATCHES) -> None:
     """``rows`` in a folder for each batch, of which those without rows get a file without rows, so that they run too."""
     spark = rows.sparkSession
-    # a batch's rows lie in as many files as it has shares of the partitions: few files to list, none for one task
-    salt = F.pmod(F.xxhash64("click_id"), F.lit(1 + int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
-    rows.repartition("batch", salt).write.partitionBy("batch").parquet(path)
+    # ranges of (batch, id) hold equally many rows: few files for each batch, none of them for one task
+    rows.repartitionByRange("batch", "click_id").write.partitionBy("batch").parquet(path)
     there = {r.batch for r in rows.sparkSession.read.parquet(path).select("batch").distinct().collect()} if _exists(spark, path, "batch=*") else set()
     for b in sorted(set(range(batches)) - there):
         spark.createDataFrame([], ROWS).coalesce(1).write.mode("append").parquet(f"{path}/batch={b}")
