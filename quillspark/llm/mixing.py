@@ -132,20 +132,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_times: int = MAX_TIMES, slots: int
 
 
 def takings(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and internal ids of each row."""
+    """doc_id, size, source_size, target, taken, first_slot (null where nothing is taken), n_slots and internal ids of each row."""
     sizes, goals, parts = mix(docs, **options)
-    taken = parts.groupBy("uid").agg(F.sum("words").alias("taken"))
+    taken = parts.groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return sizes.join(per_source(goals), "source_key").join(taken, "uid", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), RID, TAG, "source_key", "uid")
+        "doc_id", "size", "source_size", "target", none("taken"), "first_slot", none("n_slots"), RID, TAG, "source_key", "uid")
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each as often as it is taken; one taken in part brings its first words.
+    """The mix as documents, in the order of their first slots: each as often as it is taken; one taken in part brings its first words.
 
-    The words that a source gives are the head of its stream, so in any pass at most one document of
+    Rows are range partitioned and sorted by slot, so that files written of them hold the mix from its beginning to its end, and any
+    stretch of them holds the sources nearly in proportion. The words that a source gives are the head of its stream, so in any pass at most one document of
     a source is cut.
     """
-    taken = takings(docs, **options).groupBy(RID, TAG, "source_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
+    taken = takings(docs, **options).groupBy(RID, TAG, "source_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_rows"), F.min("first_slot").alias("first_slot"))
     rows = carried(docs, source_key=source_key()).join(taken, [RID, TAG, "source_key"])
     # rows that are equal in id, text and source share what they take
     rows = rows.withColumn("share", F.expr("cast(taken div n_rows as bigint)")).where("size > 0 and share > 0")
@@ -157,9 +159,10 @@ def filter_documents(docs: DataFrame, **options) -> DataFrame:
     out = {"text": F.when(F.col("cut") == 0, text).otherwise(head)}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("cut") == 0, F.col(f"{ROW}.n_chars")).otherwise(F.char_length(head).cast("long"))
-    return restored(rows, **out)
+    order = ["first_slot", RID, TAG, "source_key", F.desc("cut")]
+    return restored(rows.repartitionByRange(*order).sortWithinPartitions(*order), **out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: size, target and takings of each document."""
-    return takings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """op9: size, target, takings and slots of each document."""
+    return takings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")

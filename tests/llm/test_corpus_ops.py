@@ -291,6 +291,57 @@ def test_mixing_gives_rounded_targets(spark, slots):
     assert all(0 <= r.slot < -(-total // block) and 0 < r.words <= block for r in parts.collect())
 
 
+def plain_mix(spark, rows, slots):
+    """(doc_id, taken, first slot, slots) of each row, by walking through points and streams one by one."""
+    hashes = F.xxhash64(F.lit(mixing.SEED), common.RID, common.TAG)
+    sizes = mixing.sizes_of(table(spark, rows)).select("*", hashes.alias("ord"), (F.pmod(F.xxhash64("source_key"), F.lit(2**20)) / 2**20).alias("within")).collect()
+    of = Counter()
+    for r in sizes:
+        of[r.source_key] += r["size"]
+    want = targets(Counter({None if k == "-" else k[1:]: n for k, n in of.items()}))
+    goals = {k: want[None if k == "-" else k[1:]] or 0 for k in of}
+    total = sum(of.values())
+    block = max(mixing.LEAST_BLOCK, -(-total // slots))
+    n_slots, keys, dealt = -(-total // block), sorted(k for k in of if goals[k] > 0), {k: [] for k in of}
+    for i in range(n_slots):
+        u, upto = (i + 0.5) * mixing.GOLDEN % 1, 0.0
+        for k in keys:
+            upto += goals[k] / sum(goals.values())
+            if u < upto or k == keys[-1]:
+                dealt[k].append(i)
+                break
+    out = []
+    for k in of:
+        goal, own, at = int(goals[k] + 0.5), sorted((r for r in sizes if r.source_key == k), key=lambda r: (r.ord, r[common.RID], r[common.TAG])), 0
+        blocks = (goal - 1) // block + 1 if goal else 0
+        for rank in range(len(dealt[k]), blocks):
+            dealt[k].append(int((rank + own[0].within) / blocks * n_slots))
+        for r in own:
+            taken, seen = 0, set()
+            for start in range(at, at + 3 * of[k], of[k]) if r["size"] else ():
+                end = min(start + r["size"], goal)
+                if start < end:
+                    taken += end - start
+                    seen |= {dealt[k][b] for b in range(start // block, (end - 1) // block + 1)}
+            out.append((r.doc_id, taken, min(seen, default=None), len(seen)))
+            at += r["size"]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("slots", [mixing.SLOTS, 7])
+def test_takings_equal_the_plain_walk(spark, slots, monkeypatch):
+    rows = corpus(9) + [(3000 + i, "w " * (1 + 37 * i % 90), f"site{i % 7}") for i in range(120)]
+    rows = list({r[0]: r for r in rows}.values())
+    got = lambda: Counter((r.doc_id, r.taken, r.first_slot, r.n_slots) for r in mixing.takings(table(spark, rows), slots=slots).collect())
+    first = got()
+    assert first == plain_mix(spark, rows, slots)
+    at = {r[0]: r[2] for r in first}
+    order = [at[r.doc_id] for r in mixing.filter_documents(table(spark, rows), slots=slots).collect()]
+    assert order == sorted(order)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)  # another schedule is another mix
+    assert got() != first and got() == plain_mix(spark, rows, slots)
+
+
 def test_schedule_spreads_sources(spark):
     """Any stretch of the mix holds sources nearly in proportion, and ranks count each source's slots."""
     goals = spark.createDataFrame([("=a", 1.0), ("=b", 2.0), ("=c", 5.0), ("=d", 0.0)], "source_key string, target double")
