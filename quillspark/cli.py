@@ -26,6 +26,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{field.replace('_', '-')}-field", dest=field, help=f"column of {field}")
     p.add_argument("--platform", dest="all_platform", help="the platform of every record")
     p.add_argument("--kind", dest="all_kind", help="the kind of every record")
+    p.add_argument("--rejected", help="folder of the records that are left out, with reasons; without it an unknown label is an error")
     p = commands.add_parser("augment", help="each record and its three surface variants")
     p.add_argument("source")
     p.add_argument("target")
@@ -56,11 +57,19 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     load = lambda path: json.loads(readers.read_text(spark, path))
     if a.command == "prepare":
         fields = {f: getattr(a, f) for f in prepare.FALLBACKS if getattr(a, f)}
-        readers.write_jsonl(prepare.import_records(readers.read_records(spark, a.source), fields, a.all_platform, a.all_kind), a.target)
+        rows = readers.numbered(readers.read_records(spark, a.source)) if readers.is_scan(a.source) else readers.read_records(spark, a.source)
+        options = {"fields": fields, "platform": a.all_platform, "kind": a.all_kind, "row": "row" if readers.is_scan(a.source) else None}
+        if a.rejected:
+            found = prepare.sort_out(rows, readers.scratch(spark, "imported"), **options)
+            readers.write_jsonl(found.kept, a.target)
+            readers.write_jsonl(found.rejected, a.rejected)
+            print(json.dumps(found.counts))
+        else:
+            readers.write_jsonl(prepare.import_records(rows, **options), a.target)
     elif a.command == "augment":
         readers.write_jsonl(augment.variants(readers.read_records(spark, a.source), seed=a.seed), a.target)
     elif a.command == "train":
-        records = prepare.normalize_rows(readers.read_jsonl(spark, a.source))
+        records = prepare.normalize_rows(readers.numbered(readers.read_jsonl(spark, a.source)), row="row").drop("row")
         weights, report = train.train_all(records, seed=a.seed, target_fpr=a.target_fpr, min_total=a.min_total, test_size=a.test_size, calibration_size=a.calibration_size, group=a.group, balanced=not a.unbalanced)
         cuts = {"models": {k: m["thresholds"] for k, m in weights["models"].items()}}
         for name, value in (("weights", weights), ("thresholds", cuts), ("report", report)):

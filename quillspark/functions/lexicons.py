@@ -35,6 +35,7 @@ RHETORICAL = [
     "let that sink in", "read that again", "the lesson", "the reality is", "make no mistake", "it's not about",
     "this isn't about", "the question is",
 ]
+FAMILIES = {"buzz": BUZZ, "hedge": HEDGE, "transition": TRANSITION, "template": TEMPLATE, "rhetorical": RHETORICAL}
 FEATURE_ORDER = [
     "aiHedgePresent", "buzzPer100w", "templatePer100w", "discoursePer100w", "bigramRepeatRatio",
     "trigramRepeatRatio", "sentenceStarterRepeatRatio", "charTrigramRepeatRatio", "typeTokenRatio", "mattr25",

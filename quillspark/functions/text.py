@@ -46,6 +46,12 @@ def normalize(text: pd.Series) -> pd.Series:
     return text.map(normalize_value, na_action=None) if len(text) else text
 
 
+def normal(text: Column) -> Column:
+    """``normalize`` of text without nulls; what is ASCII needs no tables of characters and stays in the JVM."""
+    other = F.rlike(text, F.lit("[^\\x00-\\x7f]"))
+    return F.coalesce(F.when(~other, strip(F.replace(text, F.lit("\r"), F.lit("")))), normalize(F.when(other, text)))
+
+
 def apostrophes(text: Column) -> Column:
     return F.translate(text, "‘’", "''")
 

@@ -18,27 +18,44 @@ def units(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.uint64)
 
 
+def _counts(u: np.ndarray, at: np.ndarray, dimension: int) -> np.ndarray:
+    """Signed counts of hashed 3- to 5-grams of the units between the offsets ``at`` (texts x dimension)."""
+    n = len(at) - 1
+    owner, out = np.repeat(np.arange(n), np.diff(at)), np.zeros(n * dimension)
+    h = np.full(len(u), 2166136261, dtype=np.uint32)
+    for size in range(1, 6):  # a hash of k units is that of its first k - 1, carried on
+        if len(u) < size:
+            break
+        h = (h[: len(u) - size + 1] ^ u[size - 1 :]) * np.uint32(16777619)
+        if size >= 3:
+            whole = owner[: len(h)] == owner[size - 1 :]
+            g = h[whole]
+            sign = np.where(g & np.uint32(0x40000000), -1.0, 1.0)
+            out += np.bincount(owner[: len(h)][whole] * dimension + g % np.uint32(dimension), sign, n * dimension)
+    return out.reshape(n, dimension)
+
+
+def profiles(u: np.ndarray, at: np.ndarray, dimension: int = DIMENSION) -> np.ndarray:
+    """Profiles of length 1 of texts given by their units (lower case, digits as 0, collapsed space)."""
+    v = _counts(u, at, dimension)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, norm, out=v, where=norm > 0)
+
+
+def _units_of(text: str) -> np.ndarray:
+    text = text.replace("‘", "'").replace("’", "'").lower()
+    return units(_SPACES.sub(" ", _DIGITS.sub("0", text)).strip()).astype(np.uint32)
+
+
 def profile_counts(text: str, dimension: int = DIMENSION) -> np.ndarray:
     """Signed counts of hashed 3- to 5-grams of lower-case text with digits as 0 and collapsed space."""
-    text = text.replace("‘", "'").replace("’", "'").lower()
-    u = units(_SPACES.sub(" ", _DIGITS.sub("0", text)).strip())
-    out = np.zeros(dimension)
-    for size in range(3, 6):
-        n = len(u) - size + 1
-        if n <= 0:
-            break
-        h = np.full(n, 2166136261, dtype=np.uint64)
-        for j in range(size):
-            h = ((h ^ u[j : j + n]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
-        sign = np.where(h & np.uint64(0x40000000), -1.0, 1.0)
-        out += np.bincount((h % np.uint64(dimension)).astype(np.int64), sign, dimension)
-    return out
+    u = _units_of(text)
+    return _counts(u, np.array([0, len(u)]), dimension)[0]
 
 
 def profile(text: str, dimension: int = DIMENSION) -> np.ndarray:
-    v = profile_counts(text, dimension)
-    norm = np.sqrt((v * v).sum())
-    return v / norm if norm else v
+    u = _units_of(text)
+    return profiles(u, np.array([0, len(u)]), dimension)[0]
 
 
 def trigrams(text: str) -> tuple[int, int]:

@@ -1,16 +1,20 @@
 """Evaluation statistics of scores against targets, overall and by slice.
 
-Everything is a grouped aggregate. Ranks for ROC and average precision, medians and cutoffs come from counts
-per distinct score, combined before the shuffle and accumulated in two levels (ranges of scores, then scores
-within a range), so ties are exact and no task orders all scores of a group.
+Everything is a grouped aggregate. Ranks for ROC and average precision and medians come from counts per distinct
+score, combined before the shuffle and accumulated in two levels: ranges of scores that hold equally many, found by
+Spark's range partitioning, then scores within a range. So ties are exact, and no task orders all scores of a
+group, however close to each other they lie.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.sources.readers import written
+
 DIMENSIONS = ("platform", "kind", "authorship", "generator", "attack", "language")
 #: Edges of ten equal bins as the usual division of [0, 1] gives them in doubles.
 EDGES = [i * 0.1 for i in range(10)] + [1.0]
@@ -20,10 +24,11 @@ def length_bucket(words: Column) -> Column:
     return F.when(words < 20, "0-19").when(words < 50, "20-49").when(words < 120, "50-119").otherwise("120+")
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """dimension, value, n for authorship, platform and kind."""
+def counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``, dimension, value, n for authorship, platform and kind."""
+    by = by or []
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in ("authorship", "platform", "kind"))))
-    return df.select(cells.alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*by, cells.alias("x")).groupBy(*by, "x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _bin(score: Column) -> Column:
@@ -33,15 +38,18 @@ def _bin(score: Column) -> Column:
     return out
 
 
-#: Ranges of scores in [0, 1] that are counted before scores are.
+#: Ranges in which cutoffs are looked for at each step.
 RANGES = 1024
 
 
 def _running(ties: DataFrame, keys: list[str], counts: list[str], down: bool = False) -> DataFrame:
-    """``ties`` (keys, s, counts; one row for each score) with ``{count}_upto``: the sum of all scores from the first up to this one."""
-    ties = ties.withColumn("range", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * RANGES))
+    """``ties`` (keys, s, counts; one row for each score) with ``{count}_upto``: the sum of all scores from the first up to this one.
+
+    Ranges are the parts of a range partitioning, which samples its bounds; they are written, so that both levels see the same.
+    """
     way = lambda c: F.desc(c) if down else F.asc(c)
-    before = Window.partitionBy(*keys).orderBy(way("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ties = written(ties.repartitionByRange(*(F.asc(k) for k in keys), way("s")).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ties.groupBy(*keys, "range").agg(*(F.sum(c).alias(c) for c in counts))
     sums = sums.select(*keys, "range", *(F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")).alias(f"{c}_before") for c in counts))
     within = Window.partitionBy(*keys, "range").orderBy(way("s"))
@@ -88,17 +96,18 @@ def binary_metrics(df: DataFrame, by: list[str], threshold: float | Column, scor
     return out.drop("__all")
 
 
-def sliced(df: DataFrame, words: str = "words") -> DataFrame:
-    """Each row once for each slice dimension: dimension, value, and the row's score and target."""
+def sliced(df: DataFrame, words: str = "words", by: list[str] | None = None) -> DataFrame:
+    """Each row once for each slice dimension: ``by``, dimension, value, and the row's score and target."""
     value = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")) if c in df.columns else F.lit("unknown")
     cells = [F.struct(F.lit(c).alias("dimension"), value(c).alias("value")) for c in DIMENSIONS]
     cells.append(F.struct(F.lit("length").alias("dimension"), length_bucket(F.col(words)).alias("value")))
-    return df.select(F.explode(F.array(*cells)).alias("x"), "score", "target").select("x.dimension", "x.value", "score", "target")
+    by = by or []
+    return df.select(*by, F.explode(F.array(*cells)).alias("x"), "score", "target").select(*by, "x.dimension", "x.value", "score", "target")
 
 
-def slice_report(df: DataFrame, threshold: float, words: str = "words") -> DataFrame:
-    """dimension, value, binary metrics (null without binary rows) and those of mixed rows (null without any)."""
-    each, keys = sliced(df, words), ["dimension", "value"]
+def slice_report(df: DataFrame, threshold: float | Column, words: str = "words", by: list[str] | None = None) -> DataFrame:
+    """``by``, dimension, value, binary metrics (null without binary rows) and those of mixed rows (null without any)."""
+    each, keys = sliced(df, words, by), [*(by or []), "dimension", "value"]
     both = each.where("target = 2")
     mixed = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("mixed_n"), F.avg("score").alias("mixed_mean_signal"), F.avg((F.col("score") >= threshold).cast("double")).alias("mixed_share_at_or_above_strong"))
     mixed = mixed.join(medians(both, keys).withColumnRenamed("median", "mixed_median_signal"), keys, "left")
@@ -106,32 +115,45 @@ def slice_report(df: DataFrame, threshold: float, words: str = "words") -> DataF
 
 
 def human_threshold(df: DataFrame, target_fpr: float = 0.01, score: str = "score", target: str = "target") -> dict:
-    """The cutoff just above the human scores' quantile: what a human-written text passes at most ``target_fpr`` of the time.
+    """The cutoff of one group of rows; see ``human_thresholds``."""
+    found = human_thresholds(df.withColumn("__all", F.lit("all")), "__all", target_fpr, score, target)
+    if not found:
+        raise ValueError("calibration needs texts written by humans")
+    return found["all"]
 
-    The quantile is found by counting scores in ranges, then in ranges of the range that holds it, and so on: counts of
-    at most RANGES ranges come to the driver, and no task orders scores.
+
+def human_thresholds(df: DataFrame, by: str, target_fpr: float = 0.01, score: str = "score", target: str = "target") -> dict[str, dict]:
+    """For each value of ``by``, the cutoff just above the human scores' quantile: what a human-written text passes at most ``target_fpr`` of the time.
+
+    The quantiles are found by counting scores in ranges, then in ranges of the range that holds it, and so on, for all groups
+    at once: counts of at most RANGES ranges of each group come to the driver, and no task orders scores.
     """
     if not 0 < target_fpr < 1:
         raise ValueError("the false positive rate must lie between 0 and 1")
-    human = df.where(F.col(target) == 0).select(F.col(score).cast("double").alias("s"))
-    n, lo, hi = human.agg(F.count(F.lit(1)), F.min("s"), F.max("s")).first()
-    if not n:
-        raise ValueError("calibration needs texts written by humans")
-    left = max(0, min(n - 1, -int(-(1.0 - target_fpr) * n // 1) - 1))
-    while lo < hi:
-        inside = human.where(F.col("s").between(lo, hi))
-        ranges = inside.groupBy(F.floor((F.col("s") - lo) / (hi - lo) * (RANGES - 1)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect()
-        for r in sorted(ranges, key=lambda r: r.r):
-            if left < r.n:
-                lo, hi = r.lo, r.hi
-                break
-            left -= r.n
-    at = lo
-    import numpy as np
-
-    strong = float(np.nextafter(at, np.inf))
-    above = human.where(F.col("s") >= strong).count()
+    human = df.where(F.col(target) == 0).select(F.col(by).cast("string").alias("k"), F.col(score).cast("double").alias("s"))
+    sizes = {r.k: r for r in human.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect()}
+    left = {k: max(0, min(r.n - 1, -int(-(1.0 - target_fpr) * r.n // 1) - 1)) for k, r in sizes.items()}
+    bounds = {k: (r.lo, r.hi) for k, r in sizes.items()}
+    of = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col("k"))
+    while wide := {k: b for k, b in bounds.items() if b[0] < b[1]}:
+        lo, hi = of({k: b[0] for k, b in wide.items()}), of({k: b[1] for k, b in wide.items()})
+        inside = human.where(F.col("k").isin(list(wide))).withColumns({"lo": lo, "hi": hi}).where(F.col("s").between(F.col("lo"), F.col("hi")))
+        ranges = inside.groupBy("k", F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (RANGES - 1)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+        found = set()
+        for r in sorted(ranges.collect(), key=lambda r: r.r):
+            if r.k not in found and left[r.k] < r.n:
+                bounds[r.k] = (r.lo, r.hi)
+                found.add(r.k)
+            elif r.k not in found:
+                left[r.k] -= r.n
+    if not sizes:
+        return {}
+    strong = {k: float(np.nextafter(b[0], np.inf)) for k, b in bounds.items()}
+    above = {r.k: r.n for r in human.where(F.col("s") >= of(strong)).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {
-        "strong": strong, "moderate": max(0.2, min(0.5, strong - 0.12)), "target_fpr": float(target_fpr), "calibration_human_n": n,
-        "empirical_calibration_fpr": above / n, "minimum_resolvable_fpr": 1.0 / (n + 1), "method": "held-out-human-quantile",
+        k: {
+            "strong": s, "moderate": max(0.2, min(0.5, s - 0.12)), "target_fpr": float(target_fpr), "calibration_human_n": sizes[k].n,
+            "empirical_calibration_fpr": above.get(k, 0) / sizes[k].n, "minimum_resolvable_fpr": 1.0 / (sizes[k].n + 1), "method": "held-out-human-quantile",
+        }
+        for k, s in strong.items()
     }

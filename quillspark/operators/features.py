@@ -24,7 +24,7 @@ _CUES = "struct<matched: struct<" + ", ".join(f"{k}: array<string>" for k in ("b
 
 def normalized(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with raw, cleaned and tokens."""
-    df = df.withColumn(RAW, tx.normalize(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    df = df.withColumn(RAW, tx.normal(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     df = df.withColumn("cleaned", tx.collapse(F.col(RAW)))
     return df.withColumn("tokens", tx.tokenize(F.col("cleaned")))
 
@@ -36,9 +36,12 @@ def _arrow(schema: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(schema))
 
 
-def _columns(rows: list[tuple], names: list[str]) -> pa.StructArray:
-    table = np.array(rows, dtype=np.float64).reshape(len(rows), len(names))
-    return pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(names))], names=list(names))
+def _columns(table: np.ndarray, names: list[str]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(names))], names=list(names))
+
+
+def _lists(table: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1], pa.array(table.ravel()))
 
 
 def measured(text: Column, reply: Column, vectors: bool = True, texts: bool = False, cues: bool = False, parts: bool = False, part_vectors: bool = False) -> Column:
@@ -50,27 +53,44 @@ def measured(text: Column, reply: Column, vectors: bool = True, texts: bool = Fa
     if parts:
         fields |= {"parts": "array<struct<features: array<double>, char_ngrams: array<double>, words: int, excerpt: string>>"}
     schema = "struct<" + ", ".join(f"{k}: {t}" for k, t in fields.items()) + ">"
-    kinds = {k: _arrow(fields[k]) for k in ("cue_measures", "parts") if k in fields}
-
-    def part(text: str, reply: bool) -> dict:
-        m = ms.Measured(ms.normalized(text), reply)
-        return {"features": m.features, "char_ngrams": m.profile() if part_vectors else None, "words": m.words, "excerpt": ms.excerpt(text)}
+    arrow = {k: _arrow(t) for k, t in fields.items()}
+    with_texts = texts
+
+    def segments(raws: list[str], given: list[str], replies: list[bool]) -> list[list[dict]]:
+        """The segments of texts that are long enough, with their features; all of a block's segments are measured together."""
+        cut = [ms.segments_of(r) if ms.has_tokens(t, ms.FROM_TOKENS) else [] for r, t in zip(raws, given, strict=True)]
+        cut = [c if len(c) >= 2 else [] for c in cut]
+        flat = [(s, r) for c, r in zip(cut, replies, strict=True) for s in c]
+        rows = []
+        for i, j in ms.blocks([s for s, _ in flat]):
+            m = ms.Batch([ms.normalized(s) for s, _ in flat[i:j]], [r for _, r in flat[i:j]])
+            chars = m.profiles().tolist() if part_vectors else [None] * m.n
+            rows.extend({"features": f, "char_ngrams": c, "words": int(w), "excerpt": ms.excerpt(s)} for f, c, w, (s, _) in zip(m.features.tolist(), chars, m.word_count.tolist(), flat[i:j], strict=True))
+        each = iter(rows)
+        return [[next(each) for _ in c] for c in cut]
 
     @F.arrow_udf(schema)
     def of(text: pa.Array, reply: pa.Array) -> pa.Array:
-        given = [(t or "", bool(r)) for t, r in zip(text.to_pylist(), reply.to_pylist(), strict=True)]
-        each = [ms.Measured(ms.normalized(t), r) for t, r in given]
-        out = {"features": _columns([m.features for m in each], lx.FEATURE_ORDER), "metrics": _columns([m.metrics for m in each], ms.METRICS), "has_letters": pa.array([m.has_letters for m in each], pa.bool_())}
-        if vectors:
-            out["char_ngrams"] = pa.array([m.profile() for m in each], pa.list_(pa.float64()))
-        if texts:
-            out |= {"raw": pa.array([m.raw for m in each], pa.string()), "cleaned": pa.array([m.cleaned for m in each], pa.string()), "tokens": pa.array([m.tokens for m in each], pa.list_(pa.string()))}
-        if cues:
-            out["cue_measures"] = pa.array([m.cues() for m in each], kinds["cue_measures"])
-        if parts:
-            cut = [ms.segments_of(m.raw) if ms.count_tokens(t) >= ms.FROM_TOKENS else [] for m, (t, _) in zip(each, given, strict=True)]
-            out["parts"] = pa.array([[part(s, r) for s in ss] if len(ss) >= 2 else [] for ss, (_, r) in zip(cut, given, strict=True)], kinds["parts"])
-        return pa.StructArray.from_arrays(list(out.values()), names=list(out))
+        texts, replies = [t or "" for t in text.to_pylist()], [bool(r) for r in reply.to_pylist()]
+        out: dict[str, list] = {k: [] for k in fields}
+        for i, j in ms.blocks(texts):
+            m = ms.Batch([ms.normalized(t) for t in texts[i:j]], replies[i:j])
+            out["features"].append(_columns(m.features, lx.FEATURE_ORDER))
+            out["metrics"].append(_columns(m.metrics, ms.METRICS))
+            out["has_letters"].append(pa.array(m.has_letters))
+            if vectors:
+                out["char_ngrams"].append(_lists(m.profiles()))
+            if with_texts:
+                out["raw"].append(pa.array(m.raws, pa.string()))
+                out["cleaned"].append(pa.array(m.cleaned, pa.string()))
+                out["tokens"].append(pa.array(m.tokens(), pa.list_(pa.string())))
+            if cues:
+                out["cue_measures"].append(pa.array(m.cues(), arrow["cue_measures"]))
+            if parts:
+                out["parts"].append(pa.array(segments(m.raws, texts[i:j], replies[i:j]), arrow["parts"]))
+        if not texts:
+            return pa.array([], pa.struct([(k, arrow[k]) for k in fields]))
+        return pa.StructArray.from_arrays([pa.concat_arrays(c) for c in out.values()], names=list(out))
 
     return of(text, reply)
 

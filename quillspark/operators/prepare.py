@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: field -> columns to look in after the one asked for, and what stands for none
@@ -73,25 +73,65 @@ def authorship_of(value: Column) -> Column:
     return F.when(code == 0, "human").when(code == 1, "ai").when(code == 2, "mixed")
 
 
-def import_records(df: DataFrame, fields: dict[str, str] | None = None, platform: str | None = None, kind: str | None = None, row: str | None = None, strict: bool = True) -> DataFrame:
-    """Rows with a text and a label in the training schema.
-
-    ``fields`` names columns other than the usual ones; ``platform`` and ``kind`` hold for every row.
-    ``row`` is a column that numbers the source's rows; without it rows are numbered in partition order.
-    A label of unknown spelling raises, or leaves the row out where ``strict`` is false.
-    """
+def _imported(df: DataFrame, fields: dict[str, str] | None, platform: str | None, kind: str | None, row: str | None) -> DataFrame:
+    """The training schema of every row of ``df``, ``label`` as it was, and ``reason``: why the row is none, or null."""
     fields = fields or {}
     pick = lambda f: first_present(df, fields.get(f, f), *FALLBACKS[f])
     number = F.col(row) if row else F.monotonically_increasing_id()
     base = df.select(*(pick(f).alias(f) for f in FALLBACKS), number.cast("string").alias("__row"))
-    base = base.where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("label").isNotNull())
     found = authorship_of(F.col("label"))
-    bad = F.raise_error(F.concat(F.lit("no authorship: "), F.col("label"))).cast("string")
-    out = base.select(
-        "text", (F.coalesce(found, bad) if strict else found).alias("authorship"),
+    reason = F.when(F.coalesce("text", F.lit("")) == "", "no text").when(F.col("label").isNull(), "no label").when(found.isNull(), "unknown label")
+    return base.select(
+        "text", found.alias("authorship"),
         (F.lit(platform) if platform else F.col("platform")).alias("platform"), (F.lit(kind) if kind else F.col("kind")).alias("kind"),
-        F.coalesce("source_id", F.concat(F.lit("row-"), "__row")).alias("source_id"), "generator", "language", "attack")
-    return out if strict else out.where("authorship is not null")
+        F.coalesce("source_id", F.concat(F.lit("row-"), "__row")).alias("source_id"), "generator", "language", "attack", "label", reason.alias("reason"))
+
+
+def import_records(df: DataFrame, fields: dict[str, str] | None = None, platform: str | None = None, kind: str | None = None, row: str | None = None, strict: bool = True) -> DataFrame:
+    """Rows with a text and a label in the training schema.
+
+    ``fields`` names columns other than the usual ones; ``platform`` and ``kind`` hold for every row.
+    ``row`` is a column that numbers the source's rows (``readers.numbered`` makes one); without it rows are numbered in
+    partition order. A label of unknown spelling raises, or leaves the row out where ``strict`` is false.
+    """
+    rows = _imported(df, fields, platform, kind, row)
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("no authorship: "), F.col("label"))).cast("string")
+        rows = rows.where(F.col("reason").isNull() | (F.col("reason") == "unknown label")).withColumn("authorship", F.coalesce("authorship", bad))
+    else:
+        rows = rows.where("reason is null")
+    return rows.drop("label", "reason")
+
+
+class Sorted:
+    """What ``sort_out`` gives: ``kept``, ``rejected`` and, once one of them was worked off, ``counts``."""
+
+    def __init__(self, kept: DataFrame, rejected: DataFrame, seen: Observation):
+        self.kept, self.rejected, self._seen = kept, rejected, seen
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """Rows in, kept, and rejected by reason."""
+        return {k: v for k, v in self._seen.get.items()}
+
+
+REASONS = ("no text", "no label", "unknown label")
+
+
+def sort_out(df: DataFrame, path: str, fields: dict[str, str] | None = None, platform: str | None = None, kind: str | None = None, row: str | None = None) -> Sorted:
+    """Import what can be imported and keep the rest apart, each with its reason; every row of ``df`` is in one of the two.
+
+    Rows are read and judged once and written to ``path``, a folder for each of the two; counts are observed on the way.
+    ``rejected`` has the label as it was spelled beside the training schema.
+    """
+    seen = Observation()
+    count = lambda c: F.count(F.when(c, 1))
+    rows = _imported(df, fields, platform, kind, row)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), count(F.col("reason").isNull()).alias("kept"), *(count(F.col("reason") == r).alias(r) for r in REASONS))
+    rows.withColumn("state", F.when(F.col("reason").isNull(), "kept").otherwise("rejected")).write.mode("overwrite").partitionBy("state").parquet(path)
+    table = df.sparkSession.read.schema(rows.schema.add("state", "string")).parquet(path)
+    part = lambda s: table.where(F.col("state") == s).drop("state")
+    return Sorted(part("kept").drop("label", "reason"), part("rejected"), seen)
 
 
 def normalize_rows(df: DataFrame, label: str = "label", row: str | None = None, strict: bool = True) -> DataFrame:

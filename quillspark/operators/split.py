@@ -42,41 +42,82 @@ def _two_cuts(keys: DataFrame, by: list[str], seed: int, test: Column, calibrati
     return first.where("__test").select(*keys.columns, F.lit("test").alias("part")).unionByName(rest.select(*keys.columns, F.when(F.col("__cal"), "calibration").otherwise("train").alias("part")))
 
 
+def _quotas(of: dict[str, int], part: float) -> dict[str, int]:
+    """Whole numbers in proportion that add up to the part, rounded up, of all."""
+    total = math.ceil(part * sum(of.values()))
+    exact = {k: part * n for k, n in of.items()}
+    out = {k: int(v) for k, v in exact.items()}
+    for k in sorted(of, key=lambda k: (out[k] - exact[k], k))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def split_each(df: DataFrame, seed: int = 1337, test_size: float = 0.2, calibration_size: float = 0.2, group: str = "source_id") -> tuple[DataFrame, dict[str, dict]]:
+    """``df`` (one row for each ``model`` that a row trains) with ``part`` and the group as ``__g``, and how each model's rows were split.
+
+    Each model's rows are split as ``split`` would, by themselves; all models are ranked by the same jobs.
+    """
+    check(test_size, calibration_size)
+    share = calibration_size / (1 - test_size)
+    g = F.coalesce(F.col(group).cast("string"), F.lit("")) if group and group in df.columns else F.lit("")
+    content = F.xxhash64(*[F.col(c).cast("string") for c in ("text", group, "kind", "target", "attack") if c in df.columns])
+    rows = df.withColumns({"__row": content, "__g": g, "__s": F.concat_ws(":", F.col("target").cast("string"), "kind")}).drop("text")
+    facts = {r.model: r for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__g").alias("groups"), F.sum((F.col("__g") == "").cast("int")).alias("empty")).collect()}
+    grouped = {k for k, r in facts.items() if group and r.groups >= 6 and r.groups < r.n and not r.empty}
+    about = {k: {"method": "group-shuffle", "group_field": group} if k in grouped else {"method": "stratified-random", "group_field": None} for k in facts}
+    test, calibration = {}, {}  # how many to take, by model (and stratum)
+    for k in grouped:
+        test[k] = math.ceil(test_size * facts[k].groups)
+        calibration[k] = math.ceil(share * (facts[k].groups - test[k]))
+    strata: dict[str, dict[str, int]] = {}
+    for r in rows.where(~F.col("model").isin(list(grouped))).groupBy("model", "__s").agg(F.count(F.lit(1)).alias("n")).collect():
+        strata.setdefault(r.model, {})[r["__s"]] = r.n
+    alike = {k for k, of in strata.items() if min(of.values()) < 2}  # a stratum of one row cannot be divided
+    for k, of in strata.items():
+        of = {"all": sum(of.values())} if k in alike else of
+        first = _quotas(of, test_size)
+        second = _quotas({s: n - first[s] for s, n in of.items()}, share)
+        test |= {f"{k}\n{s}": n for s, n in first.items()}
+        calibration |= {f"{k}\n{s}": n for s, n in second.items()}
+    table = lambda q, key: F.element_at(F.create_map(*(F.lit(x) for kv in (q or {"": 0}).items() for x in kv)), key)
+    whole = F.col("model").isin(list(grouped))
+    keys = rows.where(whole).select("model", F.col("__g").alias("__key")).distinct()
+    dealt = _two_cuts(keys, ["model"], seed, table(test, F.col("model")), table(calibration, F.col("model")))
+    by_group = rows.where(whole).withColumn("__key", F.col("__g")).join(dealt, ["model", "__key"])
+    single = rows.where(~whole).withColumns({"__s": F.when(F.col("model").isin(list(alike)), "all").otherwise(F.col("__s")), "__key": F.col("__row")})
+    cell = F.concat(F.col("model"), F.lit("\n"), F.col("__s"))
+    by_row = _two_cuts(single, ["model", "__s"], seed, table(test, cell), table(calibration, cell))
+    out = by_group.unionByName(by_row) if grouped and strata else by_group if grouped else by_row
+    return out.drop("__key", "__row", "__s"), about
+
+
+def audit_each(parts: DataFrame, about: dict[str, dict]) -> dict[str, dict]:
+    """Sizes of each model's parts and, for groups, how many groups two parts share."""
+    out = {k: a | {f"n_{p}": 0 for p in PARTS} for k, a in about.items()}
+    for r in parts.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r.model][f"n_{r.part}"] = r.n
+    pairs = (("train", "calibration"), ("train", "test"), ("calibration", "test"))
+    held = parts.groupBy("model", "__g").agg(F.collect_set("part").alias("p"))
+    both = lambda a, b: F.count(F.when(F.array_contains("p", a) & F.array_contains("p", b), 1)).alias(f"{a}_{b}")
+    for r in held.groupBy("model").agg(*(both(*x) for x in pairs)).collect():
+        if out[r.model]["group_field"]:
+            out[r.model]["group_overlap"] = {f"{a}_{b}": r[f"{a}_{b}"] for a, b in pairs}
+    return out
+
+
 def split(df: DataFrame, seed: int = 1337, test_size: float = 0.2, calibration_size: float = 0.2, group: str = "source_id") -> tuple[DataFrame, dict]:
     """``df`` with ``part``, and how it was split.
 
     Whole groups are dealt where there are at least six, some hold several rows and none is empty;
     otherwise rows are dealt by strata of target and kind, or at random where a stratum has one row.
     """
-    check(test_size, calibration_size)
-    share = calibration_size / (1 - test_size)
-    df = df.withColumn("__row", F.xxhash64(*[F.col(c).cast("string") for c in ("text", group, "kind", "target", "attack") if c in df.columns]))
-    g = F.coalesce(F.col(group).cast("string"), F.lit("")) if group and group in df.columns else F.lit("")
-    rows, groups, empty = df.agg(F.count(F.lit(1)), F.count_distinct(g), F.sum((g == "").cast("int"))).first()
-    if group and groups >= 6 and groups < rows and not empty:
-        n_test = math.ceil(test_size * groups)
-        n_cal = math.ceil(share * (groups - n_test))
-        keys = df.select(g.alias("__key")).distinct().withColumn("__all", F.lit(1))
-        dealt = _two_cuts(keys, ["__all"], seed, F.lit(n_test), F.lit(n_cal)).select("__key", "part")
-        return df.withColumn("__key", g).join(dealt, "__key").drop("__key", "__row"), {"method": "group-shuffle", "group_field": group}
-    strata = {r["s"]: r["n"] for r in df.groupBy(F.concat_ws(":", F.col("target").cast("string"), "kind").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    stratified = bool(strata) and min(strata.values()) >= 2
-    keyed = df.withColumns({"__s": F.concat_ws(":", F.col("target").cast("string"), "kind") if stratified else F.lit("all"), "__key": F.col("__row")})
-    sizes = strata if stratified else {"all": rows}
-
-    def quotas(of: dict[str, int], part: float) -> dict[str, int]:
-        """Whole numbers in proportion that add up to the part, rounded up, of all."""
-        total = math.ceil(part * sum(of.values()))
-        exact = {k: part * n for k, n in of.items()}
-        out = {k: int(v) for k, v in exact.items()}
-        for k in sorted(of, key=lambda k: (out[k] - exact[k], k))[: total - sum(out.values())]:
-            out[k] += 1
-        return out
-
-    test = quotas(sizes, test_size)
-    cal = quotas({k: n - test[k] for k, n in sizes.items()}, share)
-    table = lambda q: F.element_at(F.create_map(*(F.lit(x) for kv in (q or {"": 0}).items() for x in kv)), F.col("__s"))
-    return _two_cuts(keyed, ["__s"], seed, table(test), table(cal)).drop("__key", "__row", "__s"), {"method": "stratified-random", "group_field": None}
+    names = [c for c in df.columns if c != "text"]
+    rows = df.withColumns({"model": F.lit("all"), "__text": F.col("text") if "text" in df.columns else F.lit(None).cast("string")})
+    parts, about = split_each(rows, seed, test_size, calibration_size, group)
+    kept = [F.col(c) for c in names]
+    kept += [F.col("__text").alias("text")] if "text" in df.columns else []
+    nothing = {"method": "stratified-random", "group_field": None}
+    return parts.select(*kept, "part").select(*df.columns, "part"), about.get("all", nothing)
 
 
 def audit(df: DataFrame, about: dict, group: str = "source_id") -> dict:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import lexicons as lx
 from quillspark.functions import text as tx
+from quillspark.functions.phrases import phrase_counts
 from quillspark.operators import augment, cues, evaluate, features, prepare, split
 from quillspark.plans import flows, streams, style
 from quillspark.sources import html
@@ -56,7 +57,8 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """Phrase counts by family, over documents and, so that there are some, the phrases themselves."""
     own = spark.createDataFrame([(-1 - i, f"{p}. Re{p} {p} {p}, a{p}") for i, p in enumerate(lx.BUZZ + lx.HEDGE + lx.TRANSITION + lx.TEMPLATE)], "doc_id long, text string")
     rows = features.normalized(read_table(spark, f"{d}/documents.parquet").select("doc_id", "text").unionByName(own)).withColumn("low", tx.phrase_text(F.col("cleaned")))
-    return rows.select("doc_id", *(_long(tx.phrase_hits(F.col("low"), getattr(lx, k.upper()))).alias(k) for k in ("buzz", "hedge", "transition", "template")))
+    counts = rows.select("doc_id", phrase_counts(F.col("low")).alias("n"))
+    return counts.select("doc_id", *(F.get("n", F.lit(i)).alias(k) for i, k in enumerate(lx.FAMILIES) if k != "rhetorical"))
 
 
 def punctuation(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None, strict: bool = True) -> DataFrame:
@@ -35,11 +36,54 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def is_scan(path: str) -> bool:
+    """Whether ``read_records`` gives a plain scan, as ``numbered`` needs it; an array in one JSON document is none."""
+    return not path.rstrip("/").lower().endswith(".json")
+
+
+#: Setting of a session: how many parts tables are dealt to. For tables of a few files on many cores; at scale files are splits enough.
+DEAL = "spark.quillspark.deal"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, dealt to all cores where its files make fewer tasks than there are cores (a few small files; never at scale)."""
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A Parquet table, dealt to as many parts as the session asks for (``DEAL``), or as its files are."""
+    df, parts = spark.read.parquet(path), spark.conf.get(DEAL, None)
+    return df.repartition(int(parts)) if parts else df
+
+
+#: Up to so many file splits their offsets go to all tasks; more are joined by an exchange.
+FEW_SPLITS = 100_000
+#: Columns that ``numbered`` uses on its way.
+_FILE, _BLOCK, _PLACE = "__file", "__block", "__place"
+
+
+def numbered(rows: DataFrame, name: str = "row") -> DataFrame:
+    """Records as read from files, with ``name``: their place from 0 among all records, by path and place in the file.
+
+    ``rows`` is a plain scan, as the readers here return it. In a first pass each file split counts its records; prefix sums
+    over the splits, in two levels (splits of a file, files), give each split its offset; in the second pass a record's
+    number is that offset and its place within the split. Numbers are values, so no later repartitioning
+    changes them, and reruns give the same ones however files are split. The records themselves are not shuffled.
+    """
+    scan = rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_PLACE))
+    splits = scan.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("n"), F.min(_PLACE).alias("first"))
+    splits = written(splits, "splits")
+    files = splits.groupBy(_FILE).agg(F.sum("n").alias("n"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0).cast("long"))
+    files = files.select(_FILE, total(before(_FILE)).alias("of_file"))  # one row for each file
+    offsets = splits.select(_FILE, _BLOCK, "first", total(before(_FILE, _BLOCK)).alias("of_split")).join(files, _FILE)
+    offsets = offsets.select(_FILE, _BLOCK, (F.col("of_file") + F.col("of_split") - F.col("first")).alias("shift"))
+    if splits.count() <= FEW_SPLITS:
+        offsets = F.broadcast(offsets)
+    return scan.join(offsets, [_FILE, _BLOCK]).select(*(F.col(f"`{c}`") for c in rows.columns), (F.col(_PLACE) + F.col("shift")).alias(name))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -147,3 +147,97 @@ def test_fit_matches_newton(spark):
         h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1, 1, 1, 0])
         beta -= np.linalg.solve(h, g)
     assert np.allclose([*w, b], beta, atol=1e-5)
+
+
+def test_fit_many_equals_single_fits(spark):
+    """All models in one go, against Newton's method for each on its own rows."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        x = rng.normal(size=5)
+        own = [m for m, keep in (("a", i % 2), ("b", i % 3 == 0), ("all", True)) if keep]
+        rows.append((x.tolist(), int(x[0] + rng.normal() > 0.3 * (i % 2)), own))
+    df = spark.createDataFrame(rows, "inputs array<double>, target int, models array<string>").repartition(5)
+    for balanced in (True, False):
+        got = train.fit_many(df, balanced)
+        assert set(got) == {"a", "b", "all"}
+        for name, (w, b) in got.items():
+            x, y = (np.array([r[k] for r in rows if name in r[2]]) for k in (0, 1))
+            n, z, beta = len(y), np.c_[x, np.ones(len(y))], np.zeros(6)
+            weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum()))) if balanced else np.ones(n)
+            for _ in range(40):
+                p = 1 / (1 + np.exp(-z @ beta))
+                g = z.T @ (weight * (p - y)) + np.r_[beta[:5], 0]
+                beta -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1, 1, 1, 1, 1, 0]), g)
+            assert np.allclose([*w, b], beta, atol=1e-9)
+    with pytest.raises(ValueError, match="one class"):
+        train.fit_many(df.where("target = 1"))
+    assert train.fit_many(df.limit(0)) == {}
+
+
+def test_models_are_trained_as_each_by_itself(spark):
+    """One run over two platforms gives what a run over each gives."""
+    rng = np.random.default_rng(5)
+    words = "gate hinge after work squeaks leverage robust moreover unlock scalable we they was has just".split()
+    rows = [(" ".join(rng.choice(words, 12)) + ("!" if i % 2 else "."), ["human", "ai"][int(rng.random() < 0.3 + 0.4 * (i % 2))], ["x", "reddit"][i % 3 == 0], "post", f"s{i // 2}") for i in range(240)]
+    df = prepare.normalize_rows(spark.createDataFrame(rows, "text string, authorship string, platform string, kind string, source_id string"))
+    both, report = train.train_all(df, min_total=60, target_fpr=0.2)
+    assert set(both["models"]) == {"x:post", "reddit:post", "default"} and set(report["skipped_models"]) == {"linkedin:post", "linkedin:comment", "reddit:comment", "x:comment"}
+    alone = train.train_one(train.matrix(df.where("platform = 'x'")), min_total=60, target_fpr=0.2)
+    model, other = both["models"]["x:post"], alone["model"]
+    assert np.allclose(model["charNgramWeights"], other["charNgramWeights"], atol=1e-8) and model["thresholds"]["strong"] == pytest.approx(other["thresholds"]["strong"], abs=1e-8)
+    assert report["models"]["x:post"]["split"] == alone["report"]["split"] and report["models"]["x:post"]["split"]["group_overlap"] == {"train_calibration": 0, "train_test": 0, "calibration_test": 0}
+    assert [{k: v for k, v in r.items() if k in ("dimension", "value", "n")} for r in report["models"]["x:post"]["slices"]] == [{k: v for k, v in r.items() if k in ("dimension", "value", "n")} for r in alone["report"]["slices"]]
+
+
+def test_strata_split_each_model(spark):
+    rows = [(f"t{i}", i % 2, "post", f"s{i}", m) for i in range(100) for m in (("a", "b") if i % 4 else ("a",))]
+    df = spark.createDataFrame(rows, "text string, target int, kind string, source_id string, model string")
+    parts, about = split.split_each(df)
+    got = {(r.model, r.part, r.target): r["count"] for r in parts.groupBy("model", "part", "target").count().collect()}
+    assert {k: a["method"] for k, a in about.items()} == {"a": "stratified-random", "b": "stratified-random"}
+    assert [got["a", "test", t] for t in (0, 1)] == [10, 10] and [got["b", "test", t] for t in (0, 1)] == [5, 10]
+    seen = split.audit_each(parts, about)
+    assert seen["a"]["n_train"] + seen["a"]["n_calibration"] + seen["a"]["n_test"] == 100 and "group_overlap" not in seen["b"]
+
+
+def test_rows_are_numbered_by_place(spark, tmp_path):
+    """Files by path, records by place, blank lines not counted; whatever the splits and partitions."""
+    from quillspark.sources import readers
+
+    texts = [f"row {i} " + "x" * (i % 50) for i in range(400)]
+    for f in range(4):
+        (tmp_path / f"{f}.jsonl").write_text("".join(f'{{"text": "{t}", "label": "human"}}\n' + "\n" * (i % 3 == 0) for i, t in enumerate(texts[100 * f : 100 * f + 100])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.numbered(readers.read_jsonl(spark, str(tmp_path / "*.jsonl"))).repartition(6).collect()
+            assert sorted((r.row, r.text) for r in got) == list(enumerate(texts))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "c.csv").write_text("text,label\na,human\n,ai\n\"b\nc\",ai\n")
+    rows = prepare.import_records(readers.numbered(readers.read_records(spark, str(tmp_path / "c.csv"))), row="row")
+    assert sorted((r.source_id, r.text) for r in rows.collect()) == [("row-0", "a"), ("row-2", "b\nc")]
+
+
+def test_rejected_rows_are_kept_apart(spark, tmp_path):
+    rows = [("a", "Human"), ("", "ai"), (None, "ai"), ("b", None), ("c", "perhaps"), ("d", "fake"), ("d", "fake")]
+    out = prepare.sort_out(spark.createDataFrame(rows, "text string, label string"), str(tmp_path / "out"))
+    assert sorted((r.text, r.authorship) for r in out.kept.collect()) == [("a", "human"), ("d", "ai"), ("d", "ai")]
+    assert sorted((r.text or "", r.label or "", r.reason) for r in out.rejected.collect()) == [("", "ai", "no text"), ("", "ai", "no text"), ("b", "", "no label"), ("c", "perhaps", "unknown label")]
+    assert out.counts == {"rows": 7, "kept": 3, "no text": 2, "no label": 1, "unknown label": 1}
+
+
+def test_close_scores_spread_over_tasks(spark):
+    """Scores within a millionth of each other do not meet in one task, and ranks stay exact."""
+    rng = np.random.default_rng(3)
+    rows = [(0.5 + float(s) * 1e-9, int(y)) for s, y in zip(rng.integers(0, 900, 3000), rng.integers(0, 2, 3000))]
+    df = spark.createDataFrame(rows, "score double, target int")
+    got = evaluate.binary_metrics(df, [], 0.5).first()
+    want = brute(rows, 0.5)
+    assert got.roc_auc == pytest.approx(want["roc_auc"], abs=1e-12) and got.average_precision == pytest.approx(want["average_precision"], abs=1e-9)
+    ties = df.groupBy(F.lit(1).alias("k"), F.col("score").alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    place = ties.repartitionByRange("k", "s").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in place) <= 0.6 * ties.count()
+    assert evaluate.medians(df.withColumn("k", F.lit("a")), ["k"]).first().median == pytest.approx(float(np.median([r[0] for r in rows])), abs=1e-15)
