@@ -70,11 +70,13 @@ class _Log:
                             out.extend(RowGroup(x.path, g, n) for g in range(pq.ParquetFile(f).num_row_groups))
         return out
 
-    def read(self, partition: RowGroup) -> Iterator:
+    def read(self, partition: RowGroup | None) -> Iterator:
         import pyarrow as pa
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # Spark's stand-in where there is nothing to read
+            return
         shape = to_arrow_schema(self.schema)
         store, _ = self.store()
         with store.open_input_file(partition.path) as f:

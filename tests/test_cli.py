@@ -38,10 +38,10 @@ def test_train_and_export(spark, tmp_path, monkeypatch):
 
 def test_training_for_real(spark, tmp_path):
     """Records of a file to three files of a model that was trained, and its rejected rows beside them."""
-    lines = [json.dumps({"text": t.format(i), "label": a, "platform": "x", "source_id": f"{a}-{i}"}) for i in range(40) for t, a in (("I fixed gate {} and it still squeaks, sorry!", "human"), ("Moreover, leverage a robust plan {} to unlock outcomes.", "ai"))]
+    lines = [json.dumps({"text": t.format(i), "label": a, "platform": "x", "source_id": f"{a}-{i}"}) for i in range(60) for t, a in (("I fixed gate {} and it still squeaks, sorry!", "human"), ("Moreover, leverage a robust plan {} to unlock outcomes.", "ai"))]
     (tmp_path / "a.jsonl").write_text("\n".join([*lines, '{"text": "odd", "label": "perhaps"}', '{"label": "ai"}']) + "\n")
     cli.main(["prepare", str(tmp_path / "a.jsonl"), str(tmp_path / "p"), "--rejected", str(tmp_path / "r")], spark)
-    assert sorted((x.reason, x.source_id) for x in spark.read.json(str(tmp_path / "r")).collect()) == [("no text", "row-81"), ("unknown label", "row-80")]
+    assert sorted((x.reason, x.source_id) for x in spark.read.json(str(tmp_path / "r")).collect()) == [("no text", "row-121"), ("unknown label", "row-120")]
     cli.main(["train", str(tmp_path / "p"), str(tmp_path / "out"), "--min-total", "60", "--target-fpr", "0.2"], spark)
     files = {n: json.loads((tmp_path / f"out/{n}.json").read_text()) for n in ("weights", "thresholds", "report")}
     assert set(files["weights"]["models"]) == set(files["thresholds"]["models"]) == {"x:post", "default"}
