@@ -44,6 +44,8 @@ SPACE = "▁"
 N_BEST, LONG, BATCH = 4, 48, 4096
 #: Parts that a worker keeps, and how many where its executor has other stages' memory to hold as well.
 PARTS, FEW_PARTS = 800_000, 250_000
+#: Characters and ids of kept parts: text without spaces has long parts that never come back.
+UNITS = 32_000_000
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Finer, for models without pieces that go on from a letter to one of these marks.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r".,;:!?|\"$%&*#()\n-"
@@ -102,6 +104,7 @@ class Pieces:
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
+        self.letters = 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         # of each part: its n best segmentations' place and length in flat, and scores
         room = 1 << 14
@@ -241,6 +244,7 @@ class Pieces:
             self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len))
             self.scores = np.concatenate([self.scores, np.full_like(self.scores, -np.inf)])
         self.codes.update(zip(parts, range(base, base + len(parts)), strict=True))
+        self.letters += sum(map(len, parts))
         return base
 
     def _put(self, code: np.ndarray, nth: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
@@ -254,7 +258,7 @@ class Pieces:
     def coded(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The codes of each text's parts. New parts of all of them are searched together."""
         parts = [self.parts.findall(self.normalize(t)) for t in texts]
-        if len(self.codes) > self.most:
+        if len(self.codes) > self.most or self.letters + self.used > UNITS:
             self.clear()
         if new := set().union(*parts).difference(self.codes):
             self._learn(sorted(new))

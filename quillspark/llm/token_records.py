@@ -59,18 +59,23 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer; ``most`` pieces are kept at a time."""
+    """Ids of texts by a byte-level BPE tokenizer.
 
-    def __init__(self, path: str, most: int = 1_800_000):
+    At most about ``most`` pieces are kept at a time, and ``units`` characters and ids of them: text without spaces has long
+    pieces that never come back.
+    """
+
+    def __init__(self, path: str, most: int = 1_800_000, units: int = 40_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok, self.most, self.units = Tokenizer.from_file(path), most, units
         self.wide = self.tok.get_vocab_size() > 65536
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
+        self.letters = 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
@@ -85,10 +90,11 @@ class Encoder:
             self.flat[self.used : self.used + len(ids)] = ids
             self.at[code], self.n[code] = self.used, len(ids)
             self.used += len(ids)
+            self.letters += len(p)
             self.codes[p] = code
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
-        if len(self.codes) > self.most:
+        if len(self.codes) > self.most or self.letters + self.used > self.units:
             self.clear()
         try:
             return np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))

@@ -212,3 +212,25 @@ def test_toxicity_on_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 0
+
+
+def test_kept_pieces_are_bounded_by_their_characters(monkeypatch):
+    """Long runs that never come back are let go again, and results stay right."""
+    from quillspark.llm import pieces, token_records
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) + " end" for _ in range(60)]
+    encoder = token_records.Encoder(token_records.tokenizer_path(), units=30_000)
+    most = 0
+    for t in texts:
+        assert encoder(t).tolist() == encoder.tok.encode(t, add_special_tokens=False).ids
+        most = max(most, encoder.letters + encoder.used)
+    assert most <= 30_000 + 2 * 2100
+    monkeypatch.setattr(pieces, "UNITS", 30_000)
+    model, plain = pieces.Pieces(pieces.model_path(), 2), pieces.Pieces(pieces.model_path(), 2)
+    most = 0
+    for t in texts[:12]:
+        plain.clear()
+        assert model.encode(t)[0].tolist() == plain.encode(t)[0].tolist()
+        most = max(most, model.letters + model.used)
+    assert most <= 30_000 + 4 * 2100
