@@ -15,15 +15,17 @@ and element in RocksDB (fingerprints, no texts).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from quillspark.functions import text as tx
+from quillspark.operators.analyze import analyze
 from quillspark.sources import html
 
 COLUMNS = ["page_id", "element_id", "seq", "version", "change", "platform", "kind", "text", "fingerprint"]
@@ -119,6 +121,35 @@ def stateful(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def follow(rows: DataFrame, live: Live, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, bundle: dict | None = None, sensitivity: str = "balanced", every: str = "180 milliseconds", once: bool = False) -> StreamingQuery:
+    """Analyse what ``changes`` says is to be scored, and keep the latest analysis of each element that is there in ``live``.
+
+    ``sink`` gets each micro-batch's changes with their analyses (null for what went). ``live`` is a ``Live`` of the columns
+    of OUT and ``analysis``, as ``analysed`` gives them. ``once`` takes what is there and ends.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        rows = analysed(df.persist(), bundle, sensitivity).persist()
+        try:
+            if sink:
+                sink(rows, number)
+            live.merge(rows, number)
+        finally:
+            rows.unpersist()
+            df.unpersist()
+
+    with stateful(rows.sparkSession):
+        writer = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def analysed(changed: DataFrame, bundle: dict | None = None, sensitivity: str = "balanced") -> DataFrame:
+    """Rows of ``changes`` with ``analysis``, a struct of the whole analysis of what is to be scored."""
+    keyed = changed.withColumn("row", F.concat_ws(":", "page_id", "element_id", "version", "seq"))
+    done = analyze(keyed.where("change = 'scored'"), "row", bundle, sensitivity)
+    return keyed.join(done.select("row", F.struct(*(c for c in done.columns if c != "row")).alias("analysis")), "row", "left").select(*COLUMNS, "analysis")
+
+
 class Live:
     """The elements that are there, with whatever columns their rows bring (such as their latest analysis).
 
@@ -128,7 +159,7 @@ class Live:
 
     KEY = ["page_id", "element_id"]
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str | StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     def _path(self, batch: int) -> str:

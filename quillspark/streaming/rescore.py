@@ -13,23 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
+from quillspark.functions import text as tx
 from quillspark.operators.analyze import analyze
 
 OUT = "element_id string, seq long, platform string, kind string, text string, fingerprint string"
 
 
-def fingerprint(kind: str | None, text: str | None) -> str:
-    """FNV-1a over the UTF-16 units of kind, newline and text, in base 36."""
-    h = 2166136261
-    raw = f"{kind}\n{text}".encode("utf-16-le", "surrogatepass")
-    for i in range(0, len(raw), 2):
-        h = ((h ^ (raw[i] | raw[i + 1] << 8)) * 16777619) & 0xFFFFFFFF
-    out = ""
-    while h:
-        h, d = divmod(h, 36)
-        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
-    return out or "0"
+def _rows(elements: DataFrame) -> DataFrame:
+    """What is kept of elements, with the fingerprint of kind and text; elements without a text are none."""
+    own = elements.select(F.col("element_id").cast("string").alias("element_id"), F.col("seq").cast("long").alias("seq"), "platform", "kind", "text").where("text <> ''")
+    return own.withColumn("fingerprint", tx.fingerprint(F.coalesce("kind", F.lit("None")), F.col("text")))
 
 
 def _collapse(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, forget_ms: int, latest: bool) -> Iterator[pd.DataFrame]:
@@ -42,12 +37,11 @@ def _collapse(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, for
     if latest:
         rows = rows.tail(1)
     for r in rows.itertuples(index=False):
-        if r.seq <= seq or not r.text:
+        if r.seq <= seq:
             continue
-        now = fingerprint(r.kind, r.text)
-        if now != last:
-            out.append((key[0], r.seq, r.platform, r.kind, r.text, now))
-        last, seq = now, r.seq
+        if r.fingerprint != last:
+            out.append((key[0], r.seq, r.platform, r.kind, r.text, r.fingerprint))
+        last, seq = r.fingerprint, r.seq
     state.update((last, seq))
     if forget_ms:
         state.setTimeoutDuration(forget_ms)
@@ -60,7 +54,7 @@ def changes(elements: DataFrame, forget: int = 24 * 3600, latest: bool = False)
 
     ``latest``: of a micro-batch only each element's last state counts, so a burst of edits is scored once.
     """
-    rows = elements.select(F.col("element_id").cast("string").alias("element_id"), F.col("seq").cast("long").alias("seq"), "platform", "kind", "text")
+    rows = _rows(elements)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
 
     def step(key, frames, state):
@@ -69,23 +63,24 @@ def changes(elements: DataFrame, forget: int = 24 * 3600, latest: bool = False)
     return rows.groupBy("element_id").applyInPandasWithState(step, OUT, "fingerprint string, seq long", "update", timeout)
 
 
-class _Fresh:
-    """The state of an element that was never seen, for a replay of its whole history at once."""
-
-    exists = hasTimedOut = False
-
-    def update(self, value: tuple) -> None:
-        self.exists, self.get = True, value
+#: Spans of the sequence numbers in which a replay looks for the state before.
+SPANS = 256
 
 
 def replay(elements: DataFrame) -> DataFrame:
-    """What ``changes`` gives for a table that holds each element's whole history."""
-    rows = elements.select(F.col("element_id").cast("string").alias("element_id"), F.col("seq").cast("long").alias("seq"), "platform", "kind", "text")
+    """What ``changes`` gives for a table that holds each element's whole history.
 
-    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return next(_collapse(key, iter([frame]), _Fresh(), 0, False), pd.DataFrame(columns=["element_id", "seq", "platform", "kind", "text", "fingerprint"]))
-
-    return rows.groupBy("element_id").applyInPandas(step, OUT)
+    The fingerprint before is looked up in two levels, within a span of sequence numbers and then in the last span that the
+    element has any in, so that the history of one element is not one task's. Of rows with one number the smallest counts.
+    """
+    rows = _rows(elements).where("seq is not null").groupBy("element_id", "seq").agg(F.min(F.struct("platform", "kind", "text", "fingerprint")).alias("r")).select("element_id", "seq", "r.*")
+    lo, hi = elements.agg(F.coalesce(F.min("seq"), F.lit(0)).cast("long"), F.coalesce(F.max("seq"), F.lit(0)).cast("long")).first()
+    rows = rows.withColumn("span", F.expr(f"(seq - {lo}) div {(hi - lo) // SPANS + 1}"))
+    last = rows.groupBy("element_id", "span").agg(F.max_by("fingerprint", "seq").alias("last"))
+    before = last.select("element_id", "span", F.lag("last").over(Window.partitionBy("element_id").orderBy("span")).alias("before"))
+    own = F.lag("fingerprint").over(Window.partitionBy("element_id", "span").orderBy("seq"))
+    found = rows.withColumn("own", own).join(before, ["element_id", "span"])
+    return found.where(~F.coalesce("own", "before").eqNullSafe(F.col("fingerprint"))).select("element_id", "seq", "platform", "kind", "text", "fingerprint")
 
 
 def rescore(elements: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, bundle: dict | None = None, sensitivity: str = "balanced", every: str = "180 milliseconds", once: bool = False, **options):

@@ -73,7 +73,7 @@ def test_collapse_takes_latest():
 
         get = property(lambda self: self.value)
 
-    f = pd.DataFrame({"seq": [2, 1], "platform": "x", "kind": "post", "text": ["b", "a"]})
+    f = pd.DataFrame({"seq": [2, 1], "platform": "x", "kind": "post", "text": ["b", "a"], "fingerprint": ["fb", "fa"]})
     out = list(rescore._collapse(("e",), iter([f]), State(), 0, True))
     assert out[0].seq.tolist() == [2] and out[0].text.tolist() == ["b"]
 

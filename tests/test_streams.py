@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.sources import html as html_source
 from quillspark.sources import snapshots
 from quillspark.streaming import pages, quiet
 
@@ -93,6 +94,21 @@ def test_live_elements(spark, tmp_path):
     assert {(r.element_id, r.version, r.seq) for r in got} == {("a", 5, -1), ("b", 5, -1)}
 
 
+def test_latest_analysis_of_each_element(spark, tmp_path):
+    """What is asked of a live element: its newest analysis, and none once it went."""
+    log, got = str(tmp_path / "log"), []
+    schema = pages.analysed(spark.createDataFrame([], pages.OUT)).schema
+    live = pages.Live(spark, str(tmp_path / "live"), schema)
+    for seq, html in enumerate([page(("a", "Leverage a robust plan, moreover."), ("b", "I went home.")), page(("a", "We went home, and it was late."))]):
+        snapshots.append(spark.createDataFrame([("p", html)], "page_id string, html string"), log, seq)
+        stream = pages.changes(pages.fingerprinted(html_source.snapshot_elements(snapshots.read_stream(spark, log), "x")))
+        pages.follow(stream, live, str(tmp_path / "ck"), lambda df, n: got.extend((r.element_id, r.change, r.analysis is not None) for r in df.collect()), once=True).awaitTermination(180)
+    assert sorted(got) == [("a", "scored", True), ("a", "scored", True), ("b", "removed", False), ("b", "scored", True)]
+    rows = live.read().collect()
+    assert [(r.element_id, r.seq, r.text) for r in rows] == [("a", 1, "We went home, and it was late.")]
+    assert rows[0].analysis.metrics.wordCount == 7 and 0 <= rows[0].analysis.signal <= 1
+
+
 def plain_bursts(events, period, pushed_back):
     out, at = [], {}
     for key, t, state in sorted(events, key=lambda e: (e[1], e[2])):
