@@ -297,7 +297,10 @@ def _values(rows: list[tuple], names: str) -> str:
 def _fingerprint_sql() -> str:
     digit = lambda i: f"substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // {36**i}) % 36 + 1)::INT, 1)"
     units = "list_transform(string_split('post' || chr(10) || coalesce(text, ''), ''), lambda ch: ord(ch)::BIGINT)"
-    return f"SELECT doc_id, CASE WHEN h = 0 THEN '0' ELSE ltrim({' || '.join(digit(i) for i in range(6, -1, -1))}, '0') END AS fingerprint FROM (SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, {units}), lambda a, u: (xor(a, u) * 16777619) & 4294967295) AS h FROM documents)"
+    return (
+        f"SELECT doc_id, CASE WHEN h = 0 THEN '0' ELSE ltrim({' || '.join(digit(i) for i in range(6, -1, -1))}, '0') END AS fingerprint FROM (SELECT doc_id, "
+        f"list_reduce(list_prepend(2166136261::BIGINT, {units}), lambda a, u: (xor(a, u) * 16777619) & 4294967295) AS h FROM documents)"
+    )
 
 
 def _trained_sql() -> str:
@@ -305,7 +308,10 @@ def _trained_sql() -> str:
     cut = lambda of, n, name, by: f"""{name}q AS (SELECT *, floor({of} * {n})::BIGINT AS whole, {of} * {n} - floor({of} * {n}) AS rest, sum({n}) OVER ({by}) AS total FROM {{0}}),
 {name} AS (SELECT *, whole + CASE WHEN row_number() OVER ({by} ORDER BY -rest, s) <= ceil({of} * total) - sum(whole) OVER ({by}) THEN 1 ELSE 0 END AS {name}_n FROM {name}q)"""
     by, share = "PARTITION BY model", "(0.2::DOUBLE / (1 - 0.2::DOUBLE))"
-    crc = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(source, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(source, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, "
+        "b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT"
+    )
     return f"""WITH RECURSIVE bits(i, c, k) AS (
   SELECT i, i::UBIGINT, 0 FROM range(256) t(i)
   UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
@@ -325,7 +331,10 @@ SELECT model, 'trained' AS state, sum(n - test_n - cal_n)::BIGINT AS n_train, su
 UNION ALL SELECT model, 'skipped', 0, 0, 0, n, 0 FROM sizes WHERE model NOT IN (SELECT model FROM strata)"""
 
 
-_SPLIT = "g AS (SELECT count(DISTINCT source) AS g, count(*) AS n FROM documents JOIN labels USING (doc_id)), s AS (SELECT g, n, ceil(0.2::DOUBLE * g)::BIGINT AS test FROM g), z AS (SELECT *, ceil(0.25::DOUBLE * (g - test))::BIGINT AS cal FROM s)"
+_SPLIT = (
+    "g AS (SELECT count(DISTINCT source) AS g, count(*) AS n FROM documents JOIN labels USING (doc_id)), s AS (SELECT g, n, ceil(0.2::DOUBLE * g)::BIGINT AS test FROM g), "
+    "z AS (SELECT *, ceil(0.25::DOUBLE * (g - test))::BIGINT AS cal FROM s)"
+)
 _WORD_LIST = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 
 
@@ -347,7 +356,10 @@ def oracle_sql() -> dict[str, str]:
 )
 SELECT n AS page_id, element_id, parent_id, platform, kind, trim(text) AS text FROM e WHERE trim(text) <> ''""",
         "posts_only": "SELECT conv_id || '-' || turn AS page_id, 'post' AS element_id FROM conversations WHERE conv_id % 3 = 1 AND turn IS NOT NULL",
-        "label_spellings": f"WITH v AS ({_values([(i, -1 if t is None else t, a or 'none') for i, (_, t, a) in enumerate(LABELS)], 'i, target, authorship')}) SELECT doc_id, target, authorship FROM labels JOIN v ON doc_id % {len(LABELS)} = i",
+        "label_spellings": (
+            f"WITH v AS ({_values([(i, -1 if t is None else t, a or 'none') for i, (_, t, a) in enumerate(LABELS)], 'i, target, authorship')}) SELECT doc_id, target, authorship "
+            f"FROM labels JOIN v ON doc_id % {len(LABELS)} = i"
+        ),
         "quarantine": f"""WITH v AS ({_values([(i, x, a) for i, (x, _, a) in enumerate(LABELS)], 'i, label, authorship')}), r AS (
   SELECT doc_id, CASE WHEN doc_id % 11 = 5 OR coalesce(text, '') = '' THEN 'rejected no text' WHEN label IS NULL THEN 'rejected no label' WHEN authorship IS NULL THEN 'rejected unknown label' ELSE 'kept ' || authorship END AS state
   FROM documents JOIN labels USING (doc_id) JOIN v ON doc_id % {len(LABELS)} = i
@@ -358,21 +370,34 @@ UNION ALL SELECT 'observed ' || x, count(*) FILTER (WHERE state = 'rejected ' ||
         "row_numbers": """WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)
 SELECT kind, doc_id, n AS row, CASE WHEN doc_id % 9 = 4 OR coalesce(source, '') = '' THEN 'left out' ELSE 'row-' || n END AS source_id FROM r, (VALUES ('jsonl'), ('csv')) q(kind)""",
         "read_back": "SELECT k AS kind, n_nationkey::BIGINT AS id, n_name AS text, n_regionkey::BIGINT AS label FROM nation, (VALUES ('jsonl'), ('json'), ('csv'), ('parquet')) v(k)",
-        "split_audit": f"WITH {_SPLIT} SELECT * FROM (SELECT 'group-shuffle' AS item, n FROM z UNION ALL SELECT 'groups test', test FROM z UNION ALL SELECT 'groups calibration', cal FROM z UNION ALL SELECT 'groups train', g - test - cal FROM z UNION ALL SELECT 'overlap ' || x, 0 FROM (VALUES ('train_calibration'), ('train_test'), ('calibration_test')) o(x))",
+        "split_audit": (
+            f"WITH {_SPLIT} SELECT * FROM (SELECT 'group-shuffle' AS item, n FROM z UNION ALL SELECT 'groups test', test FROM z UNION ALL SELECT 'groups calibration', cal FROM z "
+            f"UNION ALL SELECT 'groups train', g - test - cal FROM z UNION ALL SELECT 'overlap ' || x, 0 FROM (VALUES ('train_calibration'), ('train_test'), ('calibration_test')) o(x))"
+        ),
         "stratified_split": """WITH c AS (SELECT quality AS target, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total, 0.2::DOUBLE * n AS exact FROM c),
 u AS (SELECT *, floor(exact)::BIGINT + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, target) <= ceil(0.2::DOUBLE * total) - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS test FROM t),
 w AS (SELECT *, n - test AS rest, sum(n - test) OVER () AS rest_total FROM u), x AS (SELECT *, (0.2::DOUBLE / (1 - 0.2::DOUBLE)) * rest AS exact2 FROM w),
 y AS (SELECT *, floor(exact2)::BIGINT + CASE WHEN row_number() OVER (ORDER BY floor(exact2) - exact2, target) <= ceil((0.2::DOUBLE / (1 - 0.2::DOUBLE)) * rest_total) - sum(floor(exact2)) OVER () THEN 1 ELSE 0 END AS cal FROM x)
 SELECT 'test' AS part, target::BIGINT AS target, test AS n FROM y UNION ALL SELECT 'calibration', target, cal FROM y UNION ALL SELECT 'train', target, n - test - cal FROM y""",
-        "group_split": "WITH g AS (SELECT count(DISTINCT source || '-' || lang) AS g FROM documents JOIN labels USING (doc_id)), s AS (SELECT g, ceil(0.2::DOUBLE * g)::BIGINT AS test FROM g), z AS (SELECT *, ceil(0.25::DOUBLE * (g - test))::BIGINT AS cal FROM s) SELECT 'test' AS part, test AS groups FROM z UNION ALL SELECT 'calibration', cal FROM z UNION ALL SELECT 'train', g - test - cal FROM z",
-        "calibration": "SELECT doc_id, round(1 / (1 + exp(-greatest(-20.0::DOUBLE, least(20.0::DOUBLE, 0.75::DOUBLE * (n_chars % 121 - 60) - 0.5::DOUBLE)))), 12) AS score, true AS above_0 FROM documents",
+        "group_split": (
+            "WITH g AS (SELECT count(DISTINCT source || '-' || lang) AS g FROM documents JOIN labels USING (doc_id)), s AS (SELECT g, ceil(0.2::DOUBLE * g)::BIGINT AS test FROM g), "
+            "z AS (SELECT *, ceil(0.25::DOUBLE * (g - test))::BIGINT AS cal FROM s) SELECT 'test' AS part, test AS groups FROM z UNION ALL SELECT 'calibration', cal FROM z UNION ALL "
+            "SELECT 'train', g - test - cal FROM z"
+        ),
+        "calibration": (
+            "SELECT doc_id, round(1 / (1 + exp(-greatest(-20.0::DOUBLE, least(20.0::DOUBLE, 0.75::DOUBLE * (n_chars % 121 - 60) - 0.5::DOUBLE)))), 12) AS score, true AS above_0 "
+            "FROM documents"
+        ),
         "mixed_slices": "WITH m AS (SELECT source, lang, len(regexp_extract_all(text, '\\S+')) AS words, ((n_chars * 13) % 1000) / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id) WHERE toxic = 1), e AS ("
         + " UNION ALL ".join(f"SELECT '{a}' AS dimension, {b} AS value, score FROM m" for a, b in (("platform", "source"), ("language", "lang"), *((k, "'unknown'") for k in ("kind", "authorship", "generator", "attack")), ("length", "CASE WHEN words < 20 THEN '0-19' WHEN words < 50 THEN '20-49' WHEN words < 120 THEN '50-119' ELSE '120+' END")))
         + ") SELECT dimension, value, count(*) AS mixed_n, round(avg(score), 6) AS mean_signal, round(median(score), 6) AS median_signal, round(avg((score >= 0.5::DOUBLE)::INT), 6) AS share_at_or_above_strong FROM e GROUP BY dimension, value",
         "threshold_report": f"""WITH h AS (SELECT ((n_chars * 7919) % 9973 + 1) / 9974.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id) WHERE quality = 0), o AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM h),
 t AS (SELECT rate, max(score) FILTER (WHERE r = greatest(1, least(n, ceil((1 - rate) * n)))) AS strong, max(n) AS n FROM o, (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.25::DOUBLE)) q(rate) GROUP BY rate)
 SELECT rate, round(strong, 9) AS strong, round(greatest(0.2::DOUBLE, least(0.5::DOUBLE, strong - 0.12::DOUBLE)), 9) AS moderate, n, round((SELECT count(*) FROM h WHERE h.score > t.strong) / n::DOUBLE, 9) AS fpr, round(1 / (n + 1)::DOUBLE, 9) AS resolvable FROM t""",
-        "subsets": "SELECT 'all' AS rows, count(*) AS n FROM conversations UNION ALL SELECT 'subset', count(*) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 UNION ALL SELECT 'binary', count(*) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 AND turn % 3 < 2",
+        "subsets": (
+            "SELECT 'all' AS rows, count(*) AS n FROM conversations UNION ALL SELECT 'subset', count(*) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 UNION ALL "
+            "SELECT 'binary', count(*) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 AND turn % 3 < 2"
+        ),
         "published_model": f"""WITH r AS (SELECT quality AS y, (n_chars % 997) / 997.0::DOUBLE AS s FROM documents JOIN labels USING (doc_id)), m AS (SELECT avg(y) AS share FROM r),
 h AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM r WHERE y = 0), q AS (SELECT max(s) FILTER (WHERE i = ceil(0.9::DOUBLE * n)) AS strong FROM h)
 SELECT 'x:post' AS model_key, round(share, 9) AS intercept, 1 AS n_weights, 128 AS n_chars, true AS calibrated, round(greatest(0.2::DOUBLE, least(0.5::DOUBLE, strong - 0.12::DOUBLE)), 9) AS moderate, round(strong, 9) AS strong FROM m, q
@@ -380,18 +405,34 @@ UNION ALL SELECT 'x:comment', {bundle['intercept']}::DOUBLE, {len(bundle['weight
         "trained": _trained_sql(),
         "fit_gradients": """WITH r AS (SELECT source, quality FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND source IS NOT NULL),
 m AS (SELECT source AS model FROM r GROUP BY source HAVING count(DISTINCT quality) = 2 UNION ALL SELECT 'all') SELECT model, p AS part, 0.0::DOUBLE AS gradient FROM m, range(4) t(p)""",
-        "typing_errors": f"WITH v AS (SELECT doc_id, coalesce(text, '') AS text, {_WORD_LIST} AS ws FROM documents), b AS (SELECT doc_id, CASE WHEN len(list_filter(ws, lambda w: regexp_matches(w, '^\\p{{L}}{{7,}}$'))) > 0 THEN array_to_string(ws, ' ') ELSE text END AS t FROM v) SELECT doc_id, md5(array_to_string(list_sort(string_split(t, '')), '')) AS letters_md5, true AS one_swap FROM b",
+        "typing_errors": (
+            f"WITH v AS (SELECT doc_id, coalesce(text, '') AS text, {_WORD_LIST} AS ws FROM documents), b AS (SELECT doc_id, CASE WHEN len(list_filter(ws, "
+            f"lambda w: regexp_matches(w, '^\\p{{L}}{{7,}}$'))) > 0 THEN array_to_string(ws, ' ') ELSE text END AS t FROM v) SELECT doc_id, "
+            f"md5(array_to_string(list_sort(string_split(t, '')), '')) AS letters_md5, true AS one_swap FROM b"
+        ),
         "close_scores": """WITH e AS (SELECT lang, quality AS y, 0.25::DOUBLE + ((n_chars * 7 + quality * 311) % 1000) * 1e-9::DOUBLE AS s FROM documents JOIN labels USING (doc_id)),
 ties AS (SELECT lang, s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS q FROM e GROUP BY ALL), cum AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq FROM ties WINDOW w AS (PARTITION BY lang ORDER BY s DESC)),
 r AS (SELECT lang, sum(p) AS n_ai, sum(q) AS n_human, sum(q * (cp - p) + p * q / 2.0::DOUBLE) AS wins, sum(p * (cp / (cp + cq)::DOUBLE)) AS precise FROM cum GROUP BY lang)
 SELECT lang, (n_ai + n_human)::BIGINT AS n, round(CASE WHEN n_human > 0 AND n_ai > 0 THEN wins / (n_human * n_ai)::DOUBLE END, 6) AS roc_auc, round(CASE WHEN n_human > 0 AND n_ai > 0 THEN precise / n_ai::DOUBLE END, 6) AS average_precision,
 round((m - 0.25::DOUBLE) * 1e9::DOUBLE, 3) AS median FROM r JOIN (SELECT lang, median(s) AS m FROM e GROUP BY lang) USING (lang)""",
         "fit_gradient": _values([(i, 0.0) for i in range(4)], "part, gradient"),
-        "stream_changes": "WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) SELECT user_id::VARCHAR AS element_id, event_type AS text, count(*) AS scored, min(seq) AS first, max(seq) AS last FROM e WHERE b IS DISTINCT FROM event_type GROUP BY ALL",
+        "stream_changes": (
+            "WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) "
+            "SELECT user_id::VARCHAR AS element_id, event_type AS text, count(*) AS scored, min(seq) AS first, max(seq) AS last FROM e WHERE b IS DISTINCT FROM event_type GROUP BY ALL"
+        ),
         "excerpts": "SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 110 THEN left(text, 107) || '…' ELSE coalesce(text, '') END AS excerpt FROM documents",
         "document_fingerprints": _fingerprint_sql(),
-        "augmented": f"WITH v AS (SELECT doc_id, text, {_WORD_LIST} AS ws FROM documents) SELECT doc_id::VARCHAR AS source_id, a AS attack, CASE a WHEN 'none' THEN length(text) WHEN 'punctuation-drop' THEN length(regexp_replace(text, '[,;:!?]', '', 'g')) WHEN 'case-variation' THEN length(array_to_string(list_transform(ws, lambda w, i: CASE WHEN (i - 1) % 7 = 0 THEN lower(w) ELSE w END), ' ')) ELSE CASE WHEN len(list_filter(ws, lambda w: regexp_matches(w, '^\\p{{L}}{{7,}}$'))) > 0 THEN length(array_to_string(ws, ' ')) ELSE length(text) END END AS n FROM v, (VALUES ('none'), ('punctuation-drop'), ('case-variation'), ('single-typo')) q(a)",
-        "page_texts": f"WITH b AS (SELECT page_id, trim(regexp_replace({body}, '\\s+', ' ', 'g')) AS text FROM pages) SELECT page_id, 'post-0' AS element_id, 'page' AS platform, 'post' AS kind, text FROM b",
+        "augmented": (
+            f"WITH v AS (SELECT doc_id, text, {_WORD_LIST} AS ws FROM documents) SELECT doc_id::VARCHAR AS source_id, a AS attack, CASE a WHEN 'none' THEN length(text) "
+            f"WHEN 'punctuation-drop' THEN length(regexp_replace(text, '[,;:!?]', '', 'g')) WHEN 'case-variation' THEN length(array_to_string(list_transform(ws, lambda w, i: CASE "
+            f"WHEN (i - 1) % 7 = 0 THEN lower(w) ELSE w END), ' ')) ELSE CASE WHEN len(list_filter(ws, "
+            f"lambda w: regexp_matches(w, '^\\p{{L}}{{7,}}$'))) > 0 THEN length(array_to_string(ws, ' ')) ELSE length(text) END END AS n FROM v, (VALUES ('none'), "
+            f"('punctuation-drop'), ('case-variation'), ('single-typo')) q(a)"
+        ),
+        "page_texts": (
+            f"WITH b AS (SELECT page_id, trim(regexp_replace({body}, '\\s+', ' ', 'g')) AS text FROM pages) SELECT page_id, 'post-0' AS element_id, 'page' AS platform, 'post' AS kind, "
+            f"text FROM b"
+        ),
     }
 
 

@@ -188,11 +188,18 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return html.elements(read_table(spark, f"{d}/pages.parquet").select("page_id", "html"), "page").drop("parent_id")
 
 
-_WORDS = "t AS (SELECT doc_id, lang, trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS raw FROM documents), c AS (SELECT *, regexp_replace(raw, '\\s+', ' ', 'g') AS cleaned FROM t), w AS (SELECT *, list_transform(regexp_extract_all(replace(replace(cleaned, '‘', ''''), '’', ''''), '[\\p{L}\\p{N}]+(?:''[\\p{L}\\p{N}]+)?'), lambda x: lower(x)) AS tokens FROM c)"
+_WORDS = (
+    "t AS (SELECT doc_id, lang, trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS raw FROM documents), c AS (SELECT *, "
+    "regexp_replace(raw, '\\s+', ' ', 'g') AS cleaned FROM t), w AS (SELECT *, "
+    "list_transform(regexp_extract_all(replace(replace(cleaned, '‘', ''''), '’', ''''), '[\\p{L}\\p{N}]+(?:''[\\p{L}\\p{N}]+)?'), lambda x: lower(x)) AS tokens FROM c)"
+)
 _IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 _TOKENS = _WORDS + ", k AS (SELECT doc_id, lang, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS i, len(tokens) AS n FROM w), p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id, t ORDER BY i), -1) AS prev FROM k), m AS (SELECT *, greatest(0, least(i, greatest(n - 25, 0)) - greatest(prev + 1, i - 24, 0) + 1) AS share FROM p)"
 _COUNT = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
-_SENTENCES = "list_filter(list_transform(list_filter(list_transform(regexp_split_to_array({0}, '{1}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), lambda x: len(regexp_extract_all(replace(replace(x, '‘', ''''), '’', ''''), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?'))), lambda x: x > 0)"
+_SENTENCES = (
+    "list_filter(list_transform(list_filter(list_transform(regexp_split_to_array({0}, '{1}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), "
+    "lambda x: len(regexp_extract_all(replace(replace(x, '‘', ''''), '’', ''''), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?'))), lambda x: x > 0)"
+)
 
 
 def _phrase_sql() -> str:
@@ -205,10 +212,16 @@ def _phrase_sql() -> str:
             terms.append(f"len(list_filter(range(1, len({x})), lambda j: regexp_matches('.' || {x}[j], '[^a-z0-9]$') AND regexp_matches({x}[j + 1] || '.', '^[^a-z0-9]') AND (j = 1 OR {x}[j] <> '') AND (j + 1 = len({x}) OR {x}[j + 1] <> '')))".replace(f"'.' || {x}[j]", f"(CASE WHEN j = 1 THEN '.' ELSE '' END) || {x}[j]").replace(f"{x}[j + 1] || '.'", f"{x}[j + 1] || (CASE WHEN j + 1 = len({x}) THEN '.' ELSE '' END)"))
         cases.append(f"{' + '.join(terms)} AS {family}")
     own = ", ".join(f"({-1 - i}, '{(f'{p}. Re{p} {p} {p}, a{p}').replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(lx.BUZZ + lx.HEDGE + lx.TRANSITION + lx.TEMPLATE))
-    return f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {own}) v(doc_id, text)), c AS (SELECT doc_id, lower(replace(replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '‘', ''''), '’', '''')) AS low FROM t) SELECT doc_id, {', '.join(cases)} FROM c"
+    return (
+        f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {own}) v(doc_id, text)), c AS (SELECT doc_id, "
+        f"lower(replace(replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '‘', ''''), '’', '''')) AS low FROM t) SELECT doc_id, {', '.join(cases)} FROM c"
+    )
 
 
-_SCORED = "s AS (SELECT quality AS target, ((n_chars * 7 + quality * 311) % 1000) / 1000.0::DOUBLE AS score, source AS platform, 'post' AS kind, lang AS language, quality::VARCHAR AS authorship, len(regexp_extract_all(text, '\\S+')) AS words FROM documents JOIN labels USING (doc_id))"
+_SCORED = (
+    "s AS (SELECT quality AS target, ((n_chars * 7 + quality * 311) % 1000) / 1000.0::DOUBLE AS score, source AS platform, 'post' AS kind, lang AS language, "
+    "quality::VARCHAR AS authorship, len(regexp_extract_all(text, '\\S+')) AS words FROM documents JOIN labels USING (doc_id))"
+)
 
 
 def _metrics_sql(keys: str, rows: str) -> str:
@@ -234,24 +247,66 @@ FROM b JOIN g ON {on('g')} JOIN r ON {on('r')}"""
 def oracle_sql() -> dict[str, str]:
     n = _COUNT
     return {
-        "profile_by_lang": f"WITH {_TOKENS}, a AS (SELECT lang, count(*) AS docs FROM w GROUP BY lang), b AS (SELECT lang, count(*) AS tokens, count(*) FILTER (WHERE t IN {_IN(lx.STOPWORDS)}) AS stopwords, sum(share)::BIGINT AS window_types FROM m GROUP BY lang) SELECT lang, docs, tokens, stopwords, window_types FROM a JOIN b USING (lang)",
+        "profile_by_lang": (
+            f"WITH {_TOKENS}, a AS (SELECT lang, count(*) AS docs FROM w GROUP BY lang), b AS (SELECT lang, count(*) AS tokens, "
+            f"count(*) FILTER (WHERE t IN {_IN(lx.STOPWORDS)}) AS stopwords, sum(share)::BIGINT AS window_types FROM m GROUP BY lang) SELECT lang, docs, tokens, stopwords, "
+            f"window_types FROM a JOIN b USING (lang)"
+        ),
         "token_stats": f"WITH {_TOKENS}, f AS (SELECT doc_id, t, count(*) AS c FROM k GROUP BY ALL), g AS (SELECT doc_id, count(*) AS d, count(*) FILTER (WHERE c = 1) AS h, max(c) AS top FROM f GROUP BY doc_id), s AS (SELECT doc_id, sum(share)::BIGINT AS z FROM m GROUP BY doc_id) SELECT w.doc_id, len(tokens) AS words, coalesce(d, 0) AS distinct, coalesce(h, 0) AS hapax, coalesce(top, 0) AS top, coalesce(z, 0) AS mattr_sum FROM w LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)".replace("AS distinct", 'AS "distinct"'),
-        "ngram_repeats": f"WITH {_WORDS}, g AS (SELECT doc_id, CASE WHEN len(tokens) < 2 THEN [] ELSE list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i+1]) END AS a, CASE WHEN len(tokens) < 3 THEN [] ELSE list_transform(range(1, len(tokens) - 1), lambda i: tokens[i] || ' ' || tokens[i+1] || ' ' || tokens[i+2]) END AS b FROM w) SELECT doc_id, len(a) AS bigrams, len(list_distinct(a)) AS bigrams_distinct, len(b) AS trigrams, len(list_distinct(b)) AS trigrams_distinct FROM g",
-        "lexicon_hits": f"WITH {_WORDS} SELECT doc_id, len(list_filter(tokens, lambda x: x IN {_IN(lx.STOPWORDS)})) AS stop, len(list_filter(tokens, lambda x: x IN {_IN(lx.FIRST_PERSON)})) AS first, len(list_filter(tokens, lambda x: x IN {_IN(lx.SECOND_PERSON)})) AS second, len(list_filter(tokens, lambda x: contains(x, ''''))) AS contractions, len(list_filter(tokens, lambda x: regexp_matches(x, '\\p{{Nd}}'))) AS numbers FROM w",
+        "ngram_repeats": (
+            f"WITH {_WORDS}, g AS (SELECT doc_id, CASE WHEN len(tokens) < 2 THEN [] ELSE list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i+1]) END AS a, "
+            f"CASE WHEN len(tokens) < 3 THEN [] ELSE list_transform(range(1, len(tokens) - 1), lambda i: tokens[i] || ' ' || tokens[i+1] || ' ' || tokens[i+2]) END AS b FROM w) "
+            f"SELECT doc_id, len(a) AS bigrams, len(list_distinct(a)) AS bigrams_distinct, len(b) AS trigrams, len(list_distinct(b)) AS trigrams_distinct FROM g"
+        ),
+        "lexicon_hits": (
+            f"WITH {_WORDS} SELECT doc_id, len(list_filter(tokens, lambda x: x IN {_IN(lx.STOPWORDS)})) AS stop, len(list_filter(tokens, "
+            f"lambda x: x IN {_IN(lx.FIRST_PERSON)})) AS first, len(list_filter(tokens, lambda x: x IN {_IN(lx.SECOND_PERSON)})) AS second, len(list_filter(tokens, "
+            f"lambda x: contains(x, ''''))) AS contractions, len(list_filter(tokens, lambda x: regexp_matches(x, '\\p{{Nd}}'))) AS numbers FROM w"
+        ),
         "phrase_hits": _phrase_sql(),
         "punctuation": "WITH " + _WORDS + " SELECT doc_id, " + ", ".join(f"{n('cleaned', p.replace(chr(39), chr(39) * 2))} AS {k}" for k, p in tx.PUNCTUATION.items()) + " FROM w",
-        "markup": f"WITH {_WORDS} SELECT doc_id, {n('cleaned', '(?i)' + chr(92) + 'bhttps?://' + chr(92) + 'S+|' + chr(92) + 'bwww' + chr(92) + '.' + chr(92) + 'S+')} AS urls, {n('cleaned', '#[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')} AS hashtags, len(list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:•|-|\\*|\\d+[.)])\\s+'))) AS list_markers, {n('raw', chr(92) + 'n')} AS newlines, length(cleaned) + {n('cleaned', '[' + chr(92) + 'x{10000}-' + chr(92) + 'x{10FFFF}]')} AS chars, {n('raw', chr(92) + 'p{L}')} AS letters, {n('raw', '[A-Za-z]')} AS latin FROM w",
-        "sentence_stats": f"WITH {_WORDS}, s AS (SELECT doc_id, {_SENTENCES.format('cleaned', '[.!?]+')} AS s, {_SENTENCES.format('raw', chr(92) + 'n+')} AS p FROM w) SELECT doc_id, len(s) AS sentences, coalesce(list_sum(s), 0)::BIGINT AS tokens, len(list_filter(s, lambda x: x <= 8)) AS short, len(p) AS paragraphs FROM s",
-        "language_support": f"WITH {_WORDS}, x AS (SELECT doc_id, len(tokens) AS n, len(list_filter(tokens, lambda x: x IN {_IN(lx.STOPWORDS)})) AS s, {n('raw', chr(92) + 'p{L}')} AS letters, {n('raw', '[A-Za-z]')} AS latin FROM w) SELECT doc_id, CASE WHEN letters = 0 THEN 'unsupported' WHEN latin / letters::DOUBLE < 0.72 THEN 'unsupported' WHEN n >= 20 AND s / n::DOUBLE < 0.055 THEN 'uncertain' ELSE 'supported' END AS state FROM x",
-        "fingerprints": "SELECT n_nationkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('post' || chr(10) || n_name, ''), lambda x: ascii(x)::BIGINT)), lambda a, u: (xor(a, u) * 16777619) & 4294967295) AS hash FROM nation",
-        "surface_variants": "SELECT doc_id, md5(regexp_replace(text, '[,;:!?]', '', 'g')) AS no_punctuation, md5(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda w, i: CASE WHEN (i - 1) % 7 = 0 THEN lower(w) ELSE w END), ' ')) AS case_varied FROM documents",
-        "imported": "SELECT doc_id::VARCHAR AS source_id, CASE quality WHEN 0 THEN 'human' ELSE 'ai' END AS authorship, source AS platform, 'post' AS kind, lang AS language, 'none' AS attack, quality AS target FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND text <> '' AND quality IS NOT NULL",
+        "markup": (
+            f"WITH {_WORDS} "
+            f"SELECT doc_id, {n('cleaned', '(?i)' + chr(92) + 'bhttps?://' + chr(92) + 'S+|' + chr(92) + 'bwww' + chr(92) + '.' + chr(92) + 'S+')} AS urls, {n('cleaned', '#[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')} AS hashtags, "
+            f"len(list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:•|-|\\*|\\d+[.)])\\s+'))) AS list_markers, {n('raw', chr(92) + 'n')} AS newlines, "
+            f"length(cleaned) + {n('cleaned', '[' + chr(92) + 'x{10000}-' + chr(92) + 'x{10FFFF}]')} AS chars, {n('raw', chr(92) + 'p{L}')} AS letters, {n('raw', '[A-Za-z]')} AS latin "
+            f"FROM w"
+        ),
+        "sentence_stats": (
+            f"WITH {_WORDS}, s AS (SELECT doc_id, {_SENTENCES.format('cleaned', '[.!?]+')} AS s, {_SENTENCES.format('raw', chr(92) + 'n+')} AS p FROM w) SELECT doc_id, "
+            f"len(s) AS sentences, coalesce(list_sum(s), 0)::BIGINT AS tokens, len(list_filter(s, lambda x: x <= 8)) AS short, len(p) AS paragraphs FROM s"
+        ),
+        "language_support": (
+            f"WITH {_WORDS}, x AS (SELECT doc_id, len(tokens) AS n, len(list_filter(tokens, "
+            f"lambda x: x IN {_IN(lx.STOPWORDS)})) AS s, {n('raw', chr(92) + 'p{L}')} AS letters, {n('raw', '[A-Za-z]')} AS latin FROM w) SELECT doc_id, CASE "
+            f"WHEN letters = 0 THEN 'unsupported' WHEN latin / letters::DOUBLE < 0.72 THEN 'unsupported' WHEN n >= 20 AND s / n::DOUBLE < 0.055 THEN 'uncertain' "
+            f"ELSE 'supported' END AS state FROM x"
+        ),
+        "fingerprints": (
+            "SELECT n_nationkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('post' || chr(10) || n_name, ''), lambda x: ascii(x)::BIGINT)), lambda a, "
+            "u: (xor(a, u) * 16777619) & 4294967295) AS hash FROM nation"
+        ),
+        "surface_variants": (
+            "SELECT doc_id, md5(regexp_replace(text, '[,;:!?]', '', 'g')) AS no_punctuation, md5(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), "
+            "lambda x: x <> ''), lambda w, i: CASE WHEN (i - 1) % 7 = 0 THEN lower(w) ELSE w END), ' ')) AS case_varied FROM documents"
+        ),
+        "imported": (
+            "SELECT doc_id::VARCHAR AS source_id, CASE quality WHEN 0 THEN 'human' ELSE 'ai' END AS authorship, source AS platform, 'post' AS kind, "
+            "lang AS language, 'none' AS attack, quality AS target FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND text <> '' AND quality IS NOT NULL"
+        ),
         "kinds": "SELECT CASE WHEN role = 'user' THEN 'comment' ELSE 'post' END AS kind, count(*) AS n FROM conversations GROUP BY 1",
         "binary_metrics": _metrics_sql("", "e AS (SELECT * FROM s)"),
         "slice_metrics": _metrics_sql("dimension, value", "e AS (" + " UNION ALL ".join(f"SELECT '{a}' AS dimension, {b} AS value, target, score FROM s" for a, b in (("platform", "platform"), ("kind", "kind"), ("authorship", "authorship"), ("language", "language"), ("generator", "'unknown'"), ("attack", "'unknown'"), ("length", "CASE WHEN words < 20 THEN '0-19' WHEN words < 50 THEN '20-49' WHEN words < 120 THEN '50-119' ELSE '120+' END"))) + ")"),
         "record_counts": f"WITH {_SCORED} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM s GROUP BY {c}" for c in ("authorship", "platform", "kind")),
-        "human_threshold": f"WITH {_SCORED}, h AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM s WHERE target = 0), q AS (SELECT max(score) FILTER (WHERE r = ceil(0.9::DOUBLE * n)) AS s, max(n) AS n FROM h) SELECT round(q.s, 9) AS strong, q.n AS n, round(count(*) FILTER (WHERE h.score > q.s) / q.n::DOUBLE, 9) AS fpr FROM h, q GROUP BY q.s, q.n",
-        "changes_replay": "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count(*) FILTER (WHERE b IS DISTINCT FROM event_type) AS scored FROM e GROUP BY user_id",
+        "human_threshold": (
+            f"WITH {_SCORED}, h AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM s WHERE target = 0), "
+            f"q AS (SELECT max(score) FILTER (WHERE r = ceil(0.9::DOUBLE * n)) AS s, max(n) AS n FROM h) SELECT round(q.s, 9) AS strong, q.n AS n, "
+            f"round(count(*) FILTER (WHERE h.score > q.s) / q.n::DOUBLE, 9) AS fpr FROM h, q GROUP BY q.s, q.n"
+        ),
+        "changes_replay": (
+            "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, "
+            "count(*) FILTER (WHERE b IS DISTINCT FROM event_type) AS scored FROM e GROUP BY user_id"
+        ),
     } | style.oracle_sql() | flows.oracle_sql() | streams.oracle_sql()
 
 

@@ -189,7 +189,10 @@ def _cv(c: str) -> str:
 
 def _units(c: str) -> str:
     """Code units of UTF-16."""
-    return f"flatten(list_transform(string_split({c}, ''), lambda ch: CASE WHEN ord(ch) > 65535 THEN [55296 + ((ord(ch) - 65536) >> 10), 56320 + ((ord(ch) - 65536) & 1023)] ELSE [ord(ch)] END))"
+    return (
+        f"flatten(list_transform(string_split({c}, ''), lambda ch: CASE WHEN ord(ch) > 65535 THEN [55296 + ((ord(ch) - 65536) >> 10), 56320 + ((ord(ch) - 65536) & 1023)] "
+        f"ELSE [ord(ch)] END))"
+    )
 
 
 def _distinct_grams(c: str, k: int) -> str:
@@ -209,7 +212,10 @@ def texts_sql() -> str:
     own = ", ".join(f"({-1 - i}, {_quoted(t)})" for i, t in enumerate(SAMPLES))
     platform = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PLATFORMS))
     mod = lambda k: f"((id % {k}) + {k}) % {k}"
-    return f"src AS (SELECT id, text, CASE {mod(len(PLATFORMS))} {platform} END AS platform, CASE WHEN {mod(3)} = 0 THEN 'comment' ELSE 'post' END AS kind FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {own}) v(id, text)))"
+    return (
+        f"src AS (SELECT id, text, CASE {mod(len(PLATFORMS))} {platform} END AS platform, CASE WHEN {mod(3)} = 0 THEN 'comment' ELSE 'post' END AS kind FROM (SELECT doc_id AS id, "
+        f"text FROM documents UNION ALL SELECT * FROM (VALUES {own}) v(id, text)))"
+    )
 
 
 def counts_sql(src: str = "src", p: str = "") -> str:
@@ -278,7 +284,10 @@ def values_sql(p: str = "") -> str:
     feats = ", ".join(f"{e} AS {k}" for k, e in _features().items())
     mets = ", ".join(f"({e})::DOUBLE AS m_{k}" for k, e in _METRICS.items())
     state = "CASE WHEN letters = 0 OR m_latinRatio < 0.72::DOUBLE THEN 'unsupported' WHEN words >= 20 AND m_stopwordRatio < 0.055::DOUBLE THEN 'uncertain' ELSE 'supported' END"
-    reason = "CASE WHEN letters = 0 THEN 'no letter evidence' WHEN m_latinRatio < 0.72::DOUBLE THEN 'non-Latin or mixed-script text' WHEN words >= 20 AND m_stopwordRatio < 0.055::DOUBLE THEN 'English language could not be established' ELSE '' END"
+    reason = (
+        "CASE WHEN letters = 0 THEN 'no letter evidence' WHEN m_latinRatio < 0.72::DOUBLE THEN 'non-Latin or mixed-script text' "
+        "WHEN words >= 20 AND m_stopwordRatio < 0.055::DOUBLE THEN 'English language could not be established' ELSE '' END"
+    )
     return f"{p}v0 AS (SELECT *, {feats}, {mets} FROM {p}x), {p}v AS (SELECT *, {state} AS language, {reason} AS language_reason FROM {p}v0)"
 
 
@@ -322,7 +331,10 @@ def evidence_sql() -> str:
     """``ev``: level, reasons and counter-signals of ``v``."""
     limit = lambda i: "CASE " + " ".join(f"WHEN {('platform = ' + _quoted(p)) if p != 'unknown' else 'true'} AND kind {'=' if k == 'comment' else '<>'} 'comment' THEN {v[i]}" for p, kinds in sorted(lx.EVIDENCE_LIMITS.items(), key=lambda x: x[0] == "unknown") for k, v in kinds.items()) + " END"
     some = "len(doubts) > 0"
-    level = f"CASE WHEN words >= high AND m_sentenceCount >= 3 THEN CASE WHEN {some} THEN 'medium' ELSE 'high' END WHEN words >= medium THEN CASE WHEN {some} THEN 'weak' ELSE 'medium' END ELSE 'weak' END"
+    level = (
+        f"CASE WHEN words >= high AND m_sentenceCount >= 3 THEN CASE WHEN {some} THEN 'medium' ELSE 'high' END WHEN words >= medium THEN CASE WHEN {some} THEN 'weak' "
+        f"ELSE 'medium' END ELSE 'weak' END"
+    )
     count = lambda c, word: f"CASE WHEN {c} > 0 THEN {c}::INT::VARCHAR || ' {word}' || CASE WHEN {c} = 1 THEN '' ELSE 's' END END"
     return f"""ea AS (SELECT *, {limit(0)} AS least_words, {limit(1)} AS medium, {limit(2)} AS high, list_filter([CASE WHEN language = 'uncertain' THEN language_reason END, CASE WHEN m_sentenceCount < 2 THEN 'too little sentence variation' END,
   CASE WHEN m_typeTokenRatio >= 0.9::DOUBLE AND words < 45 THEN 'lexical diversity is unstable at this length' END], lambda dd: dd IS NOT NULL) AS doubts FROM v),
