@@ -21,6 +21,17 @@ from quillspark.operators.analyze import analyze
 OUT = "element_id string, seq long, platform string, kind string, text string, fingerprint string"
 
 
+def fingerprint(kind: str | None, text: str | None) -> str:
+    """``tx.fingerprint`` of one text outside of Spark: FNV-1a over the UTF-16 units of kind, newline and text, in base 36."""
+    h, out = 2166136261, ""
+    for unit in memoryview(f"{kind}\n{text}".encode("utf-16-le", "surrogatepass")).cast("H"):
+        h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
+    while h:
+        h, d = divmod(h, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+    return out or "0"
+
+
 def _rows(elements: DataFrame) -> DataFrame:
     """What is kept of elements, with the fingerprint of kind and text; elements without a text are none."""
     own = elements.select(F.col("element_id").cast("string").alias("element_id"), F.col("seq").cast("long").alias("seq"), "platform", "kind", "text").where("text <> ''")
