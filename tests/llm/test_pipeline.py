@@ -1,6 +1,7 @@
 """The pipeline's stages, each held on its own input against SQL, brute force or an exact round trip."""
 
 import sys
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -86,7 +87,7 @@ def test_run_chains_its_stages(spark, monkeypatch):
 
 def test_registered():
     names = set(registry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{i}" for i in range(1, 14)}
     assert "corpus_pipeline" in sys.modules and corpus_pipeline.ORACLE_SQL is None
 
 
@@ -105,9 +106,17 @@ def test_run_on_odd_tables(spark, tmp_path, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (7, 0, 1)] if rows else [], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [(1, [0.5] * 8, 1), (1, [0.5] * 8, 1), (None, [0.25] * 8, None), (2, None, 1), (3, [None] * 8, 2)]
+    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    clicks = [(1, datetime(2024, 1, 3), datetime(2024, 1, 4), "a", 1.0), (1, datetime(2024, 1, 3), datetime(2024, 1, 4), "a", 1.0), (2, None, None, None, None), (None, datetime(2024, 1, 3), None, None, None)]
+    spark.createDataFrame(clicks if rows else [], "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string, value double").coalesce(1).write.parquet(f"{tmp_path}/clicks.parquet")
     for name, query in registry.queries().items():
         got = query(spark, str(tmp_path)).collect()
-        if name == "pipeline":
+        if name == "op11_vector_codes":
+            assert sorted(str(r.vec_id) for r in got) == (["1", "1", "None"] if rows else [])
+        elif name == "op12_window_panes":
+            assert sorted((r.record, r.kind, r.n_rows, r.cents) for r in got if r.record in ("emit", "final")) == ([("final", "a", 1, 100), ("final", "none", 1, 0)] if rows else [])
+        elif name == "pipeline":
             assert bool(got) == bool(rows) and {r.doc_id for r in got} <= {i for i, *_ in rows}
         else:
             assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == sorted(i if i is not None else -1 for i, *_ in rows), name
