@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillspark.plans import flows, registry, style
+from quillspark.plans import flows, registry, streams, style
 
 DIR = "/root/testdata/sf0.001"
 #: Held by other tests or by the driver alone, since they take long.
@@ -25,7 +25,7 @@ def plain(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted((set(style.queries()) | set(flows.queries()) | {"document_fingerprints", "augmented", "page_texts", "group_split", "cue_counts"}) - SLOW))
+@pytest.mark.parametrize("name", sorted((set(style.queries()) | set(flows.queries()) | set(streams.queries()) | {"document_fingerprints", "augmented", "page_texts", "group_split", "cue_counts"}) - SLOW))
 def test_query_equals_its_sql(spark, con, name):
     df = registry.queries()[name](spark, DIR)
     want = con.execute(registry.oracle_sql()[name])
