@@ -91,3 +91,10 @@ def test_changes_replay_runs_the_stream(spark, monkeypatch):
         want[r.user_id] = want.get(r.user_id, 0) + (r.user_id not in before or before[r.user_id] != r.event_type)
         before[r.user_id] = r.event_type
     assert calls and got == want
+
+
+def test_references_cut_short():
+    """A plain page's reference counts with its semicolon only, as the SQL of its queries has it; sites are read as browsers do."""
+    page = "<h1>Salt &amp; oil &amp</h1><article><h1>Salt &amp; oil &amp</h1><p>Salt &amp; oil &amp; &lt;b&gt; &#233; &ampere; &copy</p></article>"
+    assert html.extract(page, "page") == [("post-0", "post", "Salt & oil &ampSalt & oil & <b> é &ampere; &copy")]
+    assert html.extract('<article role="article" id="1"><div data-testid="tweetText">R &amp</div></article>', "x") == [("1", "post", "R &")]
