@@ -272,12 +272,12 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     rows = events.select(F.col("user_id").cast("string").alias("element_id"), F.unix_micros(F.col("ts").cast(T.TimestampType())).alias("seq"), F.lit("reddit").alias("platform"), F.lit("post").alias("kind"), F.col("event_type").alias("text"))
     rows = rows.where("seq is not null and element_id is not null")
     lo, hi = rows.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
-    for i in range(4):  # files are taken in the order they came
+    write = lambda batch, n: batch.select("element_id", "seq", "text", "fingerprint").write.mode("overwrite").parquet(f"{target}/batch={n}")
+    for i in range(4):  # a quarter of the time has as many files as the table has splits; all of them are one micro-batch
         rows.where(F.least(F.floor((F.col("seq") - lo) * 4 / max(hi - lo, 1)), F.lit(3)) == i).write.mode("append").json(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source)
-    write = lambda batch, _: batch.select("element_id", "seq", "text", "fingerprint").write.mode("append").parquet(target)
-    rescore.changes(stream, forget=0).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema("element_id string, seq long, text string, fingerprint string").parquet(target)
+        stream = spark.readStream.schema(rows.schema).json(source)
+        rescore.changes(stream, forget=0).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("element_id string, seq long, text string, fingerprint string").parquet(f"{target}/batch=*")
     return found.groupBy("element_id", "text").agg(F.count(F.lit(1)).alias("scored"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
