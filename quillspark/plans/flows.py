@@ -85,13 +85,15 @@ def row_numbers(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("content"), F.when(F.pmod("doc_id", F.lit(9)) != 4, F.lit("human")).alias("label"))
     key, out = "spark.sql.files.maxPartitionBytes", None
     before = spark.conf.get(key)
-    spark.conf.set(key, "4096b")  # several splits a file
     try:
         for kind in ("jsonl", "csv"):
             path = readers.scratch(spark, kind)
+            spark.conf.set(key, before)
             # by file and then by id, so that a record's place follows from its id
             dealt = rows.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
             dealt.write.json(path) if kind == "jsonl" else dealt.write.option("header", True).csv(path)
+            # several splits a file, as many however large the files are, up to the size that the session splits at
+            spark.conf.set(key, f"{readers.split_size(spark, path, before)}b")
             numbered = readers.numbered(readers.read_records(spark, path))
             kept = prepare.import_records(numbered.withColumnRenamed("doc_id", "number"), row="row")
             found = numbered.repartition(7).join(kept.select("source_id"), F.col("source_id") == F.concat(F.lit("row-"), F.col("row").cast("string")), "left")

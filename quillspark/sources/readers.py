@@ -79,6 +79,14 @@ def numbered(rows: DataFrame, name: str = "row") -> DataFrame:
     return scan.join(offsets, [_FILE, _BLOCK]).select(*(F.col(f"`{c}`") for c in rows.columns), (F.col(_PLACE) + F.col("shift")).alias(name))
 
 
+def split_size(spark: SparkSession, path: str, most: str, splits: int = 64) -> int:
+    """Bytes of a split for about so many of them in a folder: 4 KB at least, ``most`` (a setting of Spark) at most."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most)
+    return max(4096, min(-(-size // splits), most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = scratch(df.sparkSession, name)
