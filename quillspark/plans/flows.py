@@ -198,7 +198,7 @@ LEAST_ROWS = 60
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents as training records: quality is the target, sources stand for platforms and kinds."""
-    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = readers.read_table(spark, f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     number = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(3))
     rows = docs.join(labels, "doc_id").where("quality in (0, 1) and text is not null")
     platform = F.when(number == 0, "linkedin").when(number == 1, "reddit").otherwise("x")
@@ -237,7 +237,7 @@ def fit_gradients(spark: SparkSession, d: str) -> DataFrame:
 
 def typing_errors(spark: SparkSession, d: str) -> DataFrame:
     """Documents with one typing error: their characters in order, and whether two places differ (or none, where alike letters were swapped)."""
-    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = readers.read_table(spark, f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = F.array_join(F.filter(F.split("text", tx.SPACE + "+"), lambda w: w != ""), " ")
     typo = augment.add_typo(F.col("text"), F.col("doc_id").cast("string"))
     rows = rows.select("doc_id", tx.fixed(F.split(typo, "")).alias("a"), F.split(F.col("text"), "").alias("b"), F.split(joined, "").alias("c"))

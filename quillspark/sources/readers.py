@@ -41,14 +41,26 @@ def is_scan(path: str) -> bool:
     return not path.rstrip("/").lower().endswith(".json")
 
 
-#: Setting of a session: how many parts tables are dealt to. For tables of a few files on many cores; at scale files are splits enough.
+#: Setting of a session: the least number of parts tables are dealt to, for small tables on many cores.
 DEAL = "spark.quillspark.deal"
+#: Bytes of a table's files for each part that it is dealt to.
+PART = 1 << 20
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files of a folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, dealt to as many parts as the session asks for (``DEAL``), or as its files are."""
-    df, parts = spark.read.parquet(path), spark.conf.get(DEAL, None)
-    return df.repartition(int(parts)) if parts else df
+    """A Parquet table in parts of about PART bytes of its files, and at least as many as the session asks for (``DEAL``).
+
+    A row group is one task's, whatever the size of splits, so a table of few row groups would be worked off by as many tasks.
+    Rows are dealt by a hash of the first column, a table's key. Parts of one size hold Python workers to one size as well.
+    """
+    df, parts = spark.read.parquet(path), max(-(-size_of(spark, path) // PART), int(spark.conf.get(DEAL, None) or 1))
+    return df.repartition(parts, df.columns[0]) if parts > 1 else df
 
 
 #: Up to so many file splits their offsets go to all tasks; more are joined by an exchange.
@@ -81,8 +93,7 @@ def numbered(rows: DataFrame, name: str = "row") -> DataFrame:
 
 def split_size(spark: SparkSession, path: str, most: str, splits: int = 64) -> int:
     """Bytes of a split for about so many of them in a folder: 4 KB at least, ``most`` (a setting of Spark) at most."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    size = size_of(spark, path)
     most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most)
     return max(4096, min(-(-size // splits), most))
 
