@@ -9,17 +9,18 @@ Settings have a version. What was scored under an older version counts as unscor
 new version are scored in full, and ``rescan`` feeds all elements that are there, so that pages which do not
 change are scored again as well, on the checkpoint that there is.
 
-A page's rows of one micro-batch are put in order together; the batch's size bounds them. State is kept per page
-and element in RocksDB (fingerprints, no texts).
+A page's rows of one micro-batch are put in order together; the batch's size bounds them. State is one value for
+each page in RocksDB (its elements' fingerprints, no texts), read once and written once for a page's rows of a micro-batch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -29,6 +30,7 @@ from quillspark.operators.analyze import analyze
 from quillspark.sources import html
 
 COLUMNS = ["page_id", "element_id", "seq", "version", "change", "platform", "kind", "text", "fingerprint"]
+_OUT = Row(*COLUMNS)
 ROWS = "page_id string, seq long, version long, element_id string, platform string, kind string, text string, fingerprint string"
 OUT = "page_id string, element_id string, seq long, version long, change string, platform string, kind string, text string, fingerprint string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,49 +44,45 @@ class Page(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getMapState("known", "element_id string", "fingerprint string, platform string, kind string")
-        self.last = handle.getValueState("last", "seq long, version long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["seq", "version", "element_id"], kind="stable")
-        seq, version = self.last.get() if self.last.exists() else (-(2**62), -(2**62))
-        before = {k[0]: tuple(v) for k, v in self.known.iterator()} if self.known.exists() else {}
-        now, out = dict(before), []
-        for (at, under), own in frame.groupby(["seq", "version"], sort=True):
+        self.page = handle.getValueState("page", "seq long, version long, known string")
+
+    def _held(self) -> tuple[int, int, dict[str, tuple]]:
+        held = self.page.get()
+        return (-(2**62), -(2**62), {}) if held is None else (held[0], held[1], {k: tuple(v) for k, v in json.loads(held[2]).items()})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        heard = sorted((r for r in rows if r.seq is not None and r.version is not None), key=lambda r: (r.seq, r.version, r.element_id is None, r.element_id or ""))
+        seq, version, now = self._held()
+        out = []
+        for (at, under), own in groupby(heard, key=lambda r: (r.seq, r.version)):
             if under < version or (under == version and at <= seq):
                 continue  # heard of already, or of settings that are gone
             if under > version:
                 now = {k: ("", *v[1:]) for k, v in now.items()}
-            seq, version = max(seq, int(at)), int(under)
-            held = {}
-            for r in own.itertuples(index=False):
-                if isinstance(r.element_id, str) and isinstance(r.text, str) and r.text:
+            seq, version = max(seq, at), under
+            held, whole = {}, False
+            for r in own:
+                whole |= r.element_id is None
+                if r.element_id is not None and r.text:
                     held.setdefault(r.element_id, r)
             for name, r in held.items():
                 if name not in now or now[name][0] != r.fingerprint:
                     out.append((key[0], name, seq, version, "scored", r.platform, r.kind, r.text, r.fingerprint))
                 now[name] = (r.fingerprint, r.platform, r.kind)
-            if own["element_id"].isna().any():
+            if whole:
                 for name in sorted(now.keys() - held.keys()):
                     out.append((key[0], name, seq, version, "removed", *now.pop(name)[1:], None, None))
-        for name in before.keys() - now.keys():
-            self.known.removeKey((name,))
-        for name, value in now.items():
-            if before.get(name) != value:
-                self.known.updateValue((name,), value)
-        self.last.update((seq, version))
+        self.page.update((seq, version, json.dumps(now)))
         if self.forget_ms:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
-        yield pd.DataFrame(out, columns=COLUMNS)
+        yield from (_OUT(*x) for x in out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, version = self.last.get()
-        gone = [(key[0], k[0], seq, version, "removed", v[1], v[2], None, None) for k, v in self.known.iterator()]
-        self.known.clear()
-        self.last.clear()
-        yield pd.DataFrame(gone, columns=COLUMNS)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seq, version, known = self._held()
+        self.page.clear()
+        yield from (_OUT(key[0], k, seq, version, "removed", v[1], v[2], None, None) for k, v in known.items())
 
 
 def fingerprinted(elements: DataFrame, version: Column | int = 0) -> DataFrame:
@@ -101,7 +99,7 @@ def changes(rows: DataFrame, forget: int = 0) -> DataFrame:
     A page not heard of for ``forget`` seconds loses all its elements; 0 keeps them. Streams that forget by the clock
     do not end by themselves.
     """
-    return rows.groupBy("page_id").transformWithStateInPandas(Page(forget * 1000), OUT, "Update", "ProcessingTime" if forget else "None")
+    return rows.groupBy("page_id").transformWithState(Page(forget * 1000), OUT, "Update", "ProcessingTime" if forget else "None")
 
 
 def watch(snapshots: DataFrame, platform: str, comments: bool = True, version: int = 0, forget: int = 0) -> DataFrame:

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 COLUMNS = ["key", "first_us", "last_us", "n", "state"]
+_OUT = Row(*COLUMNS)
 OUT = "key string, first_us long, last_us long, n long, state string"
 
 
@@ -37,11 +37,16 @@ class Burst(StatefulProcessor):
     def _end(self, burst: tuple) -> int:
         return burst[1 if self.pushed_back else 0] + self.period_us
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at_us", "state"], kind="stable", na_position="first")
-        burst = tuple(self.open.get()) if self.open.exists() else None
+    def _timer(self, burst: tuple) -> int:
+        """When the timer of a burst fires, in milliseconds; it follows from the burst, so no timers need be listed."""
+        return -(-self._end(burst) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted(((r.at_us, r.state) for r in rows), key=lambda e: (e[0], e[1] is not None, e[1] or ""))
+        held = self.open.get()
+        before = burst = None if held is None else tuple(held)
         done = []
-        for at, state in zip(frame["at_us"].tolist(), frame["state"].tolist(), strict=True):
+        for at, state in events:
             if burst is not None and at >= self._end(burst):
                 done.append((key[0], *burst))
                 burst = None
@@ -49,23 +54,24 @@ class Burst(StatefulProcessor):
                 burst = (at, at, 1, state)
             else:
                 burst = (min(burst[0], at), max(burst[1], at), burst[2] + 1, state if at >= burst[1] else burst[3])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
         self.open.update(burst)
-        self.handle.registerTimer(-(-self._end(burst) // 1000))
-        yield pd.DataFrame(done, columns=COLUMNS)
+        if before is None or self._timer(before) != self._timer(burst):
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            self.handle.registerTimer(self._timer(burst))
+        yield from (_OUT(*x) for x in done)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         burst = tuple(self.open.get())
         self.open.clear()
-        yield pd.DataFrame([(key[0], *burst)], columns=COLUMNS)
+        yield _OUT(key[0], *burst)
 
 
 def _bursts(events: DataFrame, period: float, late: str, pushed_back: bool) -> DataFrame:
     # the filter names the time, else Spark would move it below the watermark, which rows without a key are to move
     timed = events.withWatermark("at", late).where(F.col("key").isNotNull() | (F.col("at") < F.timestamp_micros(F.lit(-(2**60)))))
     rows = timed.select(F.col("key").cast("string").alias("key"), "at", F.unix_micros("at").alias("at_us"), F.col("state").cast("string").alias("state"))
-    return rows.groupBy("key").transformWithStateInPandas(Burst(round(period * 1_000_000), pushed_back), OUT, "Append", "EventTime")
+    return rows.groupBy("key").transformWithState(Burst(round(period * 1_000_000), pushed_back), OUT, "Append", "EventTime")
 
 
 def settled(events: DataFrame, period: float, late: str = "0 seconds") -> DataFrame:
